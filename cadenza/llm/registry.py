@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.llm import decontaminate
+from cadenza.llm import decontaminate, repair
 
-MODULES = (decontaminate,)
+MODULES = (decontaminate, repair)
 
 
 def queries() -> dict:
