@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.llm import decontaminate, repair
+from cadenza.llm import decontaminate, packing, repair
 
-MODULES = (decontaminate, repair)
+MODULES = (decontaminate, repair, packing)
 
 
 def queries() -> dict:
