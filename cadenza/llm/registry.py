@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.llm import decontaminate, packing, repair
+from cadenza.llm import decontaminate, packing, repair, secrets
 
-MODULES = (decontaminate, repair, packing)
+MODULES = (decontaminate, repair, packing, secrets)
 
 
 def queries() -> dict:
