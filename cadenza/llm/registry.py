@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.llm import decontaminate, packing, repair, secrets
+from cadenza.llm import decontaminate, packing, repair, secrets, sharding, warc
 
-MODULES = (decontaminate, repair, packing, secrets)
+MODULES = (warc, secrets, decontaminate, repair, sharding, packing)
 
 
 def queries() -> dict:
