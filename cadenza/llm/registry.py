@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.llm import decontaminate, packing, repair, secrets, sharding, warc
+from cadenza.llm import classifier, decontaminate, packing, repair, secrets, sharding, warc
 
-MODULES = (warc, secrets, decontaminate, repair, sharding, packing)
+MODULES = (warc, secrets, decontaminate, repair, sharding, classifier, packing)
 
 
 def queries() -> dict:
