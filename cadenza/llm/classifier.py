@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import free_name, read_table
+from cadenza.llm.common import free_name, read_table, slice_hashes
 
 #: Labelled rows that a model is fitted on, about.
 SAMPLE = 8_000
@@ -46,31 +46,6 @@ for _i, _c in enumerate(_OWN):
 _CLASS[48:58], _CLASS[97:123], _CLASS[65:91], _CLASS[128:] = 25, 26, 27, 26
 _CLASS[[32, 9, 11, 12]], _CLASS[[10, 13]] = 28, 29
 
-_FACTOR = 0x9E3779B97F4A7C15
-_TABLES = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd factor, and of its inverse, modulo 2**64."""
-    if len(_TABLES[0]) < n:
-        for k, base in enumerate((_FACTOR, pow(_FACTOR, -1, 1 << 64))):
-            with np.errstate(over="ignore"):
-                _TABLES[k] = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(2 * n, base, np.uint64))))
-    return _TABLES[0][:n], _TABLES[1][:n]
-
-
-def _hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each slice of the bytes, none of them empty."""
-    n = len(codes)
-    with np.errstate(over="ignore"):
-        p, back = _powers(n + 1)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * p[:n])))
-        h = (total[ends] - total[starts]) * back[starts]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(32))
-
-
 def features(text: str | None) -> np.ndarray:
     """Ascending numbers of the text's n-grams."""
     codes = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
@@ -84,7 +59,7 @@ def features(text: str | None) -> np.ndarray:
     edge = np.diff(np.concatenate(([1], gap.view(np.int8), [1])))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if len(starts):
-        h = _hashes(codes, starts, ends)
+        h = slice_hashes(codes, starts, ends)
         mask = np.uint64((1 << _BITS) - 1)
         with np.errstate(over="ignore"):
             pairs = h[:-1] * np.uint64(31) + h[1:]
@@ -96,7 +71,7 @@ def features(text: str | None) -> np.ndarray:
         a, b = np.append(0, breaks + 1), np.append(breaks, len(codes))
         full = b - a > 1
         if full.sum() > 1:
-            lines = _hashes(codes, a[full], b[full])
+            lines = slice_hashes(codes, a[full], b[full])
             if len(np.unique(lines)) < len(lines):
                 out.append(np.array([(2 << _BITS) + 1]))
     found = np.concatenate(out) if out else np.zeros(0, np.int64)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.operators.storage import materialised, shared_folder
+
+__all__ = ["empty_text", "free_name", "materialised", "normalised_words", "read_table", "shared_folder", "slice_hashes"]
+
 #: Bytes that separate words once text is UTF-8 encoded: ASCII other than letters and digits.
 #: Capital ASCII letters fold to small ones, all other bytes stay.
 WORD_TABLE = bytes(
@@ -21,31 +21,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that the driver and all executors share.
-
-    The cluster names it in spark.checkpoint.dir; only where that is unset, as in tests on
-    one machine, is a folder of our own taken.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        held = sc._jsc.sc().getCheckpointDir()
-        if held.isEmpty():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-            held = sc._jsc.sc().getCheckpointDir()
-        base = held.get()
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def materialised(df: DataFrame, what: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage is cut, and what was
-    computed survives lost executors."""
-    path = shared_folder(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that df doesn't have yet."""
     taken = {c.lower() for c in df.columns}
@@ -63,15 +38,35 @@ def normalised_words(text: str | None) -> bytes:
     return b" ".join(text.encode("utf-8", "replace").translate(WORD_TABLE).split())
 
 
-def batched(values: list, size: int) -> Iterator[list]:
-    for i in range(0, len(values), size):
-        yield values[i : i + size]
+def empty_text(column: str):
+    """The text, with null as the empty text."""
+    return F.coalesce(F.col(column), F.lit(""))
+
 
+_FACTOR = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-def ids_to_bytes(ids) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of an odd factor, and of its inverse, modulo 2**64."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_FACTOR, pow(_FACTOR, -1, 1 << 64))):
+            with np.errstate(over="ignore"):
+                _POWERS[k] = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(2 * n, base, np.uint64))))
+    return _POWERS[0][:n], _POWERS[1][:n]
 
-def empty_text(column: str):
-    """The text, with null as the empty text."""
-    return F.coalesce(F.col(column), F.lit(""))
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Spreads the bits of 64-bit numbers; one to one."""
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+
+def slice_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each slice of the bytes."""
+    p, back = powers(len(codes) + 1)
+    with np.errstate(over="ignore"):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * p[:-1])))
+        return mixed((total[ends] - total[starts]) * back[starts])
