@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.llm import classifier, decontaminate, packing, repair, rules, secrets, sharding, warc
+from cadenza.llm import classifier, decontaminate, neardup, packing, repair, rules, secrets, sharding, warc
 
-MODULES = (warc, secrets, decontaminate, repair, rules, sharding, classifier, packing)
+MODULES = (warc, secrets, decontaminate, repair, rules, sharding, classifier, neardup, packing)
 
 
 def queries() -> dict:
