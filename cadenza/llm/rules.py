@@ -223,6 +223,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     if there > sample:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * sample / there))
     chosen = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most about `sample` rows
+    # Written first: else the filter on statistics goes below the join, to all documents.
+    chosen = materialised(chosen, "labelled")
     with_stats = statistics(chosen).where(~base_failed(F.col("stats")))
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS))
     rows = materialised(
