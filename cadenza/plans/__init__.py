@@ -1,0 +1,3 @@
+"""Registered queries.  Importing this package fills the catalogue."""
+
+from cadenza.plans import interval_queries as _intervals  # noqa: F401

@@ -1,0 +1 @@
+"""Reading tables and files into the canonical schemas."""
