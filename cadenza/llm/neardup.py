@@ -11,12 +11,14 @@ alignment matches whole, over all windows of both.  It is at most the Jaccard si
 the occurrence-labelled k-mers, which is computed first and rejects most.
 
 1. Documents with the same words are one class of copies; only classes go on.
-2. Within a bucket every class is compared with one hub: a star, not all pairs.  Links join
-   classes into components.
+2. Within a bucket every class is compared with one hub: a star, not all pairs.  The hub is the
+   class that meets the most others over all its buckets, which is the one with the fewest
+   edits of its own.  Links join classes into components; then each bucket's best class of
+   another component is the hub, and so on for `ROUNDS` rounds.
 3. Buckets that still hold several components are the exception: there all classes of
-   different components are compared, in blocks of bounded size, on bounded signatures; likely
-   pairs are verified as before.  So no link between different texts is lost to the star, and
-   no bucket is capped.
+   different components are compared, in blocks of bounded size, on signatures; pairs whose
+   estimate comes near the threshold are verified as before.  So no link between different
+   texts is lost to the stars, and no bucket is capped.
 4. A document's class id is the least doc_id of its component.
 
 Words are as in `normalised_words`.  Defined cases: documents without words are copies only if
@@ -40,9 +42,10 @@ from cadenza.operators.graph import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, PICKS = 16, 3
+ROUNDS = 2
 #: Bins of a signature, which estimates the share of common k-mers, and the least estimate of a
-#: likely pair: four standard deviations below the threshold.
-BINS, LIKELY = 128, 0.6
+#: likely pair: three standard deviations below the threshold.
+BINS, LIKELY = 256, 0.72
 #: Classes of a bucket that one task compares with as many others.
 BLOCK = 512
 
@@ -104,7 +107,7 @@ def sketches(kmers: np.ndarray) -> np.ndarray:
 def signature(kmers: np.ndarray) -> np.ndarray:
     """The least k-mer of each bin, in 16 bits; 0 for an empty bin."""
     s = np.sort(kmers)
-    bins = (s >> np.uint64(57)).astype(np.int64)
+    bins = (s >> np.uint64(56)).astype(np.int64)
     found, first = np.unique(bins, return_index=True)
     out = np.zeros(BINS, "<u2")
     out[found] = (mixed(s[first]) & np.uint64(0xFFFF)).astype("<u2") | 1
@@ -240,21 +243,68 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose signatures let them be similar."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(n).to_pylist()), "<u2").reshape(-1, BINS) for n in ("sig_a", "sig_b"))
+        used = ((x != 0) | (y != 0)).sum(1)
+        mask = pa.array(((x == y) & (x != 0)).sum(1) >= LIKELY * used, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(n).filter(mask) for n in ("a", "b")], names=["a", "b"])
+
+
 def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of classes that are similar.  Texts are read again for the
-    classes concerned only, one for each."""
-    pairs = materialised(pairs.where("a <> b").distinct(), "pairs")
+    """Those of the pairs (a, b) of classes that are similar.  Signatures sort out most of the
+    others; then texts are read again for the classes concerned only, one for each."""
+    for end in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("c").alias(end), F.col("sig").alias(f"sig_{end}")), end)
+    near = pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_near, "a binary, b binary")
+    pairs = materialised(near, "pairs")
     concerned = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     who = nodes.join(concerned, "c", "left_semi").select("c", F.col("rep").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(who, "doc_id").select("c", "doc_id", "text")
+    texts = docs.select("doc_id", "text").join(who, "doc_id").select("c", "text")
     texts = materialised(texts, "texts")
-    # A doc_id that several texts share gives the text of the class only.
-    sure = texts.select("text").mapInArrow(_with_content, "c binary, text string").dropDuplicates(["c"]) if _shared_ids(nodes) else texts.select("c", "text")
-    both = pairs.join(sure.select(F.col("c").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(sure.select(F.col("c").alias("a"), F.col("text").alias("text_a")), "a")
+    if _shared_ids(nodes):  # a doc_id that several texts share: the text of the class only
+        texts = materialised(texts.select("text").mapInArrow(_with_content, "c binary, text string").dropDuplicates(["c"]), "texts")
+    both = pairs.join(texts.select(F.col("c").alias("b"), F.col("text").alias("text_b")), "b")
+    both = both.join(texts.select(F.col("c").alias("a"), F.col("text").alias("text_a")), "a")
     return materialised(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary"), "links")
 
 
+def _joined(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(c, label) of all classes with a link, after more links between components."""
+    if labels is None:
+        return connected_components(links).select(F.col("node").alias("c"), F.col("component").alias("label"))
+    for end in ("a", "b"):
+        links = links.join(labels.select(F.col("c").alias(end), "label"), end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+    more = connected_components(links).select(F.col("node").alias("label"), "component")
+    moved = labels.join(more, "label", "left").select("c", F.coalesce("component", "label").alias("label"))
+    # Classes that had no link so far are their own component's name.
+    new = more.join(labels.select(F.col("c").alias("label")), "label", "left_anti").select(F.col("label").alias("c"), F.col("component").alias("label"))
+    return materialised(moved.unionByName(new), "labels")
+
+
+def _star(scored: DataFrame, labels: DataFrame | None, rank: int) -> DataFrame:
+    """Each bucket's hub with its classes of other components.  The hub is the best class of
+    the component that is the rank-th in the bucket."""
+    if labels is None:
+        hubs = scored.groupBy("bucket").agg(F.max_by("c", F.struct("score", "c")).alias("a"))
+        return scored.join(hubs, "bucket").where("a <> c").select("a", F.col("c").alias("b")).distinct()
+    of = _labelled(scored, labels)
+    best = of.groupBy("bucket", "label").agg(F.max(F.struct("score", "c")).alias("s"))
+    tops = best.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.struct("s", "label")).alias("first")).where("n > 1")
+    second = best.join(tops.select("bucket", "first"), "bucket").where(F.col("label") != F.col("first.label"))
+    for _ in range(rank - 2):  # further down, one component at a time
+        again = second.groupBy("bucket").agg(F.max(F.struct("s", "label")).alias("next"))
+        second = second.join(again, "bucket").where(F.col("label") != F.col("next.label")).drop("next")
+    hubs = second.groupBy("bucket").agg(F.max(F.struct("s", "label")).alias("h"))
+    hubs = hubs.select("bucket", F.col("h.s.c").alias("a"), F.col("h.label").alias("hub_label"))
+    return of.join(hubs, "bucket").where("label <> hub_label").select("a", F.col("c").alias("b")).distinct()
+
+
+def _labelled(scored: DataFrame, labels: DataFrame) -> DataFrame:
+    return scored.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+
+
 def _shared_ids(nodes: DataFrame) -> bool:
     """Whether a doc_id stands for several classes, or a class has none."""
     odd = nodes.groupBy("rep").count().where("count > 1 or rep is null")
@@ -279,7 +329,7 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(others):
                 used = (sig[others] != 0) | (sig[i] != 0)
                 same = ((sig[others] == sig[i]) & used).sum(1)
-                for j in others[same >= LIKELY * used.sum(1)]:
+                for j in others[same >= LIKELY * used.sum(1)].tolist():
                     yield names[i], names[j]
 
     def out() -> pa.RecordBatch:
@@ -299,18 +349,17 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _between_components(buckets: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+def _between_components(scored: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
     """Likely pairs in the buckets that hold several components."""
-    of = buckets.join(labels.select(F.col("node").alias("c"), "component"), "c", "left")
-    of = of.select("bucket", "c", F.coalesce("component", "c").alias("label"))
-    mixed_up = of.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y")
+    of = _labelled(scored.select("bucket", "c"), labels)
+    several = of.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = of.join(mixed_up.select("bucket", blocks.alias("blocks")), "bucket").join(nodes.select("c", "sig"), "c")
+    rows = of.join(several.select("bucket", blocks.alias("blocks")), "bucket").join(nodes.select("c", "sig"), "c")
     block = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
     each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.array(F.least("block", o), F.greatest("block", o)))
     rows = rows.withColumn("block", block).withColumn("pair", F.explode(F.array_distinct(each)))
     dealt = rows.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair", "c")
-    return dealt.select("bucket", "pair", "block", "c", "sig", "label").mapInArrow(_likely, "a binary, b binary")
+    return dealt.select("bucket", "pair", "block", "c", "sig", "label").mapInArrow(_likely, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -322,17 +371,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     nodes = materialised(nodes, "classes")
     buckets = nodes.where("sketches is not null").select("c", F.explode("sketches").alias("bucket"))
-    hubs = buckets.groupBy("bucket").agg(F.min("c").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    shared = materialised(buckets.join(hubs, "bucket"), "buckets")  # only buckets of several classes
-    links = _links(shared.select(F.col("hub").alias("a"), F.col("c").alias("b")), docs, nodes)
-    labels = connected_components(links)
-    extra = _links(_between_components(shared, labels, nodes), docs, nodes)
-    if not extra.isEmpty():
-        labels = connected_components(links.unionByName(extra))
-    named = nodes.join(labels.select(F.col("node").alias("c"), "component"), "c", "left")
-    named = named.withColumn("component", F.coalesce("component", "c"))
-    least = named.groupBy("component").agg(F.min("rep").alias("class_id"))
-    classes = named.join(least, "component").select("c", "class_id", "copies")
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialised(buckets.join(sizes, "bucket"), "buckets")  # only buckets of several classes
+    score = shared.groupBy("c").agg(F.sum("n").alias("score"))
+    scored = materialised(shared.select("bucket", "c").join(score, "c"), "scored")
+    labels = None
+    for rank in range(1, ROUNDS + 1):
+        links = _links(_star(scored, labels, rank), docs, nodes)
+        labels = _joined(links, labels)
+    labels = _joined(_links(_between_components(scored, labels, nodes), docs, nodes), labels)
+    named = nodes.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+    least = named.groupBy("label").agg(F.min("rep").alias("class_id"))
+    classes = named.join(least, "label").select("c", "class_id", "copies")
     return described.select("doc_id", "c").join(classes, "c").select("doc_id", "class_id", F.hex("c").alias("content"), "copies")
 
 
