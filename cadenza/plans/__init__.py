@@ -1,3 +1,4 @@
 """Registered queries.  Importing this package fills the catalogue."""
 
+from cadenza.plans import curation_queries as _curation  # noqa: F401
 from cadenza.plans import interval_queries as _intervals  # noqa: F401
