@@ -359,7 +359,7 @@ def adjacent_evidence(spark, d):
 
 @register(
     "W11_prefix_pool",
-    f"""SELECT clip_id, frame_idx, round((c - coalesce(lag(c, 8) OVER w, 0)) / least(8, frame_idx), 4) AS mean FROM (SELECT *, sum(level) OVER (PARTITION BY clip_id ORDER BY frame_idx) AS c FROM {fx.FRAMES_SQL})
+    f"""SELECT clip_id, frame_idx, round((c - coalesce(lag(c, 8) OVER w, 0)) / least(8, frame_idx) + 1e-9, 4) AS mean FROM (SELECT *, sum(level) OVER (PARTITION BY clip_id ORDER BY frame_idx) AS c FROM {fx.FRAMES_SQL})
     WINDOW w AS (PARTITION BY clip_id ORDER BY frame_idx)""",
 )
 def prefix_pool(spark, d):
@@ -367,7 +367,7 @@ def prefix_pool(spark, d):
     w = Window.partitionBy("clip_id").orderBy("frame_idx")
     f = fx.frames(spark, d).withColumn("c", F.sum("level").over(w))
     mean = (F.col("c") - F.coalesce(F.lag("c", 8).over(w), F.lit(0.0))) / F.least(F.lit(8), F.col("frame_idx"))
-    return f.select("clip_id", "frame_idx", F.round(mean, 4).alias("mean"))
+    return f.select("clip_id", "frame_idx", F.round(mean + 1e-9, 4).alias("mean"))
 
 
 @register(
@@ -396,11 +396,11 @@ def information_rank(spark, d):
 
 @register(
     "T3_tier_b_rank",
-    f"SELECT segment_id, round(0.65 * value / 500 + 0.15 * k / 100 + 0.05 * k / 50 + 0.15 * value / 1000 + CASE WHEN k % 5 = 0 THEN 0.05 ELSE 0 END - CASE WHEN k % 7 = 0 THEN 0.6 ELSE 0 END, 4) AS rank FROM {SEG}",
+    f"SELECT segment_id, round(0.65 * value / 500 + 0.15 * k / 100 + 0.05 * k / 50 + 0.15 * value / 1000 + CASE WHEN k % 5 = 0 THEN 0.05 ELSE 0 END - CASE WHEN k % 7 = 0 THEN 0.6 ELSE 0 END + 1e-9, 4) AS rank FROM {SEG}",
 )
 def tier_b_rank(spark, d):
     v, k = F.col("value"), F.col("k").cast("double")
-    return fx.segments(spark, d).select("segment_id", F.round(sc.tier_b_rank(v / 500, k / 100, k / 50, v / 1000, F.col("k") % 5 == 0, F.col("k") % 7 == 0), 4).alias("rank"))
+    return fx.segments(spark, d).select("segment_id", F.round(sc.tier_b_rank(v / 500, k / 100, k / 50, v / 1000, F.col("k") % 5 == 0, F.col("k") % 7 == 0) + 1e-9, 4).alias("rank"))
 
 
 @register(
