@@ -50,3 +50,13 @@ def classification_metrics(df: DataFrame, score: str, label: str, threshold: flo
         F.round(2 * tp / (2 * tp + fp + (pos - tp)), 6).alias("f1"),
         F.round((tp / pos + (neg - fp) / neg) / 2, 6).alias("balanced"),
     )
+
+
+def running_max(df: DataFrame, order: str, column: str, out: str) -> DataFrame:
+    """Adds the largest value of the column among rows up to the row's place, equals included."""
+    dealt = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    tops = dealt.groupBy("_part").agg(F.max(column).alias("_top"))  # one row a range
+    bases = tops.select("_part", F.max("_top").over(before).alias("_base"))
+    inside = Window.partitionBy("_part").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    return dealt.join(F.broadcast(bases), "_part").withColumn(out, F.greatest(F.max(column).over(inside), "_base")).drop("_part", "_base")

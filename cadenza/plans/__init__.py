@@ -2,5 +2,6 @@
 
 from cadenza.plans import curation_queries as _curation  # noqa: F401
 from cadenza.plans import interval_queries as _intervals  # noqa: F401
+from cadenza.plans import policy_queries as _policy  # noqa: F401
 from cadenza.plans import text_queries as _texts  # noqa: F401
 from cadenza.plans import vector_queries as _vectors  # noqa: F401
