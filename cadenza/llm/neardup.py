@@ -16,9 +16,11 @@ the occurrence-labelled k-mers, which is computed first and rejects most.
    edits of its own.  Links join classes into components; then each bucket's best class of
    another component is the hub, and so on for `ROUNDS` rounds.
 3. Buckets that still hold several components are the exception: there all classes of
-   different components are compared, in blocks of bounded size, on signatures; pairs whose
-   estimate comes near the threshold are verified as before.  So no link between different
-   texts is lost to the stars, and no bucket is capped.
+   different components are compared, in blocks of bounded size, on signatures.  Classes with a
+   partner near the threshold come again with their texts, and their pairs are verified where
+   they meet, each in the first bucket that it shares; what leaves a task are links that join
+   components, never pairs.  So no link between different texts is lost to the stars, and no
+   bucket is capped.
 4. A document's class id is the least doc_id of its component.
 
 Words are as in `normalised_words`.  Defined cases: documents without words are copies only if
@@ -259,17 +261,21 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
         pairs = pairs.join(nodes.select(F.col("c").alias(end), F.col("sig").alias(f"sig_{end}")), end)
     near = pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_near, "a binary, b binary")
     pairs = materialised(near, "pairs")
-    concerned = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    who = nodes.join(concerned, "c", "left_semi").select("c", F.col("rep").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(who, "doc_id").select("c", "text")
-    texts = materialised(texts, "texts")
-    if _shared_ids(nodes):  # a doc_id that several texts share: the text of the class only
-        texts = materialised(texts.select("text").mapInArrow(_with_content, "c binary, text string").dropDuplicates(["c"]), "texts")
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), docs, nodes)
     both = pairs.join(texts.select(F.col("c").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(texts.select(F.col("c").alias("a"), F.col("text").alias("text_a")), "a")
     return materialised(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary"), "links")
 
 
+def _texts(concerned: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(c, text) of the classes concerned, one text for each."""
+    who = nodes.join(concerned, "c", "left_semi").select("c", F.col("rep").alias("doc_id"))
+    texts = materialised(docs.select("doc_id", "text").join(who, "doc_id").select("c", "text"), "texts")
+    if _shared_ids(nodes):  # a doc_id that several texts share: the text of the class only
+        texts = materialised(texts.select("text").mapInArrow(_with_content, "c binary, text string").dropDuplicates(["c"]), "texts")
+    return texts
+
+
 def _joined(links: DataFrame, labels: DataFrame | None) -> DataFrame:
     """(c, label) of all classes with a link, after more links between components."""
     if labels is None:
@@ -311,55 +317,104 @@ def _shared_ids(nodes: DataFrame) -> bool:
     return not odd.isEmpty()
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components with similar signatures.  Rows come sorted by bucket and
-    pair of blocks; a group holds two blocks at the most."""
-    rows: list = []
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple[int, int], list[tuple]]]:
+    """The rows of each bucket and pair of blocks, two blocks at the most.  Rows come sorted."""
+    rows: list[tuple] = []
     key = None
-
-    def pairs() -> Iterator[tuple[bytes, bytes]]:
-        sig = np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(-1, BINS)
-        block = np.array([r[2] for r in rows])
-        names = [r[3] for r in rows]
-        _, label = np.unique([r[5] for r in rows], return_inverse=True)
-        for i in range(len(rows)):
-            # Within one block, each pair once; between two, the first block against the second.
-            others = np.arange(i + 1, len(rows)) if key[1] == key[2] else np.flatnonzero(block == key[2]) if block[i] == key[1] else []
-            others = np.asarray(others)[label[others] != label[i]] if len(others) else np.zeros(0, int)
-            if len(others):
-                used = (sig[others] != 0) | (sig[i] != 0)
-                same = ((sig[others] == sig[i]) & used).sum(1)
-                for j in others[same >= LIKELY * used.sum(1)].tolist():
-                    yield names[i], names[j]
-
-    def out() -> pa.RecordBatch:
-        found = list(pairs()) if len(rows) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
-
     for batch in batches:
-        cols = [batch.column(n).to_pylist() for n in ("bucket", "pair", "block", "c", "sig", "label")]
-        for r in zip(*cols, strict=True):
-            new = (r[0], r[1][0], r[1][1])
+        for r in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+            new = (r[0], *r[1])
             if new != key:
-                if rows:
-                    yield out()
+                if len(rows) > 1:
+                    yield key[1:], rows
                 rows, key = [], new
             rows.append(r)
-    if rows:
-        yield out()
+    if len(rows) > 1:
+        yield key[1:], rows
+
+
+_NAMES = ["bucket", "pair", "block", "c", "sig", "label"]
 
 
-def _between_components(scored: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Likely pairs in the buckets that hold several components."""
-    of = _labelled(scored.select("bucket", "c"), labels)
-    several = of.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = of.join(several.select("bucket", blocks.alias("blocks")), "bucket").join(nodes.select("c", "sig"), "c")
-    block = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
+def _partners(pair: tuple[int, int], rows: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, all j) of rows of different components whose signatures are near.  Within one block
+    each pair comes once; of two blocks the first against the second."""
+    sig = np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(-1, BINS)
+    block = np.array([r[2] for r in rows])
+    _, label = np.unique([r[5] for r in rows], return_inverse=True)
+    second = np.flatnonzero(block == pair[1])
+    for i in range(len(rows)):
+        if pair[0] == pair[1]:
+            others = np.arange(i + 1, len(rows))
+        elif block[i] == pair[0]:
+            others = second
+        else:
+            continue
+        others = others[label[others] != label[i]]
+        if len(others):
+            same = ((sig[others] == sig[i]) & (sig[i] != 0)).sum(1)
+            used = ((sig[others] != 0) | (sig[i] != 0)).sum(1)
+            yield i, others[same >= LIKELY * used]
+
+
+def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes with a near one of another component."""
+    for pair, rows in _groups(batches, _NAMES):
+        found = np.zeros(len(rows), bool)
+        for i, others in _partners(pair, rows):
+            found[others] = True
+            found[i] |= len(others) > 0
+        yield pa.RecordBatch.from_arrays([pa.array([rows[i][3] for i in np.flatnonzero(found)], pa.binary())], names=["c"])
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that join components of a group, verified on the texts."""
+    for pair, rows in _groups(batches, [*_NAMES, "slot", "sketches", "text"]):
+        of: dict[bytes, bytes] = {r[5]: r[5] for r in rows}
+        words: dict[int, np.ndarray] = {}
+        sketch = np.array([r[7] for r in rows])
+        links = []
+
+        def root(x: bytes, of=of) -> bytes:
+            while of[x] != x:
+                of[x] = of[of[x]]
+                x = of[x]
+            return x
+
+        for i, others in _partners(pair, rows):
+            # Each pair in the first slot whose sketches agree; elsewhere it is another task's.
+            first = (sketch[others] == sketch[i]).argmax(1) if len(others) else others
+            for j in others[first == rows[i][6]].tolist():
+                x, y = root(rows[i][5]), root(rows[j][5])
+                if x != y:
+                    for k in (i, j):
+                        if k not in words:
+                            words[k] = word_hashes(rows[k][8])
+                    if similarity(words[i], words[j]) >= SIMILARITY:
+                        of[x] = y
+                        links.append((rows[i][3], rows[j][3]))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows (bucket, c, ...) dealt into blocks of their bucket, each to all pairs of blocks that
+    it is in; a bucket of up to BLOCK classes is one group."""
+    n = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(n, "bucket").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.array(F.least("block", o), F.greatest("block", o)))
-    rows = rows.withColumn("block", block).withColumn("pair", F.explode(F.array_distinct(each)))
-    dealt = rows.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair", "c")
-    return dealt.select("bucket", "pair", "block", "c", "sig", "label").mapInArrow(_likely, "a binary, b binary").distinct()
+    rows = rows.withColumn("pair", F.explode(F.array_distinct(each)))
+    return rows.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair", "c")
+
+
+def _between_components(scored: DataFrame, labels: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links in the buckets that hold several components."""
+    of = _labelled(scored.select("bucket", "slot", "c"), labels)
+    several = of.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    rows = of.join(several, "bucket").join(nodes.select("c", "sig", "sketches"), "c")
+    flagged = _dealt(rows.select("bucket", "c", "sig", "label")).select(_NAMES).mapInArrow(_flag, "c binary")
+    flagged = materialised(flagged.distinct(), "flagged")
+    near = rows.join(_texts(flagged, docs, nodes), "c")
+    return materialised(_dealt(near).select(*_NAMES, "slot", "sketches", "text").mapInArrow(_link, "a binary, b binary"), "links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -370,16 +425,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("sketches").alias("sketches"), F.min("sig").alias("sig")
     )
     nodes = materialised(nodes, "classes")
-    buckets = nodes.where("sketches is not null").select("c", F.explode("sketches").alias("bucket"))
+    buckets = nodes.where("sketches is not null").select("c", F.posexplode("sketches").alias("slot", "bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialised(buckets.join(sizes, "bucket"), "buckets")  # only buckets of several classes
     score = shared.groupBy("c").agg(F.sum("n").alias("score"))
-    scored = materialised(shared.select("bucket", "c").join(score, "c"), "scored")
+    scored = materialised(shared.select("bucket", "slot", "c").join(score, "c"), "scored")
     labels = None
     for rank in range(1, ROUNDS + 1):
         links = _links(_star(scored, labels, rank), docs, nodes)
         labels = _joined(links, labels)
-    labels = _joined(_links(_between_components(scored, labels, nodes), docs, nodes), labels)
+    labels = _joined(_between_components(scored, labels, docs, nodes), labels)
     named = nodes.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
     least = named.groupBy("label").agg(F.min("rep").alias("class_id"))
     classes = named.join(least, "label").select("c", "class_id", "copies")
