@@ -159,3 +159,80 @@ def best_segmentation(df: DataFrame, penalty: float, least: int) -> DataFrame:
         return pd.DataFrame(out[::-1], columns=["clip_id", "first", "last"])
 
     return df.groupBy("clip_id").applyInPandas(fold, "clip_id long, first long, last long")
+
+
+def fold_cues(df: DataFrame, tolerance: int) -> DataFrame:
+    """Cues whose edges are within the tolerance of the folded row before become one, with the
+    first one's edges and their distinct texts.  df: segment_id, source_id, start_ms, end_ms, text."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        out: list[list] = []
+        for source, a, b, t in zip(rows.source_id, rows.start_ms, rows.end_ms, rows.text, strict=True):
+            last = out[-1] if out else None
+            if last and abs(a - last[1]) <= tolerance and abs(b - last[2]) <= tolerance:
+                if t not in last[3]:
+                    last[3].append(t)
+            else:
+                out.append([source, a, b, [t]])
+        return pd.DataFrame([(s, a, b, " / ".join(t)) for s, a, b, t in out], columns=["source_id", "start_ms", "end_ms", "text"])
+
+    return fold_runs(df, tolerance, fold, "source_id long, start_ms long, end_ms long, text string")
+
+
+def replace_overlaps(df: DataFrame, least: int) -> DataFrame:
+    """Tier suppression with replacement: by value, a row that overlaps kept ones by more than
+    `least` is dropped, unless it holds a shorter kept one whole and scores at least 0.8 of it;
+    then it takes that one's place.  df: segment_id, source_id, start_ms, end_ms, value."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["value", "segment_id"], ascending=[False, True], kind="stable")
+        kept: list[tuple] = []
+        for r in rows[["source_id", "segment_id", "start_ms", "end_ms", "value"]].itertuples(index=False):
+            hit = [k for k in kept if min(k.end_ms, r.end_ms) - max(k.start_ms, r.start_ms) > least]
+            if not hit:
+                kept.append(r)
+            elif len(hit) == 1 and r.start_ms <= hit[0].start_ms and r.end_ms >= hit[0].end_ms and r.value >= 0.8 * hit[0].value:
+                kept[kept.index(hit[0])] = r
+        return pd.DataFrame([(k.source_id, k.segment_id) for k in kept], columns=["source_id", "segment_id"])
+
+    return fold_runs(df, 0, fold, CHOSEN)
+
+
+def split_long(df: DataFrame, longest: int, least: int) -> DataFrame:
+    """Rows longer than `longest` are cut at the gap between their words that is nearest the
+    middle and leaves `least` on both sides, again and again; what can't be cut stays and says
+    so.  df: segment_id, source_id, start_ms, end_ms, words (array of struct start_ms, end_ms)."""
+
+    def group(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in rows.itertuples(index=False):
+            words = sorted(((w["start_ms"], w["end_ms"]) for w in r.words), key=lambda w: w[0])
+            gaps = [(p[1] + q[0]) // 2 for p, q in zip(words, words[1:], strict=False) if q[0] >= p[1]]
+            todo = [(r.start_ms, r.end_ms)]
+            while todo:
+                a, b = todo.pop()
+                cuts = [g for g in gaps if g - a >= least and b - g >= least]
+                if b - a <= longest or not cuts:
+                    out.append((r.segment_id, r.source_id, a, b, b - a > longest))
+                else:
+                    g = min(cuts, key=lambda g: (abs(2 * g - a - b), g))
+                    todo += [(a, g), (g, b)]
+        return pd.DataFrame(out, columns=["segment_id", "source_id", "start_ms", "end_ms", "too_long"])
+
+    schema = "segment_id long, source_id long, start_ms long, end_ms long, too_long boolean"
+    return df.select("segment_id", "source_id", "start_ms", "end_ms", "words").mapInPandas(lambda it: map(group, it), schema)
+
+
+def space_out(df: DataFrame, least: int) -> DataFrame:
+    """Points by strength, each at least `least` away from all taken.  df: segment_id, source_id,
+    start_ms, end_ms, value; runs farther apart than `least` can't affect each other."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["value", "start_ms"], ascending=[False, True], kind="stable")
+        taken: list = []
+        for r in rows[["source_id", "segment_id", "start_ms"]].itertuples(index=False):
+            if all(abs(r.start_ms - t.start_ms) >= least for t in taken):
+                taken.append(r)
+        return pd.DataFrame([(t.source_id, t.segment_id) for t in taken], columns=["source_id", "segment_id"])
+
+    return fold_runs(df.withColumn("end_ms", F.col("start_ms")), least, fold, CHOSEN)

@@ -1,6 +1,7 @@
 """Registered queries.  Importing this package fills the catalogue."""
 
 from cadenza.plans import curation_queries as _curation  # noqa: F401
+from cadenza.plans import fold_queries as _folds  # noqa: F401
 from cadenza.plans import interval_queries as _intervals  # noqa: F401
 from cadenza.plans import more_queries as _more  # noqa: F401
 from cadenza.plans import policy_queries as _policy  # noqa: F401
