@@ -93,17 +93,19 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.a * self.margin(features(text)) + self.b, -30, 30))))
 
 
-def _descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, n: int, epochs: int, seed: int):
-    """Dual coordinate descent for the hinge loss; the last weight is the bias's."""
-    w, alpha = np.zeros(n + 1), np.zeros(len(rows))
-    square = np.array([float(v @ v) + 1.0 for v in values])
+def _descend(flat: np.ndarray, ends: np.ndarray, which: np.ndarray, ratio: np.ndarray, scale: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int, seed: int) -> np.ndarray:
+    """Dual coordinate descent for the hinge loss over rows of unit length and a bias of 1, which
+    is the last weight.  Row i's values are made anew each time; only n-grams are held."""
+    n = len(ratio)
+    w, alpha = np.zeros(n + 1), np.zeros(len(y))
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
-        for i in rng.permutation(len(rows)):
-            ids, v = rows[i], values[i]
+        for i in rng.permutation(which):
+            ids = flat[ends[i] : ends[i + 1]]
+            v = ratio[ids] * scale[i]
             slope = y[i] * (float(w[ids] @ v) + w[n]) - 1.0
-            new = min(max(alpha[i] - slope / square[i], 0.0), cost[i])
+            new = min(max(alpha[i] - slope / 2.0, 0.0), cost[i])
             step = (new - alpha[i]) * y[i]
             if step:
                 w[ids] += step * v
@@ -117,12 +119,20 @@ def _descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, co
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: int = 12, folds: int = 3, seed: int = 7) -> Model | float:
     """The model, or a constant score where the labels are of one class."""
+    flat = np.concatenate([np.asarray(r, np.int32) for r in rows]) if len(rows) else np.zeros(0, np.int32)
+    return fit_packed(flat, np.array([len(r) for r in rows], np.int64), labels, cost, epochs, folds, seed)
+
+
+def fit_packed(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, cost: float = 1.0, epochs: int = 12, folds: int = 3, seed: int = 7) -> Model | float:
+    """As `fit`, for the n-grams of all rows one after the other."""
     labels = np.asarray(labels)
     if not len(labels) or labels.min() == labels.max():
         return float(labels.mean()) if len(labels) else 0.5
-    used, flat = np.unique(np.concatenate(rows), return_inverse=True)
-    cuts = np.cumsum([len(r) for r in rows])[:-1]
-    packed = np.split(flat, cuts)
+    used = np.flatnonzero(np.bincount(flat, minlength=N_FEATURES))
+    place = np.zeros(N_FEATURES, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    flat, ends = place[flat], np.concatenate(([0], np.cumsum(sizes)))
+    row = lambda i: flat[ends[i] : ends[i + 1]]
     y = np.where(labels == 1, 1.0, -1.0)
     share = np.where(labels == 1, (labels == 1).sum(), (labels != 1).sum())
     each = cost * len(y) / (2 * share)
@@ -130,18 +140,17 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: i
     def train(which: np.ndarray):
         good, bad = np.ones(len(used)), np.ones(len(used))
         for i in which:
-            (good if y[i] > 0 else bad)[packed[i]] += 1
+            (good if y[i] > 0 else bad)[row(i)] += 1
         ratio = np.log((good / good.sum()) / (bad / bad.sum()))
-        values = [ratio[r] / np.sqrt((ratio[r] ** 2).sum() + 1e-12) for r in packed]
-        w = _descend([packed[i] for i in which], [values[i] for i in which], y[which], each[which], len(used), epochs, seed)
-        return w, ratio, values
+        scale = np.array([1 / np.sqrt((ratio[row(i)] ** 2).sum() + 1e-12) for i in range(len(y))])
+        return _descend(flat, ends, which, ratio, scale, y, each, epochs, seed), ratio, scale
 
     fold = np.random.default_rng(seed).permutation(len(y)) % folds
     margins = np.zeros(len(y))
     for k in range(folds):
-        inside, outside = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-        w, _, values = train(inside)
-        margins[outside] = [w[packed[i]] @ values[i] + w[-1] for i in outside]
+        w, ratio, scale = train(np.flatnonzero(fold != k))
+        for i in np.flatnonzero(fold == k):
+            margins[i] = w[row(i)] @ ratio[row(i)] * scale[i] + w[-1]
     a, b = _logistic(margins, labels)
     w, ratio, _ = train(np.arange(len(y)))
     weights, squares = np.zeros(N_FEATURES, np.float32), np.zeros(N_FEATURES, np.float32)
@@ -184,8 +193,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(ids, pa.binary())], names=["doc_id", "y", "ids"])
 
     rows = chosen.mapInArrow(grams, "doc_id long, y int, ids binary").toArrow().sort_by("doc_id")
-    ids = [np.frombuffer(x.as_buffer(), "<i4").astype(np.int64) for x in rows.column("ids")]
-    return fit(ids, rows.column("y").to_numpy())
+    y, ids = rows.column("y").to_numpy(), rows.column("ids")
+    sizes = np.array([len(x.as_buffer()) // 4 if x.is_valid else 0 for x in ids], np.int64)
+    flat = np.concatenate([np.frombuffer(x.as_buffer(), "<i4") for x in ids]) if len(ids) else np.zeros(0, np.int32)
+    del rows, ids
+    return fit_packed(flat, sizes, y)
 
 
 _MODELS: dict = {}
