@@ -90,7 +90,9 @@ def test_whole_table_against_brute_force(spark):
     assert got == brute(rows)
 
 
-def test_mixed_buckets_groups_and_odd_rows(spark):
+@pytest.mark.parametrize("block", [nd.BLOCK, 3])
+def test_mixed_buckets_groups_and_odd_rows(spark, monkeypatch, block):
+    monkeypatch.setattr(nd, "BLOCK", block)  # small: groups of two blocks
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
     passage = [word() for _ in range(60)]
