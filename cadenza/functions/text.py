@@ -51,7 +51,8 @@ def join_texts(left: Column, right: Column) -> Column:
 def clean_dialogue(text: Column) -> Column:
     """Without markup and speaker labels; '' for music and for several speakers in one cue."""
     plain = F.regexp_replace(F.regexp_replace(text, "\\{[^}]*\\}|<[^>]*>", ""), "\\\\[Nn]", "\n")
-    several = plain.rlike("(?m)^\\s*[-–—].*\\n\\s*[-–—]")
+    several = plain.rlike("(?ms)^\\s*[-–—][^\\S\\n]*\\S.*^\\s*[-–—][^\\S\\n]*\\S")
+    plain = F.regexp_replace(plain, "(?m)^\\s*[-–—]\\s*", "")
     bare = F.regexp_replace(plain, "(?m)^\\s*(\\([^)]*\\)|\\[[^\\]]*\\]|[A-Z][\\w .]{0,20}:)\\s*", "")
     return F.when(plain.rlike("[♪♫♬]") | several, "").otherwise(F.trim(F.regexp_replace(bare, "\\s+", " ")))
 

@@ -144,3 +144,10 @@ def three_model_exclusion(spark, d):
 def clean_dialogue(spark, d):
     docs = fx.table(spark, d, "documents").where(~F.substring("text", 1, 300).rlike("(?m)^\\s*[-–—]"))
     return docs.select("doc_id", tf.clean_dialogue(F.substring("text", 1, 300)).alias("line"))
+
+
+@register("X7_clean_dialogue_whole")
+def clean_dialogue_whole(spark, d):
+    """Whole texts and every document; the SQL twin of X7_clean_dialogue states a prefix and
+    leaves out dash-led texts."""
+    return fx.table(spark, d, "documents").select("doc_id", tf.clean_dialogue(F.col("text")).alias("line"))

@@ -23,6 +23,12 @@ def safe_name(spark, d):
     return turns(spark, d).select("conv_id", "turn", tf.safe_name(F.substring("text", 1, 60)).alias("name"))
 
 
+@register("X1_safe_name_whole")
+def safe_name_whole(spark, d):
+    """Of whole texts; the SQL twin of X1_safe_name states a prefix."""
+    return turns(spark, d).select("conv_id", "turn", tf.safe_name(F.col("text")).alias("name"))
+
+
 @register("X2_language_of_text", f"""SELECT doc_id, CASE WHEN regexp_matches(text, '{KANA}') THEN 'ja' WHEN lower(trim(lang)) IN ('ja', 'zh', 'en', 'fr', 'de', 'es') THEN lower(trim(lang)) WHEN regexp_matches(text, '{CJK}') THEN 'zh' ELSE 'und' END AS language FROM documents""")
 def language_of_text(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", tf.language_of(F.col("text"), F.col("lang")).alias("language"))
@@ -47,6 +53,13 @@ def join_texts(spark, d):
     return t.select("conv_id", "turn", tf.join_texts(F.substring("text", 1, 40), F.substring("n", 1, 40)).alias("joined"))
 
 
+@register("X6_join_texts_whole")
+def join_texts_whole(spark, d):
+    """Of whole texts; the SQL twin of X6_join_texts states prefixes."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return turns(spark, d).withColumn("n", F.lead("text").over(w)).select("conv_id", "turn", tf.join_texts(F.col("text"), F.col("n")).alias("joined"))
+
+
 @register("X8_training_text", r"""SELECT conv_id, turn, trim(regexp_replace(replace(CASE WHEN turn % 3 = 0 THEN trim(role) || '|' || trim(text) ELSE trim(text) END, '|', '／'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS line FROM conversations""")
 def training_text(spark, d):
     revised = F.when(F.col("turn") % 3 == 0, F.concat(F.trim("role"), F.lit("|"), F.trim("text")))
@@ -147,13 +160,13 @@ def text_previews(spark, d):
 
 @register("X9_text_similarity")
 def text_similarity(spark, d):
-    """2 * LCS / (lengths) of letters of neighbouring turns' openings, vectorised."""
+    """2 * LCS / (lengths) of letters of neighbouring turns, vectorised."""
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([lcs_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
 
     w = Window.partitionBy("conv_id").orderBy("turn")
     t = turns(spark, d).withColumn("n", F.lead("text").over(w)).where("n is not null")
-    return t.select("conv_id", "turn", F.round(F.pandas_udf(ratio, "double")(F.substring("text", 1, 200), F.substring("n", 1, 200)), 6).alias("similarity"))
+    return t.select("conv_id", "turn", F.round(F.pandas_udf(ratio, "double")("text", "n"), 6).alias("similarity"))
 
 
 def lcs_ratio(a: str, b: str) -> float:
