@@ -1,8 +1,9 @@
 """Secret scans through nested encodings.
 
 Each text is layer 0 of a worklist.  Each layer is scanned for secrets, then unwrapped: URL
-escapes and Unicode escapes give the whole layer again without them, each base64 run and the
-compressed data in it a layer of its own.  New layers go to the worklist until none is left;
+escapes and Unicode escapes give the whole layer again without them, each base64 run, within a
+line or over line ends, a layer of its own, through all compressed layers and members in it.
+Decoded bytes that aren't UTF-8 are scanned as latin-1.  New layers go to the worklist until none is left;
 a layer whose text was seen for the same place is a cycle and not taken again.  Every layer
 knows which characters of the document each of its characters came from, so spans are of the
 original text, in code points, end exclusive.
@@ -50,6 +51,9 @@ _UNICODE = re.compile(
 _NAMED = {"&quot;": '"', "&amp;": "&", "&apos;": "'", "&lt;": "<", "&gt;": ">"}
 #: No shorter run can hold a secret: 16 bytes of hex take 22 characters.
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{22,}={0,2}")
+#: Runs that go on over line ends, and their lines.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?+\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_DIGITS = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 _STANDARD = str.maketrans("-_", "+/")
 
 
@@ -140,27 +144,31 @@ def _escape(run: str) -> list[tuple[str, int, int]] | None:
     return [(chr(code), 0, len(run))] if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def _inflate(data: bytes, room: int) -> tuple[bytes, bool] | None:
-    """What compressed data holds, up to room bytes, and whether there was more."""
+def _member(data: bytes, room: int) -> tuple[bytes, bytes, bool, bool] | None:
+    """Of one compressed member: what it holds, up to room bytes; the bytes after it; whether
+    there was more; whether it ended.  None for other data."""
     try:
         if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] << 8 | data[1]) % 31 == 0:
             d = zlib.decompressobj(zlib.MAX_WBITS | 32)
             out = d.decompress(data, room)
-            return out, bool(d.unconsumed_tail)
+            return out, d.unused_data, not d.eof and (bool(d.unconsumed_tail) or len(out) >= room), d.eof
         if data[:3] == b"BZh":
             d = bz2.BZ2Decompressor()
-            out = d.decompress(data, room)
-            return out, not d.eof and not d.needs_input
-        if data[:6] == b"\xfd7zXZ\x00":
+        elif data[:6] == b"\xfd7zXZ\x00":
             d = lzma.LZMADecompressor(memlimit=100_000_000)
-            out = d.decompress(data, room)
-            return out, not d.eof and not d.needs_input
-        if data[:4] == b"\x28\xb5\x2f\xfd":
+        elif data[:4] == b"\x28\xb5\x2f\xfd":
             import zstandard
 
-            with zstandard.ZstdDecompressor(max_window_size=1 << 26).stream_reader(data) as r:
-                out = r.read(room)
-                return out, bool(r.read(1))
+            d, out, size, k = zstandard.ZstdDecompressor(max_window_size=1 << 26).decompressobj(), [], 0, 0
+            while k < len(data) and not d.eof and size < room:  # a few bytes at a time, so that a bomb is met early
+                out.append(d.decompress(data[k : k + 256]))
+                size, k = size + len(out[-1]), k + 256
+            more = size > room or not d.eof and k < len(data)
+            return b"".join(out)[:room], d.unused_data + data[k:] if d.eof else b"", more, d.eof
+        else:
+            return None
+        out = d.decompress(data, room)
+        return out, d.unused_data, not d.eof and not d.needs_input, d.eof
     except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
         return None
     except Exception as e:  # zstandard's own error
@@ -169,46 +177,115 @@ def _inflate(data: bytes, room: int) -> tuple[bytes, bool] | None:
     return None
 
 
-def _readable(raw: bytes) -> str | None:
-    """The text in bytes, if they are one."""
+def _inflate(data: bytes, room: int) -> tuple[bytes, bytes, bool, bool] | None:
+    """As _member, of all members that follow each other."""
+    parts, rest, more, whole = [], data, False, True
+    while rest and whole and not more:
+        if room <= 0:
+            more = True
+            break
+        found = _member(rest, room)
+        if found is None:
+            break
+        out, rest, more, whole = found
+        rest = rest.lstrip(b"\0")  # padding
+        parts.append(out)
+        room -= len(out)
+    return (b"".join(parts), rest, more, whole) if parts else None
+
+
+def _contents(raw: bytes, room: int) -> tuple[list[tuple[bytes, int]], int, bool]:
+    """The byte layers under raw that aren't compressed, with the number of compressed ones
+    above each but the first; the bytes of layers between; whether the limit was met."""
+    work, seen, out, used, cut = [(raw, -1)], {raw}, [], 0, False
+    while work:
+        data, above = work.pop()
+        found = _inflate(data, max(1, room - used))
+        if found is None:
+            out.append((data, max(0, above)))
+            continue
+        content, rest, more, whole = found
+        cut |= more
+        if above >= 0:
+            used += len(data)
+        if not whole:  # cut off, or not compressed at all
+            out.append((data, max(0, above)))
+        for x, n in ((content, above + 1), (rest, above)):
+            if x and x not in seen and used + len(x) <= room:
+                seen.add(x)
+                work.append((x, n))
+            elif x and x not in seen:
+                cut = True
+    return out, used, cut
+
+
+def _readable(raw: bytes) -> tuple[str, bool]:
+    """The bytes as text, and whether they are UTF-8; else each byte is a character."""
     try:
-        text = raw.decode("utf-8")
+        return raw.decode("utf-8"), True
     except UnicodeDecodeError:
-        return None
-    odd = sum(not (c.isprintable() or c in "\t\n\r") for c in text[:2000])
-    return text if text and odd * 20 <= min(len(text), 2000) else None
+        return raw.decode("latin-1"), False
 
 
-def _unwrapped(layer: Layer, run: tuple[int, int], room: int) -> tuple[Layer | None, bool]:
-    """The layer in a base64 run, through compression if there is one."""
-    a, b = run
-    body = layer.text[a:b].rstrip("=").translate(_STANDARD)
-    if len(body) % 4 == 1:
-        return None, False
+def _unwrapped(layer: Layer, run: list[tuple[int, int]], room: int) -> tuple[list[Layer], int, bool]:
+    """The layers in a base64 run, given as its pieces, through all compression in it; the
+    bytes of compressed layers between; whether the limit was met."""
+    a, b = run[0][0], run[-1][1]
+    body = "".join(layer.text[x:y] for x, y in run).rstrip("=").translate(_STANDARD)
+    body = body[: len(body) - (len(body) % 4 == 1)]
     try:
         raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except binascii.Error:
-        return None, False
-    text = _readable(raw)
-    if text is not None:
+        return [], 0, False
+    whole = layer.span(a, b)
+    contents, used, cut = _contents(raw, room)
+    out = []
+    for data, above in contents:
+        text, utf8 = _readable(data)
+        if not text:
+            continue
+        if data is not raw or whole[1] - whole[0] != b - a:
+            out.append(Layer(text, [0], [whole[0]], [whole[1]], layer.depth + 1 + above))
+            continue
+        places = [whole[0] + i - a for x, y in run for i in range(x, y)] if len(run) > 1 else range(whole[0], whole[1])
         at, origin, end, i = [], [], [], 0
-        whole = layer.span(a, b)
-        exact = whole[1] - whole[0] == b - a
-        if not exact:
-            return Layer(text, [0], [whole[0]], [whole[1]], layer.depth + 1), False
         for k, c in enumerate(text):  # a character comes from the base64 digits with its bits
-            n = len(c.encode())
+            n = len(c.encode()) if utf8 else 1
             at.append(k)
-            origin.append(whole[0] + i * 8 // 6)
-            end.append(whole[0] + -(-(i + n) * 8 // 6))
+            origin.append(places[i * 8 // 6])
+            end.append(places[-(-(i + n) * 8 // 6) - 1] + 1)
             i += n
-        return Layer(text, at, origin, end, layer.depth + 1), False
-    found = _inflate(raw, room)
-    if found is None:
-        return None, False
-    text = found[0].decode("utf-8", "replace")
-    x, y = layer.span(a, b)
-    return (Layer(text, [0], [x], [y], layer.depth + 1) if text else None), found[1]
+        out.append(Layer(text, at, origin, end, layer.depth + 1))
+    return out, used, cut
+
+
+def _runs(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Base64 runs as lists of their pieces: those within a line, then those over line ends.
+    Of lines that follow each other: all; all but a first one that begins within its line; and
+    each stretch of lines of one length with a last one that may be shorter, so that words
+    above or below a block don't shift it."""
+    for m in _BASE64.finditer(text):
+        yield [m.span()]
+    if "\n" not in text and "\r" not in text:
+        return
+    for m in _WRAPPED.finditer(text):
+        lines = [x.span() for x in _DIGITS.finditer(text, *m.span())]
+        size = [y - x for x, y in lines]
+        starts = {0: len(lines)}
+        if m.start() and text[m.start() - 1] not in "\r\n":
+            starts[1] = len(lines)
+        given, k = set(), 0
+        ranges = list(starts.items())
+        while k < len(lines):
+            stop = k + 1
+            while stop < len(lines) and size[stop] == size[k]:
+                stop += 1
+            ranges.append((k, stop + (stop < len(lines) and size[stop] < size[k])))
+            k = stop
+        for x, y in ranges:
+            if (x, y) not in given and y - x > 1 and sum(size[x:y]) >= 22:
+                given.add((x, y))
+                yield lines[x:y]
 
 
 def scan(text: str | None, layer_bytes: int = LAYER_BYTES) -> tuple[list, list, int, bool]:
@@ -232,10 +309,11 @@ def scan(text: str | None, layer_bytes: int = LAYER_BYTES) -> tuple[list, list,
             new.append(_rewritten(layer, _URL, _percent))
         if "\\" in layer.text or "&" in layer.text:
             new.append(_rewritten(layer, _UNICODE, _escape))
-        for m in _BASE64.finditer(layer.text):
-            child, more = _unwrapped(layer, m.span(), max(1, room))
+        for run in _runs(layer.text):
+            children, used, more = _unwrapped(layer, run, max(1, room))
             cut |= more
-            new.append(child)
+            room -= used
+            new += children
         for child in new:
             if child is None:
                 continue
