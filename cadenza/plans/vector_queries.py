@@ -52,13 +52,15 @@ def weighted_centroid(spark, d):
     SELECT vec_id, round(greatest(a, b - 0.02), 6) AS score FROM s""",
 )
 def profile_score(spark, d):
-    """Best of the centroid's cosine and the mean of the two nearest references, less 0.02.
-    The references of a profile are few and bounded by `slice`."""
+    """Best of the centroid's cosine and the mean of the two nearest of all references, less 0.02."""
+    from cadenza.operators.neighbours import nearest_scores
+
     v = vectors(spark, d)
     refs = v.where("role = 3 and vec_id % 5 = 0")
-    profile = refs.agg(vf.mean_vector("primary", 32).alias("c"), F.slice(F.array_sort(F.collect_list(F.struct("vec_id", "primary"))), 1, 5000).alias("refs"))
-    s = v.crossJoin(F.broadcast(profile))  # one row
-    near = vf.top_mean(F.transform("refs", lambda r: vf.dot("primary", r["primary"])), 2)
+    centroid = refs.agg(vf.mean_vector("primary", 32).alias("c"))
+    plain = lambda x: x.select("vec_id", F.col("primary").alias("v"))
+    s = v.crossJoin(F.broadcast(centroid)).join(nearest_scores(plain(v), plain(refs), 2), "vec_id", "left")  # one row
+    near = vf.total("scores") / F.size("scores")
     return s.select("vec_id", F.round(F.greatest(vf.cosine("primary", "c"), near - 0.02), 6).alias("score"))
 
 
