@@ -1,10 +1,15 @@
 """Token ids as Re-Pair grammars: a file format with random access.
 
 A block holds the ids of consecutive documents.  Frequent pairs of neighbouring ids are
-replaced by nonterminals, again and again, until no pair is frequent or the rules run out;
-the block stores the rules, the expansion length of each, the remaining sequence, and the
-documents' ids and lengths.  Any range of ids can be decoded without the rest: cumulated
-expansion lengths say which symbols cover it.
+replaced by nonterminals, again and again, until no pair is frequent; the block stores the
+rules, the expansion length of each, the remaining sequence, and the documents' ids and
+lengths.  Any range of ids can be decoded without the rest: cumulated expansion lengths say
+which symbols cover it.
+
+Pairs are replaced in rounds, where each is more frequent than the pairs it overlaps, so the
+most frequent pair is replaced wherever it stands, and others as long as their uses in the
+round are frequent by exact count.  Counts are kept, not taken anew: a round takes off the
+pairs around its replacements and counts the new ones there.
 
 Files are written by Spark in Parquet with one row a block (`part`, `block`, `part_start`,
 `n_ids`, `n_docs`, `blob`), in ascending order of the documents; `part` ascends with doc_id.
@@ -30,74 +35,116 @@ from cadenza.llm.common import empty_text, read_table, shared_folder
 from cadenza.llm.tokens import document_ids, public_path
 
 MAGIC = b"RPG1"
-#: Symbols, ids and nonterminals together, fit in 16 bits.
-SYMBOLS = 1 << 16
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 20
 #: A pair is frequent if it is found so many times in a block.
 LEAST_COUNT = 64
-#: Rounds of replacement, each of up to `ROUND_RULES` new rules.
-ROUNDS = 4
-ROUND_RULES = 2048
-#: Documents tokenised and decoded at a time.
-STEP = 256
-
-
-def compress(ids: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Entries of the largest table by which pairs are looked up; larger sets are searched.
+TABLE = 1 << 22
+#: Documents tokenised at a time, at the most.
+STEP = 2048
+
+
+def _frequent(seq: np.ndarray, places: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Of the pairs that begin at the ascending places: those found `least` times or more with
+    their counts, and the places that hold one, with its number."""
+    if not len(places):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), places, places
+    left, right = seq[places], seq[places + 1]
+    small = max(int(left.max()), int(right.max())) < 1 << 16  # then keys of 32 bits sort quicker
+    keys = left << np.uint32(16) | right if small else left.astype(np.uint64) << np.uint64(32) | right
+    ordered = np.sort(keys)
+    edges = np.flatnonzero(np.concatenate((np.ones(1, bool), ordered[1:] != ordered[:-1])))
+    counts = np.diff(np.append(edges, len(keys)))
+    often = counts >= least
+    pairs, counts = ordered[edges[often]], counts[often]
+    if small:
+        pairs = (pairs >> np.uint32(16)).astype(np.uint64) << np.uint64(32) | (pairs & np.uint32(0xFFFF))
+    if not len(pairs):
+        return pairs, counts, places[:0], places[:0]
+    high, low = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    # Symbols get numbers among the pairs' left and right ones; a table of both says which pair.
+    row, column = np.zeros(int(left.max()) + 1, np.int32), np.zeros(int(right.max()) + 1, np.int32)
+    lefts, rights = np.unique(high), np.unique(low)
+    row[lefts], column[rights] = np.arange(1, len(lefts) + 1), np.arange(1, len(rights) + 1)
+    maybe = np.flatnonzero((row[left] > 0) & (column[right] > 0))
+    if len(lefts) * len(rights) <= TABLE:
+        table = np.full((len(lefts) + 1, len(rights) + 1), -1, np.int32)
+        table[row[high], column[low]] = np.arange(len(pairs))
+        found = table[row[left[maybe]], column[right[maybe]]].astype(np.int64)
+        hit = found >= 0
+    else:
+        asked = left[maybe].astype(np.uint64) << np.uint64(32) | right[maybe]
+        found = np.searchsorted(pairs, asked)
+        hit = pairs[np.minimum(found, len(pairs) - 1)] == asked
+    return pairs, counts, places[maybe[hit]], found[hit]
+
+
+def compress(ids: np.ndarray, first_rule: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (pairs of symbols, the i-th made by symbol first_rule + i), their expansion
-    lengths, and the remaining sequence."""
+    lengths, and the remaining sequence, in which no pair is found `least` times."""
     seq, rules, lengths = ids.astype(np.uint32), [], [1] * first_rule
-    for _ in range(ROUNDS):
-        room = min(ROUND_RULES, SYMBOLS - first_rule - len(rules))
-        if room <= 0 or len(seq) < 2:
+    pairs, counts, at, which = _frequent(seq, np.arange(max(0, len(seq) - 1)), least)
+    while True:
+        live = counts[which] >= least
+        at, which = at[live], which[live]
+        if not len(at):
             break
-        keys = (seq[:-1] << np.uint32(16)) | seq[1:]
-        ordered = np.sort(keys)
-        edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        counts = np.diff(np.append(edges, len(ordered)))
-        often = np.flatnonzero(counts >= LEAST_COUNT)
-        if not len(often):
-            break
-        # The most frequent pairs of this round; ties by pair, so that a retry gives the same.
-        often = often[np.lexsort((ordered[edges[often]], -counts[often]))[:room]]
-        pairs = np.sort(ordered[edges[often]])
-        left = np.zeros(SYMBOLS, bool)
-        left[pairs >> 16] = True
-        at = np.flatnonzero(left[seq[:-1]])
-        found = np.searchsorted(pairs, keys[at])
-        hit = pairs[np.minimum(found, len(pairs) - 1)] == keys[at]
-        at, found = at[hit], found[hit]
-        # Of overlapping places in a run, every other one from its start is replaced.
-        start = np.concatenate(([True], np.diff(at) > 1)) if len(at) else np.zeros(0, bool)
-        run = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
-        taken = (np.arange(len(at)) - run) % 2 == 0
-        at, found = at[taken], found[taken]
-        base = first_rule + len(rules)
-        seq[at] = base + found
+        # Of overlapping places the more frequent pair's counts; ties go to the larger pair.
+        rank = np.empty(len(pairs), np.int64)
+        rank[np.lexsort((pairs, counts))] = np.arange(len(pairs))
+        mine, near = rank[which], at[1:] == at[:-1] + 1
+        before, after = np.full(len(at), -1), np.full(len(at), -1)
+        before[1:][near], after[:-1][near] = mine[:-1][near], mine[1:][near]
+        # A pair that overlaps itself is taken at every other place of a run.
+        place = np.arange(len(at))
+        run = np.maximum.accumulate(np.where(mine == before, 0, place))
+        take = (mine >= before) & (mine >= after) & ((place - run) % 2 == 0)
+        uses = np.bincount(which[take], minlength=len(pairs))
+        good = uses >= least
+        if not good.any():
+            good = uses == uses.max()
+        take &= good[which]
+        gone = take.copy()
+        gone[:-1] |= take[1:] & near
+        gone[1:] |= take[:-1] & near
+        counts -= np.bincount(which[gone], minlength=len(pairs))
+        spot, number = at[take], (np.cumsum(good) - 1)[which[take]]
+        seq[spot] = first_rule + len(rules) + number
         keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
+        keep[spot + 1] = False
         seq = seq[keep]
-        for p in pairs.tolist():
-            a, b = p >> 16, p & 0xFFFF
+        for p in pairs[good].tolist():
+            a, b = p >> 32, p & 0xFFFFFFFF
             rules.append((a, b))
             lengths.append(lengths[a] + lengths[b])
-    return (
-        np.array(rules, "<u2").reshape(-1, 2),
-        np.array(lengths[first_rule:], "<u4"),
-        seq.astype("<u2"),
-    )
+        # Every replacement before a place moves it by one.
+        rest = at[~gone]
+        rest = rest - (np.searchsorted(spot, rest) if len(rest) < len(keep) // 16 else np.cumsum(~keep)[rest])
+        spot = spot - np.arange(len(spot))
+        ends = np.sort(np.concatenate((spot, spot - 1)))
+        ends = ends[(np.diff(ends, prepend=-2) > 0) & (ends >= 0) & (ends < len(seq) - 1)]
+        more, more_counts, new_at, new_which = _frequent(seq, ends, least)
+        at = np.concatenate((rest, new_at))
+        which = np.concatenate((which[~gone], new_which + len(pairs)))
+        order = np.argsort(at, kind="stable")
+        at, which = at[order], which[order]
+        pairs, counts = np.concatenate((pairs, more)), np.concatenate((counts, more_counts))
+    wide = first_rule + len(rules) > 1 << 16
+    kind = "<u4" if wide else "<u2"
+    return np.array(rules, kind).reshape(-1, 2), np.array(lengths[first_rule:], "<u4"), seq.astype(kind)
 
 
 def encode_block(doc_ids: list[int | None], docs: list[np.ndarray], vocabulary: int) -> bytes:
     """One block's blob.  Ids have to be below `vocabulary`."""
     ids = np.concatenate(docs)
-    if vocabulary >= SYMBOLS or (len(ids) and int(ids.max()) >= vocabulary):
-        raise ValueError(f"ids have to be below {vocabulary}, and that below {SYMBOLS}")
+    if len(ids) and int(ids.max()) >= vocabulary:
+        raise ValueError(f"ids have to be below {vocabulary}")
     rules, lengths, seq = compress(ids, vocabulary)
     null = np.array([d is None for d in doc_ids], "u1")
     names = np.array([0 if d is None else d for d in doc_ids], "<i8")
     sizes = np.array([len(d) for d in docs], "<u4")
-    head = np.array([vocabulary, len(rules), len(seq), len(docs), len(ids), 0, 0], "<u8")
+    head = np.array([vocabulary, len(rules), len(seq), len(docs), len(ids), seq.itemsize, 0], "<u8")
     return b"".join([MAGIC, *(x.tobytes() for x in (head, names, sizes, null, rules, lengths, seq))])
 
 
@@ -107,7 +154,7 @@ class Block:
     def __init__(self, blob: bytes):
         if blob[:4] != MAGIC:
             raise ValueError("not a block of ids")
-        self.first_rule, n_rules, n_seq, n_docs, self.n_ids, _, _ = np.frombuffer(blob, "<u8", 7, 4).tolist()
+        self.first_rule, n_rules, n_seq, n_docs, self.n_ids, width, _ = np.frombuffer(blob, "<u8", 7, 4).tolist()
         at = 4 + 7 * 8
 
         def take(kind: str, n: int) -> np.ndarray:
@@ -118,25 +165,21 @@ class Block:
 
         names, self.sizes, null = take("<i8", n_docs), take("<u4", n_docs), take("u1", n_docs)
         self.doc_ids = [None if x else d for d, x in zip(names.tolist(), null.tolist(), strict=True)]
-        self.rules, self.lengths = take("<u2", 2 * n_rules).reshape(-1, 2), take("<u4", n_rules)
-        self.seq = take("<u2", n_seq)
+        self.rules, self.lengths = take(f"<u{width}", 2 * n_rules).reshape(-1, 2), take("<u4", n_rules)
+        self.seq = take(f"<u{width}", n_seq)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes, dtype=np.int64)))
         self._all = np.concatenate((np.ones(self.first_rule, np.int64), self.lengths.astype(np.int64)))
-        self._ends = None
+        self._ends = self._flat = None
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:
-        seq = seq.astype(np.uint32)
-        while True:
-            rule = seq >= self.first_rule
-            if not rule.any():
-                return seq
-            size = 1 + rule.astype(np.int64)
-            to = np.cumsum(size) - size
-            out = np.empty(int(size.sum()), np.uint32)
-            out[to[~rule]] = seq[~rule]
-            pair = self.rules[seq[rule] - self.first_rule]
-            out[to[rule]], out[to[rule] + 1] = pair[:, 0], pair[:, 1]
-            seq = out
+        if self._flat is None:  # all symbols' expansions, one after the other
+            known = list(np.arange(self.first_rule, dtype=np.uint32)[:, None])
+            for a, b in self.rules.tolist():
+                known.append(np.concatenate((known[a], known[b])))
+            self._flat, self._from = np.concatenate(known), np.cumsum(self._all) - self._all
+        size = self._all[seq]
+        shift = np.repeat(self._from[seq] - (np.cumsum(size) - size), size)
+        return self._flat[shift + np.arange(len(shift))]
 
     def range(self, start: int, stop: int) -> np.ndarray:
         """The ids from start to stop; only symbols that cover them are expanded."""

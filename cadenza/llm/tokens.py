@@ -2,11 +2,16 @@
 
 `WordEncoder` is for the tokenizer that drops white space: a text is cut at blanks, where
 that tokenizer always cuts too, so the ids of the chunks, one after the other, are the ids of
-the text.  Each chunk is encoded once and kept in a cache of bounded size.
+the text.  Each chunk is encoded once by the tokenizers library and kept in a cache of bounded
+size.
 
 `ByteEncoder` is for byte-level BPE: the vocabulary of the same file runs in tiktoken, which
 gives the same ids in a third of the time; texts with a special token's string, which
 tiktoken would read as plain text, go through the tokenizers library itself.
+
+Both are held against the tokenizers library where they run: of all texts, one in `CHECKED`,
+chosen by a checksum of its bytes, is encoded by the library as it is, whole, and a difference
+ends the task with an error.
 """
 
 from __future__ import annotations
@@ -15,22 +20,31 @@ import gc
 import json
 import os
 import re
+import zlib
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
 #: id that ends each document.
 END_ID = 1
 END_BYTES = np.array([END_ID], "<u4").tobytes()
-#: Cached chunks; beyond that the cache starts anew.  Bounds the memory of a Python worker.
+#: One text in so many is encoded by the library as a whole, too, and compared.
+CHECKED = 64
+#: Cached chunks; beyond that the older half goes.  Bounds the memory of a Python worker.
 CACHE_CHUNKS = 700_000
 #: Longer chunks are encoded each time and not kept.
 CACHE_CHARS = 64
 #: Words encoded in one call of the model.
 JOINED_WORDS = 500
+#: Characters of the texts that are cut into chunks at a time, about.
+BATCH_CHARS = 6_000_000
 
-#: Latin letters that have one form only under NFC and one small letter, then punctuation.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,!?;:]*)\Z")
+#: Within these characters, which have one form only under NFC and one small letter each, a
+#: text may be lowered at once.
+_OTHER = re.compile("[^\\x00-\u012f\u0131-\u024f]")
+#: Marks that may follow a word; the tokenizer cuts between letters and marks.
+_MARKS = ".,!?;:*#$%&)"
 
 
 def _load(path: str):
@@ -53,52 +67,80 @@ class WordEncoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
         for piece, i in self.tokenizer.get_vocab().items():
             self.ends[i] = piece.endswith("</w>")
-        self.cache: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {"": b""}
+        self.tails: dict[str, bytes] = {}
 
-    def _whole(self, chunks: list[str]) -> dict[str, bytes]:
+    def _whole(self, chunks: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(chunks, found, strict=True)}
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _learn_words(self, words: list[str]) -> None:
+    def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words of small letters, many in one text; the vocabulary tells where each ends."""
         groups = [words[i : i + JOINED_WORDS] for i in range(0, len(words), JOINED_WORDS)]
-        found = self.words.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
-        for g, e in zip(groups, found, strict=True):
+        out: list[bytes] = []
+        for e in self.words.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False):
             ids = np.array(e.ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             raw = ids.tobytes()
-            self.known.update((x, raw[a:b]) for x, a, b in zip(g, [0, *cuts], cuts, strict=False))
+            out += map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts))
+        return out
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of new chunks."""
-        other, parts = [], []
+        """Ids of new chunks, which are lowered unless they are odd."""
+        plain, marked, stems, marks, other = [], [], [], [], []
         for x in chunks:
-            if m := _PLAIN.match(x):
-                parts += x, m[1].lower(), m[2]
-            else:
+            if not x.isascii() and _OTHER.search(x):
                 other.append(x)
-        words, marks = parts[1::3], parts[2::3]
-        if len(self.known) + len(words) > CACHE_CHUNKS:
-            self.known.clear()
-        self._learn_words(list(set(words).difference(self.known)))
-        known, tail, out = self.known, self._whole(list(set(marks))), self._whole(other)
-        out.update((x, known[w] + tail[t]) for x, w, t in zip(parts[::3], words, marks, strict=True))
+            elif x.isalpha():
+                plain.append(x)
+            else:
+                stem = x.rstrip(_MARKS)
+                if stem.isalpha():
+                    marked.append(x)
+                    stems.append(stem)
+                    marks.append(x[len(stem) :])
+                else:
+                    other.append(x)
+        unknown = list(set(marks).difference(self.tails))
+        self.tails.update(zip(unknown, self._whole(unknown), strict=True))
+        known, tails = self.cache, self.tails
+        plain += set(stems).difference(plain, known)
+        out = dict(zip(plain, self._words(plain), strict=True))
+        for x, stem, mark in zip(marked, stems, marks, strict=True):
+            out[x] = (out[stem] if stem in out else known[stem]) + tails[mark]
+        out.update(zip(other, self._whole(other), strict=True))
         return out
 
+    def _make_room(self, more: int) -> None:
+        if len(self.tails) > CACHE_CHUNKS // 10:
+            self.tails.clear()
+        if len(self.cache) + more > CACHE_CHUNKS:  # the oldest go first, as dicts keep their order
+            stay = islice(self.cache.items(), min(len(self.cache), CACHE_CHUNKS // 2 + more), None)
+            self.cache = {"": b""} | dict(stay)
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        """The chunks between blanks, lowered where that is surely what the tokenizer does."""
+        if text.isascii() or not _OTHER.search(text):
+            return text.lower().replace("\n", " ").split(" ")
+        chunks = text.replace("\n", " ").split(" ")
+        return [x.lower() if x.isascii() or not _OTHER.search(x) else x for x in chunks]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         gc.disable()  # nothing here makes cycles, and the caches are large
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        here = set().union(*cut)
-        if len(self.cache) + len(here) > CACHE_CHUNKS:
-            self.cache.clear()
-        new = here.difference(self.cache)
-        self.cache.update(self._learn([x for x in new if len(x) <= CACHE_CHARS]))
-        long = self._learn([x for x in new if len(x) > CACHE_CHARS])
-        find = self.cache.__getitem__ if not long else lambda x: self.cache[x] if x in self.cache else long[x]
-        out = [b"".join(map(find, c)) for c in cut]
-        gc.enable()
-        return out
+        try:
+            cut = [self._cut(t) for t in texts]
+            here = set().union(*cut)
+            self._make_room(len(here))
+            new = here.difference(self.cache)
+            long = {x for x in new if len(x) > CACHE_CHARS}
+            self.cache.update(self._learn(list(new - long if long else new)))
+            find = self.cache
+            if long:
+                find = {x: self.cache[x] for x in here if x not in long} | self._learn(list(long))
+            return [b"".join(map(find.__getitem__, c)) for c in cut]
+        finally:
+            gc.enable()
 
 
 #: How byte-level BPE cuts a text before merging (fixed by the public vocabulary).
@@ -144,11 +186,27 @@ def encoder(path: str) -> WordEncoder | ByteEncoder:
     return WordEncoder(path) if drops_blanks else ByteEncoder(path)
 
 
-def document_ids(path: str, texts: list[str | None], step: int = 256) -> list[bytes]:
+def _compare(enc: WordEncoder | ByteEncoder, texts: list[str], ids: list[bytes]) -> None:
+    """Raises where the library's ids of the checked share of the texts differ."""
+    for t, x in zip(texts, ids, strict=True):
+        if zlib.crc32(t.encode("utf-8", "replace")) % CHECKED == 0:
+            if np.array(enc.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() != x:
+                raise ValueError(f"ids differ from the tokenizers library's for a text that begins {t[:80]!r}")
+
+
+def document_ids(path: str, texts: list[str | None]) -> list[bytes]:
     """Ids of each document with the end id; null counts as the empty text."""
-    enc, out = encoder(path), []
-    for i in range(0, len(texts), step):
-        out += [x + END_BYTES for x in enc.encode([t or "" for t in texts[i : i + step]])]
+    enc, out, at = encoder(path), [], 0
+    while at < len(texts):
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size < BATCH_CHARS):
+            size += len(texts[stop] or "")
+            stop += 1
+        some = [t or "" for t in texts[at:stop]]
+        ids = enc.encode(some)
+        _compare(enc, some, ids)
+        out += [x + END_BYTES for x in ids]
+        at = stop
     return out
 
 

@@ -70,3 +70,41 @@ def test_nulls_ties_and_empty_tables(spark, tmp_path):
     assert [(r.doc_id, r.start, r.n_tokens) for r in got] == [(None, 0, 2), (1, 2, 3), (1, 5, 3), (3, 8, 1)]
     repair.write_ids(docs.limit(0), f"{tmp_path}/b", WORDS)
     assert repair.read_digests(spark, f"{tmp_path}/b").count() == 0
+
+
+def pair_counts(seq):
+    counts = {}
+    for a, b in zip(seq.tolist(), seq[1:].tolist(), strict=False):
+        counts[a, b] = counts.get((a, b), 0) + 1
+    return counts
+
+
+@pytest.mark.parametrize("least", [2, 5, 64])
+def test_replacement_goes_on_until_no_pair_is_frequent(least):
+    rng = np.random.default_rng(11)
+    for ids in (rng.integers(0, 30, 6000), rng.zipf(1.3, 6000) % 500, np.repeat(rng.integers(0, 3, 500), rng.integers(1, 30, 500)), np.zeros(777, np.int64)):
+        rules, lengths, seq = repair.compress(ids.astype(np.uint32), 500, least)
+        assert max(pair_counts(seq).values(), default=0) < least
+        used = {x for x in [*seq.tolist(), *rules.ravel().tolist()] if x >= 500}
+        assert used == set(range(500, 500 + len(rules)))  # no rule without a use
+        full = {i: [i] for i in range(500)}
+        for i, (a, b) in enumerate(rules.tolist()):
+            full[500 + i] = full[a] + full[b]
+            assert len(full[500 + i]) == lengths[i]
+        assert [x for s in seq.tolist() for x in full[s]] == ids.tolist()
+
+
+def test_more_symbols_than_16_bits():
+    ids = np.tile(np.random.default_rng(2).integers(0, 70_000, 50), 300).astype(np.uint32)
+    b = repair.Block(repair.encode_block([7], [ids], 70_000))
+    assert len(b.rules) and (b.ids() == ids).all() and (b.range(100, 9000) == ids[100:9000]).all()
+
+
+def test_ids_that_differ_from_the_library_are_an_error(monkeypatch):
+    from cadenza.llm import tokens
+
+    monkeypatch.setattr(tokens, "CHECKED", 1)
+    document_ids(WORDS, ["some words"])
+    monkeypatch.setitem(encoder(WORDS).cache, "words", b"\1\0\0\0")
+    with pytest.raises(ValueError, match="differ"):
+        document_ids(WORDS, ["some words"])
