@@ -203,9 +203,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 _MODELS: dict = {}
 
 
-def score_documents(docs: DataFrame, model: Model | float, text_col: str = "text") -> DataFrame:
-    """The documents with columns score and predicted."""
-    score, predicted = free_name(docs, "score"), free_name(docs, "predicted")
+def score_documents(docs: DataFrame, model: Model | float, text_col: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """The documents with two more columns, named by the caller; a name that they have already
+    gets underscores in front, as `free_name` does."""
+    score, predicted = free_name(docs, score), free_name(docs, predicted)
     if isinstance(model, float):
         scored = docs.withColumn(score, F.lit(model))
     else:

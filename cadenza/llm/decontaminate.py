@@ -5,13 +5,19 @@ folded.  A window is 13 consecutive words of a benchmark text; a text of fewer w
 none, is one window.  Every document is scanned once, whole, for all windows at a time; hits
 are mapped back to words, and to offsets of the original text.
 
-The benchmark is broadcast as an automaton.  Its size is measured first: beyond
-`BLOCK_WORDS` words it is cut into blocks of items, the documents are scanned once for each
-block, and hits are joined by document, so that memory stays bounded and no item is dropped.
+The automaton's letters are words: each word of the benchmark has a number, which is one
+character of a window's key, so a window takes 13 nodes; all other words of a document are one
+letter that no key has.
+
+Windows are found by Spark, counted, and broadcast as an automaton.  Beyond `BLOCK_WINDOWS`
+windows (or `BLOCK_BYTES` of them) they are dealt into blocks by hash; the documents are
+written with the hits of each block and read again for the next, row by row, so no two rows are
+ever matched up, memory stays bounded, and no window is dropped.
 
 Defined cases: null or wordless documents have no words and no hits; null or wordless items
-have no windows; repeated items are told apart by item_id; repeated documents each get their
-row; extra columns of either table are ignored.
+have no windows; an item without an id counts as one item and has no name in the digest;
+repeated items are told apart by item_id; repeated documents each get their row; extra columns
+of either table stay or are ignored, and the caller names the new column.
 """
 
 from __future__ import annotations
@@ -19,66 +25,75 @@ from __future__ import annotations
 import pickle
 import re
 import uuid
+from collections.abc import Iterator
+from itertools import repeat
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import free_name, normalised_words, read_table
+from cadenza.llm.common import free_name, materialised, normalised_words, read_table
 
 #: Words in a window.
 WINDOW = 13
-#: Words of benchmark texts in one automaton, about 100 MB of it.
-BLOCK_WORDS = 400_000
+#: Windows in one automaton, and bytes of them, at the most: some 150 MB.
+BLOCK_WINDOWS, BLOCK_BYTES = 200_000, 64_000_000
 #: A document is contaminated if at least one word in so many is hit.
 SHARE = 20
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
+#: The letter of all words that the benchmark doesn't have.
+_OTHER = "\0"
 
 
-def windows_of(text: str | None, window: int = WINDOW) -> set[str]:
-    words = normalised_words(text).decode("latin-1").split()
-    return {" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1))} if words else set()
+def words_of(text: str | None) -> list[bytes]:
+    """Normalised words; whatever is no ASCII blank, also beyond ASCII, stays in its word."""
+    words = normalised_words(text)
+    return words.split(b" ") if words else []
 
 
-def automaton_of(items: list[tuple[int, str | None]], window: int):
-    """Finds windows in bytes of normalised words, read as one character a byte.  The value of
-    a window is (its words, its items)."""
-    import ahocorasick
+def windows_of(text: str | None, window: int = WINDOW) -> set[bytes]:
+    words = words_of(text)
+    return {b" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1))} if words else set()
 
-    of: dict[str, set[int]] = {}
-    for item, text in items:
-        for w in windows_of(text, window):
-            of.setdefault(w, set()).add(item)
-    found = ahocorasick.Automaton()
-    for w, ids in of.items():
-        found.add_word(f" {w} ", (w.count(" ") + 1, tuple(sorted(ids, key=str))))
-    if of:
-        found.make_automaton()
-    return found
 
+class Windows:
+    """Finds windows in sequences of words.  The value of a window is (its words, its items)."""
 
-def scan(automaton, text: str | None) -> tuple[int, list[tuple[int, int]], set[int]]:
-    """Number of words, merged runs of hit words (from, to), and items found."""
-    words = normalised_words(text)
-    if not words:
-        return 0, [], set()
-    padded = b" " + words + b" "
-    total = padded.count(b" ") - 1
-    hits = list(automaton.iter(padded.decode("latin-1"))) if len(automaton) else []
-    if not hits:
-        return total, [], set()
-    blanks = np.flatnonzero(np.frombuffer(padded, np.uint8) == 32)
-    last = np.searchsorted(blanks, [end for end, _ in hits])  # the blank after the last word
-    runs: list[list[int]] = []
-    for a, b in sorted((int(e) - n, int(e)) for e, (n, _) in zip(last, (v for _, v in hits), strict=True)):
-        if runs and a <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], b)
-        else:
-            runs.append([a, b])
-    return total, [(a, b) for a, b in runs], {i for _, (_, ids) in hits for i in ids}
+    def __init__(self, found: list[tuple[object, bytes]]):
+        import ahocorasick
+
+        of: dict[bytes, set] = {}
+        for item, w in found:
+            of.setdefault(w, set()).add(item)
+        self.letters: dict[bytes, str] = {}
+        self.automaton = ahocorasick.Automaton()
+        for w, items in of.items():
+            words = w.split(b" ")
+            key = "".join(self.letters.setdefault(x, self._letter()) for x in words)
+            self.automaton.add_word(key, (len(words), tuple(sorted(items, key=str))))
+        if of:
+            self.automaton.make_automaton()
+
+    def _letter(self) -> str:
+        n = len(self.letters) + 1
+        return chr(n if n < 0xD800 else n + 0x800)  # no surrogates
+
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set]:
+        """Number of words, merged runs of hit words (from, to), and items found."""
+        words = words_of(text)
+        if not words or not len(self.automaton):
+            return len(words), [], set()
+        hits = list(self.automaton.iter("".join(map(self.letters.get, words, repeat(_OTHER)))))
+        runs: list[list[int]] = []
+        for a, b in sorted((end + 1 - n, end + 1) for end, (n, _) in hits):
+            if runs and a <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], b)
+            else:
+                runs.append([a, b])
+        return len(words), [(a, b) for a, b in runs], {i for _, (_, items) in hits for i in items}
 
 
 def offsets_of(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -87,70 +102,77 @@ def offsets_of(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(spans[a][0], spans[b - 1][1]) for a, b in runs]
 
 
-_FOUND = "n_words long, runs array<struct<from:long,to:long>>, spans array<struct<from:long,to:long>>, items array<long>"
+def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(item_id, window): the distinct windows of each item."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item_id"), batch.column("text").to_pylist(), strict=True):
+                found = sorted(windows_of(text, window))
+                items = pa.array([item.as_py()] * len(found), item.type)
+                yield pa.RecordBatch.from_arrays([items, pa.array(found, pa.binary())], names=["item_id", "window"])
+
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    return benchmark.select("item_id", "text").mapInArrow(emit, f"item_id {kind}, window binary").distinct()
 
 
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
+    out: str,
     window: int = WINDOW,
-    block_words: int = BLOCK_WORDS,
-    id_col: str = "doc_id",
+    block_windows: int = BLOCK_WINDOWS,
+    block_bytes: int = BLOCK_BYTES,
     text_col: str = "text",
 ) -> DataFrame:
-    """Adds to the documents a column `contamination`: struct of n_words, runs of hit words,
-    their spans in the text, and items with a window in the document."""
-    spark = docs.sparkSession
-    words = F.size(F.split(F.coalesce("text", F.lit("")), "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+"))
-    sized = benchmark.select("item_id", "text", words.alias("n")).where(F.col("item_id").isNotNull())
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    blocks = -(-total // block_words) or 1
-    out = free_name(docs, "contamination")
-    found = None
+    """Adds to the documents a column `out`, a name that they don't have: struct of n_words,
+    runs of hit words, their spans in the text, and items with a window in the document."""
+    windows = materialised(benchmark_windows(benchmark, window), "windows")
+    n, size = windows.agg(F.count("*"), F.sum(F.octet_length("window"))).first()
+    blocks = max(1, -(-n // block_windows), -(-(size or 0) // block_bytes))
+    item_type = windows.schema["item_id"].dataType.simpleString()
+    columns = docs.columns
+    parts = []
     for b in range(blocks):
-        part = sized if blocks == 1 else sized.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        items = [(r.item_id, r.text) for r in part.select("item_id", "text").toLocalIterator()]
-        held = spark.sparkContext.broadcast(pickle.dumps(automaton_of(items, window)))
-        one = docs.withColumn(out, _scanner(held)(F.col(text_col)))
-        found = one if found is None else _joined(found, one, id_col, out)
-    return found.withColumnRenamed(out, "contamination") if out == "contamination" else found
+        some = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("window", "item_id"), F.lit(blocks)) == b)
+        found = Windows([(r.item_id, bytes(r.window)) for r in some.toLocalIterator()])
+        held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(found))
+        del found
+        part = free_name(docs, out if blocks == 1 else f"{out}_{b}")
+        docs = docs.withColumn(part, _scanner(held, item_type)(F.col(text_col)))
+        parts.append(part)
+        if blocks > 1:
+            docs = materialised(docs, "hits")
+            held.destroy()
+    if blocks == 1:
+        return docs
+    each = [F.col(p) for p in parts]
+    union = lambda field: F.array_sort(F.array_distinct(F.concat(*(c[field] for c in each))))
+    merged = F.struct(each[0]["n_words"].alias("n_words"), *(union(f).alias(f) for f in ("runs", "spans", "items")))
+    return docs.select(*columns, merged.alias(out))
 
 
 _HELD: dict = {}
 
 
-def _scanner(held):
-    key = uuid.uuid4().hex
+def _scanner(held, item_type: str):
+    key = uuid.uuid4().hex  # of this automaton in the workers, which keep one
 
     def scan_texts(texts: pd.Series) -> pd.DataFrame:
         if key not in _HELD:
             _HELD.clear()
             _HELD[key] = pickle.loads(held.value)
-        automaton, rows = _HELD[key], []
+        found, rows = _HELD[key], []
         for t in texts:
-            n, runs, items = scan(automaton, t)
+            n, runs, items = found.scan(t)
             spans = offsets_of(t, runs) if runs else []
             pair = lambda xs: [{"from": a, "to": b} for a, b in xs]
             rows.append((n, pair(runs), pair(spans), sorted(items, key=str)))
         return pd.DataFrame(rows, columns=["n_words", "runs", "spans", "items"])
 
     scan_texts.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(scan_texts, _FOUND)
-
-
-def _joined(a: DataFrame, b: DataFrame, id_col: str, out: str) -> DataFrame:
-    """Hits of two blocks, by document.  Documents of one id and text have the same hits."""
-    key = [F.xxhash64(F.col(id_col), F.to_json(F.struct(*[c for c in a.columns if c != out])))]
-    b = b.select(key[0].alias("_k"), F.col(out).alias("_b")).groupBy("_k").agg(F.first("_b").alias("_b"))
-    both = a.withColumn("_k", key[0]).join(b, "_k", "left")
-    x, y = F.col(out), F.col("_b")
-    merged = F.struct(
-        x["n_words"].alias("n_words"),
-        F.array_sort(F.array_union(x["runs"], y["runs"])).alias("runs"),
-        F.array_sort(F.array_union(x["spans"], y["spans"])).alias("spans"),
-        F.array_union(x["items"], y["items"]).alias("items"),
-    )
-    return both.withColumn(out, merged).drop("_k", "_b")
+    kind = f"n_words long, runs array<struct<from:long,to:long>>, spans array<struct<from:long,to:long>>, items array<{item_type}>"
+    return F.pandas_udf(scan_texts, kind)
 
 
 def hit_words(runs):
@@ -171,16 +193,16 @@ def is_contaminated(n_hit, n_words, share: int = SHARE):
     return (n_hit > 0) & (n_hit * share >= n_words)
 
 
-def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination_report(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = find_contamination(docs.select("doc_id", "text"), benchmark)
-    c = F.col("contamination")
-    names = F.array_sort(F.transform(c["items"], lambda x: x.cast("string")))
+    found = find_contamination(docs.select("doc_id", "text"), benchmark, "found", **limits)
+    c = F.col("found")
+    names = F.array_sort(F.array_compact(F.transform(c["items"], lambda x: x.cast("string"))))
     return found.select(
         "doc_id",
         c["n_words"].alias("n_words"),
         hit_words(c["runs"]).alias("n_hit"),
-        F.size(names).cast("long").alias("n_items"),
+        F.size(c["items"]).cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"),
     ).withColumn("contaminated", is_contaminated(F.col("n_hit"), F.col("n_words")))
 

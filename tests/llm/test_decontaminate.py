@@ -1,3 +1,5 @@
+import re
+
 import duckdb
 import pytest
 
@@ -6,7 +8,7 @@ from cadenza.llm import decontaminate as dc
 
 def brute(docs, items, window=13):
     def words(t):
-        return dc.normalised_words(t).decode().split() if t else []
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate({c: c + 32 for c in range(65, 91)})) if t else []
 
     wins = {}
     for i, t in items:
@@ -26,7 +28,23 @@ def brute(docs, items, window=13):
     return out
 
 
-ITEMS = [(1, "The answer, is: forty-two."), (2, " ".join(f"w{i}" for i in range(20))), (3, None), (4, "..."), (10, "café au"), (5, "The answer is forty two")]
+ODD = [
+    "à la carte voilà à Å Ångström ÀÅ déjà vu là-bas où à",
+    "хорошо их Рыба хлеб хвост храм х Р х их хор хата хмель холод хлам",
+    "a\xa0b c\x85d e\u3000f g\u2003h",
+    "日本語 の 文章 です 頠 兠 酠 中文 句子 一二三 四五 六七 八九 十 百",
+    "Ä Ö ü ß ẞ É é ñ Ñ İ ı",
+]
+ITEMS = [
+    (1, "The answer, is: forty-two."),
+    (2, " ".join(f"w{i}" for i in range(20))),
+    (3, None),
+    (4, "..."),
+    (10, "café au"),
+    (5, "The answer is forty two"),
+    (None, "nameless item"),
+    *((20 + i, t) for i, t in enumerate(ODD)),
+]
 DOCS = [
     (1, "so THE ANSWER is forty two the answer is forty two"),
     (2, "x " + " ".join(f"w{i}" for i in range(3, 18)) + " y"),
@@ -36,30 +54,51 @@ DOCS = [
     (6, "le Café-au lait " + "z " * 100),
     (7, "answer is forty two"),
     (8, "CAFÉ au"),
+    (9, "a nameless\0item, nameless item"),
+    *((20 + i, t) for i, t in enumerate(ODD)),
+    *((40 + i, f"vor {t} nach") for i, t in enumerate(ODD)),
+    *((60 + i, t.replace(" ", " ,\n").replace("à", "a")) for i, t in enumerate(ODD)),
+    (70, ODD[2].replace("\xa0", " ").replace("\x85", " ")),
 ]
 
 
-@pytest.mark.parametrize("block_words", [dc.BLOCK_WORDS, 5])
-def test_against_brute_force(spark, block_words):
-    docs = spark.createDataFrame([(*d, 1) for d in DOCS], "doc_id long, text string, contamination int").drop("contamination")
+def found_in(spark, docs, **limits):
+    items = spark.createDataFrame([(i, t, 1) for i, t in ITEMS], "item_id long, text string, contamination int")
+    return dc.find_contamination(docs, items, "c", **limits)
+
+
+@pytest.mark.parametrize("limits", [{}, {"block_windows": 5}, {"block_bytes": 60}])
+def test_against_brute_force(spark, limits):
+    docs = spark.createDataFrame([(*d, 1, 2) for d in DOCS], "doc_id long, text string, contamination int, found int")
+    found = found_in(spark, docs, **limits)
+    assert found.columns == [*docs.columns, "c"]
+    rows = found.select("doc_id", "c.n_words", dc.hit_words(dc.F.col("c.runs")).alias("h"), dc.F.size("c.items").alias("i"), "contamination", "found").collect()
+    assert all((r.contamination, r.found) == (1, 2) for r in rows)
+    assert {r.doc_id: tuple(r)[1:4] for r in rows} == {d: x[:3] for d, x in brute(DOCS, ITEMS).items()}
+
+
+def test_report_is_the_same_in_blocks_and_matches_sql(spark):
+    docs = spark.createDataFrame([*DOCS, DOCS[0], (None, DOCS[1][1])], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    found = dc.find_contamination(docs, items, block_words=block_words)
-    got = {
-        r.doc_id: (r.n, r.h, r.i)
-        for r in found.selectExpr("doc_id", "contamination.n_words n", "contamination c", "size(contamination.items) i")
-        .withColumn("h", dc.hit_words(dc.F.col("c.runs")))
-        .collect()
-    }
-    assert got == {d: x[:3] for d, x in brute(DOCS, ITEMS).items()}
+    got = [sorted(map(tuple, dc.contamination_report(docs, items, **x).collect()), key=repr) for x in ({}, {"block_windows": 3})]
+    assert got[0] == got[1] and len(got[0]) == len(DOCS) + 2
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar); create table benchmark (item_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", DOCS)
+    con.executemany("insert into benchmark values (?, ?)", ITEMS)
+    cols = "doc_id, n_words, n_hit, n_items, items_sha256, contaminated"
+    want = con.execute(f"select {cols} from ({dc.SQL})").fetchall()
+    plain = dc.contamination_report(spark.createDataFrame(DOCS, "doc_id long, text string"), items).select(*cols.split(", "))
+    assert sorted(map(tuple, plain.collect()), key=repr) == sorted(want, key=repr)
 
 
 def test_spans_map_to_the_text(spark):
-    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
-    items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    spans = {r.doc_id: r.contamination.spans for r in dc.find_contamination(docs, items).collect()}
+    spans = {r.doc_id: r.c.spans for r in found_in(spark, spark.createDataFrame(DOCS, "doc_id long, text string")).collect()}
     text = dict(DOCS)
     assert [text[6][s["from"] : s["to"]] for s in spans[6]] == ["Café-au"]
-    assert [text[1][s["from"] : s["to"]] for s in spans[1]] == ["THE ANSWER is forty two", "the answer is forty two"] or len(spans[1]) == 1
+    assert [text[1][s["from"] : s["to"]] for s in spans[1]] == ["THE ANSWER is forty two the answer is forty two"]
+    for i, t in enumerate(ODD):
+        assert [text[40 + i][s["from"] : s["to"]] for s in spans[40 + i]] == [t]
 
 
 def test_empty_tables(spark):
