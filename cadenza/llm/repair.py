@@ -6,10 +6,10 @@ rules, the expansion length of each, the remaining sequence, and the documents'
 lengths.  Any range of ids can be decoded without the rest: cumulated expansion lengths say
 which symbols cover it.
 
-Pairs are replaced in rounds, where each is more frequent than the pairs it overlaps, so the
-most frequent pair is replaced wherever it stands, and others as long as their uses in the
-round are frequent by exact count.  Counts are kept, not taken anew: a round takes off the
-pairs around its replacements and counts the new ones there.
+Pairs are replaced in rounds, where each is more frequent than the pairs it overlaps: in a round
+go all pairs that no more frequent one overlaps anywhere, the most frequent first of all, and
+others as long as their uses in the round are frequent by exact count.  Counts are kept, not
+taken anew: a round takes off the pairs around its replacements and counts the new ones there.
 
 Files are written by Spark in Parquet with one row a block (`part`, `block`, `part_start`,
 `n_ids`, `n_docs`, `blob`), in ascending order of the documents; `part` ascends with doc_id.
@@ -45,14 +45,15 @@ TABLE = 1 << 22
 STEP = 2048
 
 
-def _frequent(seq: np.ndarray, places: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """Of the pairs that begin at the ascending places: those found `least` times or more with
-    their counts, and the places that hold one, with its number."""
-    if not len(places):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), places, places
-    left, right = seq[places], seq[places + 1]
+def _frequent(seq: np.ndarray, places: np.ndarray | None, least: int) -> tuple[np.ndarray, ...]:
+    """Of the pairs that begin at the ascending places (null: all): those found `least` times or
+    more with their counts, and the places that hold one, with its number."""
+    left, right = (seq[:-1], seq[1:]) if places is None else (seq[places], seq[places + 1])
+    none = np.zeros(0, np.int64)
+    if not len(left):
+        return none.astype(np.uint64), none, none, none
     small = max(int(left.max()), int(right.max())) < 1 << 16  # then keys of 32 bits sort quicker
-    keys = left << np.uint32(16) | right if small else left.astype(np.uint64) << np.uint64(32) | right
+    keys = left.astype(np.uint32) << np.uint32(16) | right if small else left.astype(np.uint64) << np.uint64(32) | right
     ordered = np.sort(keys)
     edges = np.flatnonzero(np.concatenate((np.ones(1, bool), ordered[1:] != ordered[:-1])))
     counts = np.diff(np.append(edges, len(keys)))
@@ -61,7 +62,7 @@ def _frequent(seq: np.ndarray, places: np.ndarray, least: int) -> tuple[np.ndarr
     if small:
         pairs = (pairs >> np.uint32(16)).astype(np.uint64) << np.uint64(32) | (pairs & np.uint32(0xFFFF))
     if not len(pairs):
-        return pairs, counts, places[:0], places[:0]
+        return pairs, counts, none, none
     high, low = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
     # Symbols get numbers among the pairs' left and right ones; a table of both says which pair.
     row, column = np.zeros(int(left.max()) + 1, np.int32), np.zeros(int(right.max()) + 1, np.int32)
@@ -77,14 +78,15 @@ def _frequent(seq: np.ndarray, places: np.ndarray, least: int) -> tuple[np.ndarr
         asked = left[maybe].astype(np.uint64) << np.uint64(32) | right[maybe]
         found = np.searchsorted(pairs, asked)
         hit = pairs[np.minimum(found, len(pairs) - 1)] == asked
-    return pairs, counts, places[maybe[hit]], found[hit]
+    at = maybe[hit]
+    return pairs, counts, at if places is None else places[at], found[hit]
 
 
 def compress(ids: np.ndarray, first_rule: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (pairs of symbols, the i-th made by symbol first_rule + i), their expansion
     lengths, and the remaining sequence, in which no pair is found `least` times."""
-    seq, rules, lengths = ids.astype(np.uint32), [], [1] * first_rule
-    pairs, counts, at, which = _frequent(seq, np.arange(max(0, len(seq) - 1)), least)
+    seq, rules, lengths = ids.astype(np.uint16 if first_rule < 1 << 16 else np.uint32), [], [1] * first_rule
+    pairs, counts, at, which = _frequent(seq, None, least)
     while True:
         live = counts[which] >= least
         at, which = at[live], which[live]
@@ -94,22 +96,23 @@ def compress(ids: np.ndarray, first_rule: int, least: int = LEAST_COUNT) -> tupl
         rank = np.empty(len(pairs), np.int64)
         rank[np.lexsort((pairs, counts))] = np.arange(len(pairs))
         mine, near = rank[which], at[1:] == at[:-1] + 1
-        before, after = np.full(len(at), -1), np.full(len(at), -1)
-        before[1:][near], after[:-1][near] = mine[:-1][near], mine[1:][near]
+        before = np.concatenate(([-1], np.where(near, mine[:-1], -1)))
+        after = np.concatenate((np.where(near, mine[1:], -1), [-1]))
         # A pair that overlaps itself is taken at every other place of a run.
         place = np.arange(len(at))
         run = np.maximum.accumulate(np.where(mine == before, 0, place))
-        take = (mine >= before) & (mine >= after) & ((place - run) % 2 == 0)
+        free = (mine >= before) & (mine >= after)
+        take = free & ((place - run) % 2 == 0)
         uses = np.bincount(which[take], minlength=len(pairs))
-        good = uses >= least
-        if not good.any():
-            good = uses == uses.max()
+        good = (uses >= least) | ((uses > 0) & (np.bincount(which[~free], minlength=len(pairs)) == 0))
         take &= good[which]
         gone = take.copy()
         gone[:-1] |= take[1:] & near
         gone[1:] |= take[:-1] & near
         counts -= np.bincount(which[gone], minlength=len(pairs))
         spot, number = at[take], (np.cumsum(good) - 1)[which[take]]
+        if first_rule + len(rules) + int(good.sum()) > 1 << 16 and seq.itemsize < 4:
+            seq = seq.astype(np.uint32)
         seq[spot] = first_rule + len(rules) + number
         keep = np.ones(len(seq), bool)
         keep[spot + 1] = False
@@ -122,16 +125,15 @@ def compress(ids: np.ndarray, first_rule: int, least: int = LEAST_COUNT) -> tupl
         rest = at[~gone]
         rest = rest - (np.searchsorted(spot, rest) if len(rest) < len(keep) // 16 else np.cumsum(~keep)[rest])
         spot = spot - np.arange(len(spot))
-        ends = np.sort(np.concatenate((spot, spot - 1)))
-        ends = ends[(np.diff(ends, prepend=-2) > 0) & (ends >= 0) & (ends < len(seq) - 1)]
-        more, more_counts, new_at, new_which = _frequent(seq, ends, least)
+        new = np.zeros(len(seq), bool)
+        new[spot] = new[np.maximum(spot - 1, 0)] = True
+        more, more_counts, new_at, new_which = _frequent(seq, np.flatnonzero(new[:-1]), least)
         at = np.concatenate((rest, new_at))
         which = np.concatenate((which[~gone], new_which + len(pairs)))
         order = np.argsort(at, kind="stable")
         at, which = at[order], which[order]
         pairs, counts = np.concatenate((pairs, more)), np.concatenate((counts, more_counts))
-    wide = first_rule + len(rules) > 1 << 16
-    kind = "<u4" if wide else "<u2"
+    kind = "<u4" if first_rule + len(rules) > 1 << 16 else "<u2"
     return np.array(rules, kind).reshape(-1, 2), np.array(lengths[first_rule:], "<u4"), seq.astype(kind)
 
 

@@ -31,14 +31,15 @@ END_ID = 1
 END_BYTES = np.array([END_ID], "<u4").tobytes()
 #: One text in so many is encoded by the library as a whole, too, and compared.
 CHECKED = 64
-#: Cached chunks; beyond that the older half goes.  Bounds the memory of a Python worker.
-CACHE_CHUNKS = 700_000
+#: Cached chunks; beyond that those met last go, as frequent ones are met first.  Bounds the
+#: memory of a Python worker.
+CACHE_CHUNKS = 1_200_000
 #: Longer chunks are encoded each time and not kept.
 CACHE_CHARS = 64
 #: Words encoded in one call of the model.
 JOINED_WORDS = 500
 #: Characters of the texts that are cut into chunks at a time, about.
-BATCH_CHARS = 6_000_000
+BATCH_CHARS = 2_000_000
 
 #: Within these characters, which have one form only under NFC and one small letter each, a
 #: text may be lowered at once.
@@ -114,9 +115,8 @@ class WordEncoder:
     def _make_room(self, more: int) -> None:
         if len(self.tails) > CACHE_CHUNKS // 10:
             self.tails.clear()
-        if len(self.cache) + more > CACHE_CHUNKS:  # the oldest go first, as dicts keep their order
-            stay = islice(self.cache.items(), min(len(self.cache), CACHE_CHUNKS // 2 + more), None)
-            self.cache = {"": b""} | dict(stay)
+        if len(self.cache) + more > CACHE_CHUNKS:  # dicts keep their order
+            self.cache = {"": b""} | dict(islice(self.cache.items(), CACHE_CHUNKS // 2))
 
     @staticmethod
     def _cut(text: str) -> list[str]:
