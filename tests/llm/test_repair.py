@@ -105,6 +105,22 @@ def test_ids_that_differ_from_the_library_are_an_error(monkeypatch):
 
     monkeypatch.setattr(tokens, "CHECKED", 1)
     document_ids(WORDS, ["some words"])
-    monkeypatch.setitem(encoder(WORDS).cache, "words", b"\1\0\0\0")
+    enc = encoder(WORDS)
+    monkeypatch.setattr(enc.pieces, "ids", enc.pieces.ids ^ 1)
     with pytest.raises(ValueError, match="differ"):
         document_ids(WORDS, ["some words"])
+
+
+def test_ids_stay_the_same_when_pieces_are_dropped(monkeypatch):
+    from cadenza.llm import tokens
+
+    rng = np.random.default_rng(8)
+    texts = [" ".join("".join(rng.choice([*"abcdeé.,*1'"], rng.integers(1, 40))) for _ in range(60)) for _ in range(60)]
+    enc = tokens.WordEncoder(WORDS)
+    want = [np.array(enc.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 300)
+    monkeypatch.setattr(tokens, "LONG_PIECES", 20)
+    monkeypatch.setattr(tokens, "PLACES", 64)  # hashes clash all the time
+    enc.pieces = tokens._Pieces()
+    assert [x for i in range(0, 60, 7) for x in enc.encode(texts[i : i + 7])] == want
+    assert len(enc.pieces.keys) <= 1000
