@@ -34,6 +34,11 @@ def test_magic_in_payloads_nulls_copies_and_ties(spark, tmp_path):
         assert (r.record_type, r.refers_to) == (("revisit", 7) if revisit else ("response", None))
     raw = b"".join(gzip.decompress(p.read_bytes()) for p in Path(tmp_path / "w").glob("*.gz"))
     assert raw.count(b"WARC/1.1\r\n") == len(rows) + 2
+    classes = str(tmp_path / "c")
+    warc.write_archives(pages, classes, records_per_file=3, archive_bytes=1000, classes=(10, 999, 1200))
+    assert sorted(map(repr, (r.asDict() | {"file": 0, "offset": 0, "successor": 0, "file_bytes": 0} for r in got))) == sorted(
+        repr(r.asDict() | {"file": 0, "offset": 0, "successor": 0, "file_bytes": 0}) for r in warc.read_archives(spark, classes).collect()
+    )
     empty = str(tmp_path / "e")
     warc.write_archives(pages.limit(0), empty)
     assert warc.read_archives(spark, empty).count() == 0
@@ -51,3 +56,16 @@ def test_pointer_jumping_against_a_walk():
             want.add(at)
             at = of[at]
         assert set(offsets[warc.reachable(offsets, successors)].tolist()) == want
+
+
+def test_false_headers_are_not_hashed(monkeypatch):
+    """A payload of heads that each claim all the rest is read once."""
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n"
+    payload = b"".join(head % (60 * k) for k in range(3000, 0, -1))
+    body = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+    data = head % len(body) + body + b"\r\n\r\n" + head % 3 + b"end" + b"\r\n\r\n" + head % 9 + b"cut"
+    hashed = []
+    sha1 = hashlib.sha1
+    monkeypatch.setattr(warc.hashlib, "sha1", lambda b: hashed.append(len(b)) or sha1(b))
+    assert [r["payload_bytes"] for r in warc.chain(data)] == [len(payload), 0] and sum(hashed) == len(payload)
+    assert len(list(warc.candidates(data))) == 3003
