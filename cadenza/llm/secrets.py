@@ -3,14 +3,18 @@
 Each text is layer 0 of a worklist.  Each layer is scanned for secrets, then unwrapped: URL
 escapes and Unicode escapes give the whole layer again without them, each base64 run, within a
 line or over line ends, a layer of its own, through all compressed layers and members in it.
-Decoded bytes that aren't UTF-8 are scanned as latin-1.  New layers go to the worklist until none is left;
-a layer whose text was seen for the same place is a cycle and not taken again.  Every layer
-knows which characters of the document each of its characters came from, so spans are of the
-original text, in code points, end exclusive.
+A run may begin with characters that aren't of the encoding (`path/`, `id-`, letters): it is
+decoded at all four alignments, so that whatever follows such a start is read, and compressed
+data is looked for wherever its first bytes stand.  Decoded bytes that aren't UTF-8 are scanned
+as latin-1.  New layers go to the worklist until none is left; a layer whose text was seen for
+the same place is a cycle and not taken again.  Every layer knows which characters of the
+document each of its characters came from, so spans are of the original text, in code points,
+end exclusive.
 
 Limits: unwrapped layers of one document hold `LAYER_BYTES` bytes plus 64 for each character
 of the text at most, so that a decompression bomb can't take a worker's memory; what is beyond
-that isn't unwrapped, and `truncated` says so.  Layer 0 is always scanned whole.
+that isn't unwrapped, and `truncated` says so.  Such documents can be scanned again with a
+larger `layer_bytes`, or with none (null: no limit).  Layer 0 is always scanned whole.
 
 Defined cases: a null or empty text has no secrets; equal rows have equal results; an empty
 table gives none; extra columns stay as they are, and one named `secrets` makes the result
@@ -28,6 +32,7 @@ import zlib
 from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +60,10 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{22,}={0,2}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?+\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 _DIGITS = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 _STANDARD = str.maketrans("-_", "+/")
+#: How base64 of gzip, zlib, bzip2, xz and zstandard data begins.
+_PACKED = re.compile(r"H4sI|e[AFJN]|Qlpo|/Td6WFoA|KLUv/")
+#: Characters of base64 that tell compressed data from what only begins like it.
+_PROBE = 256
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
@@ -219,43 +228,67 @@ def _contents(raw: bytes, room: int) -> tuple[list[tuple[bytes, int]], int, bool
     return out, used, cut
 
 
-def _readable(raw: bytes) -> tuple[str, bool]:
-    """The bytes as text, and whether they are UTF-8; else each byte is a character."""
+def _readable(raw: bytes) -> str:
+    """The bytes as UTF-8 text; if they aren't, each byte is a character."""
     try:
-        return raw.decode("utf-8"), True
+        return raw.decode("utf-8")
     except UnicodeDecodeError:
-        return raw.decode("latin-1"), False
+        return raw.decode("latin-1")
+
+
+def _decoded(body: str) -> bytes | None:
+    """The bytes of base64 digits of the standard alphabet; a digit too many is left out."""
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    try:
+        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+    except binascii.Error:
+        return None
+
+
+def _starts(body: str) -> Iterator[tuple[int, bool]]:
+    """Where base64 may begin in a run of digits, and whether compressed data does there: the
+    four alignments, of which one is right for anything that begins anywhere, and the places of
+    compressed data, which has to be read from its start."""
+    for k in range(4):
+        yield k, False
+    for m in _PACKED.finditer(body):
+        if m.start():
+            head = _decoded(body[m.start() : m.start() + _PROBE])
+            if head is not None and _member(head, 1 << 12) is not None:
+                yield m.start(), True
 
 
 def _unwrapped(layer: Layer, run: list[tuple[int, int]], room: int) -> tuple[list[Layer], int, bool]:
     """The layers in a base64 run, given as its pieces, through all compression in it; the
     bytes of compressed layers between; whether the limit was met."""
     a, b = run[0][0], run[-1][1]
-    body = "".join(layer.text[x:y] for x, y in run).rstrip("=").translate(_STANDARD)
-    body = body[: len(body) - (len(body) % 4 == 1)]
-    try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except binascii.Error:
-        return [], 0, False
+    digits = "".join(layer.text[x:y] for x, y in run).rstrip("=").translate(_STANDARD)
     whole = layer.span(a, b)
-    contents, used, cut = _contents(raw, room)
-    out = []
-    for data, above in contents:
-        text, utf8 = _readable(data)
-        if not text:
+    exact = whole[1] - whole[0] == b - a  # each digit came from a character of its own
+    out, used, cut = [], 0, False
+    for start, packed in _starts(digits):
+        raw = _decoded(digits[start:])
+        if not raw or start and len(digits) - start < 22:
             continue
-        if data is not raw or whole[1] - whole[0] != b - a:
-            out.append(Layer(text, [0], [whole[0]], [whole[1]], layer.depth + 1 + above))
-            continue
-        places = [whole[0] + i - a for x, y in run for i in range(x, y)] if len(run) > 1 else range(whole[0], whole[1])
-        at, origin, end, i = [], [], [], 0
-        for k, c in enumerate(text):  # a character comes from the base64 digits with its bits
-            n = len(c.encode()) if utf8 else 1
-            at.append(k)
-            origin.append(places[i * 8 // 6])
-            end.append(places[-(-(i + n) * 8 // 6) - 1] + 1)
-            i += n
-        out.append(Layer(text, at, origin, end, layer.depth + 1))
+        contents, more_used, more_cut = _contents(raw, max(1, room - used)) if packed or not start else ([(raw, 0)], 0, False)
+        used, cut = used + more_used, cut or more_cut
+        for data, above in contents:
+            if packed and data is raw:
+                continue  # not compressed after all
+            text = _readable(data)
+            if not text:
+                continue
+            if data is not raw or not exact:
+                out.append(Layer(text, [0], [whole[0]], [whole[1]], layer.depth + 1 + above))
+                continue
+            places = [whole[0] + i - a for x, y in run for i in range(x, y)] if len(run) > 1 else range(whole[0], whole[1])
+            # A character comes from the base64 digits with its bits.
+            size = [1] * len(text) if len(text) == len(data) else [len(c.encode()) for c in text]
+            stop = list(accumulate(size))
+            at = list(range(len(text)))
+            origin = [places[start + (i - n) * 8 // 6] for i, n in zip(stop, size, strict=True)]
+            end = [places[start - (-i * 8 // 6) - 1] + 1 for i in stop]
+            out.append(Layer(text, at, origin, end, layer.depth + 1))
     return out, used, cut
 
 
@@ -288,7 +321,7 @@ def _runs(text: str) -> Iterator[list[tuple[int, int]]]:
                 yield lines[x:y]
 
 
-def scan(text: str | None, layer_bytes: int = LAYER_BYTES) -> tuple[list, list, int, bool]:
+def scan(text: str | None, layer_bytes: int | None = LAYER_BYTES) -> tuple[list, list, int, bool]:
     """(secrets of the text itself, secrets of all layers with their depth, number of layers,
     whether the limit was met).  Both lists are sorted by start, then kind as listed."""
     if not text:
@@ -296,7 +329,7 @@ def scan(text: str | None, layer_bytes: int = LAYER_BYTES) -> tuple[list, list,
     order = {k: i for i, k in enumerate(KINDS)}
     base = sorted(find(text), key=lambda s: (s[1], order[s[0]]))
     found = {s: 0 for s in base}
-    work, seen, room, cut = deque([Layer(text, [0], [0], [0], 0)]), {(text, 0, len(text))}, layer_bytes + 64 * len(text), False
+    work, seen, room, cut = deque([Layer(text, [0], [0], [0], 0)]), {(text, 0, len(text))}, (1 << 62 if layer_bytes is None else layer_bytes + 64 * len(text)), False
     layers = 0
     while work:
         layer = work.popleft()
@@ -336,26 +369,30 @@ _TYPE = (
 )
 
 
-def _scan_texts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for texts in batches:
-        rows = []
-        for t in texts:
-            base, every, layers, cut = scan(t)
-            rows.append(
-                (
-                    [dict(zip(("kind", "start", "end"), s, strict=True)) for s in base],
-                    [dict(zip(("kind", "start", "end", "depth"), s, strict=True)) for s in every],
-                    layers,
-                    cut,
+def _scanner(layer_bytes: int | None):
+    def scan_texts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for t in texts:
+                base, every, layers, cut = scan(t, layer_bytes)
+                rows.append(
+                    (
+                        [dict(zip(("kind", "start", "end"), s, strict=True)) for s in base],
+                        [dict(zip(("kind", "start", "end", "depth"), s, strict=True)) for s in every],
+                        layers,
+                        cut,
+                    )
                 )
-            )
-        yield pd.DataFrame(rows, columns=["base", "every", "layers", "truncated"])
+            yield pd.DataFrame(rows, columns=["base", "every", "layers", "truncated"])
+
+    scan_texts.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(scan_texts, _TYPE)
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, text_col: str = "text", layer_bytes: int | None = LAYER_BYTES) -> DataFrame:
     """The documents with a column `secrets`: base spans, every span with the depth of its
     layer, the number of layers, and whether the limit was met."""
-    return docs.withColumn(free_name(docs, "secrets"), F.pandas_udf(_scan_texts, _TYPE)(F.col(text_col)))
+    return docs.withColumn(free_name(docs, "secrets"), _scanner(layer_bytes)(F.col(text_col)))
 
 
 def _joined(spans):

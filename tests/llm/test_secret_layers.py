@@ -39,6 +39,9 @@ wrapped = lambda b, n=76, end="\n": end.join(textwrap.wrap(B64(b), n))  # noqa:
         wrapped(b"x" * 10 + SAY, 20),
         wrapped(gzip.compress(os.urandom(300) + SAY)),
         "heading\n" + wrapped(gzip.compress(os.urandom(300) + SAY)) + "\nend",
+        *(f"{start}{B64(SAY)}" for start in ("path/", "id-", "a_b_", "x", "xy", "xyz", "path/to/", "v1-")),
+        *(f"{start}{B64(pack(SAY))}" for start in ("path/", "id-", "x", "xy", "a/b-c_") for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress)),
+        "path/" + base64.urlsafe_b64encode(b"\xfb\xff\xfe" + SAY).decode(),
     ],
 )
 def test_hidden_secrets_are_found_in_their_place(piece):
@@ -60,3 +63,20 @@ def test_layers_between_count_and_cycles_end():
     assert sc.scan(B64(bomb), layer_bytes=1000)[3]
     assert sc.scan("\n".join(["word"] * 20_000))[1] == []
     assert sc.scan("\n".join("a" * (1 + i % 7) for i in range(20_000)))[0] == []
+
+
+def test_misaligned_spans_are_exact():
+    text = "see path/" + B64(b"ab " + SAY) + " end"
+    spans = [(a, b) for k, a, b, _ in sc.scan(text)[1] if k == "access"]
+    first = len("see path/") + (3 + len("the key is ")) * 8 // 6
+    assert spans == [(first, len("see path/") - (-(3 + len("the key is ") + 20) * 8 // 6))]
+    assert sc.redact(text, spans).endswith(" end") and sc.redact(text, spans).startswith("see path/")
+
+
+def test_no_limit_reads_what_the_limit_leaves_out(spark):
+    bomb = B64(gzip.compress(b"a " * 3_000_000 + SAY))
+    assert sc.scan(bomb, 1000)[3] and not any(k == "access" for k, *_ in sc.scan(bomb, 1000)[1])
+    docs = spark.createDataFrame([(1, bomb, 5), (2, None, 5)], "doc_id long, text string, secrets int")
+    assert [r._secrets.truncated for r in sc.find_secrets(docs, layer_bytes=1000).orderBy("doc_id").collect()] == [True, False]
+    again = sc.find_secrets(docs, layer_bytes=None).orderBy("doc_id").collect()
+    assert [r._secrets.truncated for r in again] == [False, False] and {x.kind for x in again[0]._secrets.every} == {"access"}
