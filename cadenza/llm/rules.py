@@ -12,7 +12,8 @@ driver sees a few hundred counts and never a row.  The list is learnt from at mo
 
 Defined cases: null and empty texts have no words, and fail the base rules; a null doc_id is
 never labelled; several labels of a document each count; without labels of both classes the
-list is empty and rejects none; an empty table gives none; extra columns stay as they are.
+list is empty and rejects none; an empty table gives none; extra columns stay as they are, and
+in a clash of names ours get underscores in front.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import materialised, read_table
+from cadenza.llm.common import free_name, materialised, read_table
 
 #: Labelled rows that the list is learnt from, about.
 SAMPLE = 8_000
@@ -78,8 +79,8 @@ def _repeat_words(words: Column) -> Column:
     return _let(hashes, of_hashes)
 
 
-def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents with a column `stats`: struct of counts of the text."""
+def statistics(docs: DataFrame, text_col: str = "text", out: str = "stats") -> DataFrame:
+    """The documents with a column `out`, a name that they don't have: struct of counts of the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def of_words(w: Column) -> Column:
@@ -98,15 +99,16 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     count = lambda found, other: F.when(text.rlike(found), F.char_length(F.regexp_replace(text, other, ""))).otherwise(0)
-    one = docs.withColumns({"_w": _let(_words(text), of_words), "_l": _let(lines, of_lines)})
+    w, l = free_name(docs, "_w"), free_name(docs, "_l")
+    one = docs.withColumns({w: _let(_words(text), of_words), l: _let(lines, of_lines)})
     stats = F.struct(
-        "_w.*",
-        "_l.*",
+        *(F.col(w)[c].alias(c) for c in ("n_words", "word_chars", "n_distinct", "n_repeat_words")),
+        *(F.col(l)[c].alias(c) for c in ("n_lines", "n_dup_lines")),
         count("[#*$%&|<>]", _SYMBOLS).cast("long").alias("n_symbols"),
         count("\\p{Lu}", "[^\\p{Lu}]+").cast("long").alias("n_capitals"),
         count("[!?]", "[^!?]+").cast("long").alias("n_marks"),
     )
-    return one.withColumn("stats", stats).drop("_w", "_l")
+    return one.withColumn(out, stats).drop(w, l)
 
 
 def ratios(s: Column) -> dict[str, Column]:
@@ -253,13 +255,15 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 
 
 def judge(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """The documents with columns stats, base_failed, rule (the first that rejects) and kept."""
-    s = F.col("stats")
+    """The documents with columns stats, base_failed, rule (the first that rejects) and kept, or
+    these names as `free_name` gives them."""
+    stats, failed, rule, kept = (free_name(docs, c) for c in ("stats", "base_failed", "rule", "kept"))
+    s = F.col(stats)
     return (
-        statistics(docs, text_col)
-        .withColumn("base_failed", base_failed(s))
-        .withColumn("rule", rejected(rules, ratios(s)))
-        .withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+        statistics(docs, text_col, stats)
+        .withColumn(failed, base_failed(s))
+        .withColumn(rule, rejected(rules, ratios(s)))
+        .withColumn(kept, ~F.col(failed) & F.col(rule).isNull())
     )
 
 

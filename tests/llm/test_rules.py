@@ -50,3 +50,86 @@ def test_lists_are_ordered_and_learnt_from_labels(spark):
     assert 1 <= len(found) <= ru.MAX_RULES
     assert {r.doc_id for r in ru.judge(docs, found).where("kept").collect()} == set(range(60))
     assert ru.learn(docs, labels.where("quality = 1")) == [] == ru.learn(docs, labels.limit(0))
+
+
+def test_columns_of_our_names_stay(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text, 7, 8, 9, False, "r", "l")], "doc_id long, text string, _w int, stats int, base_failed int, kept boolean, rule string, _l string")
+    out = ru.judge(docs, [])
+    assert out.columns == [*docs.columns, "_stats", "_base_failed", "_rule", "_kept"]
+    (r,) = out.collect()
+    assert (r._w, r.stats, r.base_failed, r.kept, r.rule, r._l) == (7, 8, 9, False, "r", "l")
+    assert r._stats.n_words == 60 and not r._base_failed and r._rule is None and r._kept
+
+
+def brute_cover(rows, cuts, parts):
+    """Sequential covering by the definition, over plain rows {name: value, "bad": ...}."""
+    def covers(rule, r):
+        return all((r[n] > t) if above else (r[n] <= t) for n, above, t in rule)
+
+    def count(rule, some):
+        hit = [r["bad"] for r in some if covers(rule, r)]
+        return sum(hit), len(hit) - sum(hit)
+
+    found = []
+    while len(found) < ru.MAX_RULES:
+        left = [r for r in rows if not any(covers(f, r) for f in found)]
+        grow, prune = [r for r in left if parts[r["id"]] < ru.GROW_PARTS], [r for r in left if parts[r["id"]] >= ru.GROW_PARTS]
+        rule = ()
+        p0, n0 = count(rule, grow)
+        while n0 and p0 and len(rule) < ru.MAX_CONDITIONS:
+            best = (0.0, None)
+            for name in sorted(cuts):
+                for t in cuts[name]:
+                    for above in (False, True):
+                        p, n = count((*rule, (name, above, t)), grow)
+                        gain = ru._gain(p0, n0, p, n)
+                        if gain > best[0] + 1e-9 and p >= ru.LEAST_COVERED:
+                            best = (gain, (name, above, t), p, n)
+            if best[1] is None:
+                break
+            rule, p0, n0 = (*rule, best[1]), best[2], best[3]
+        if not rule:
+            break
+        scored = []
+        for k in range(1, len(rule) + 1):
+            p, n = count(rule[:k], prune)
+            scored.append(((p - n) / (p + n) if p + n else -2.0, p, k, n))
+        _, p, k, n = max(scored)
+        if p < 1 or p < ru.PRECISION * (p + n):
+            break
+        found.append(rule[:k])
+    return found
+
+
+def test_learned_list_against_brute_force_covering(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    found = ru.learn(docs, labels)
+    stats = ru.statistics(docs.select("doc_id", "text").join(labels, "doc_id")).where(~ru.base_failed(ru.F.col("stats")))
+    part = ru.F.pmod(ru.F.xxhash64("doc_id", ru.F.lit("part")), ru.F.lit(ru.PARTS)).alias("part")
+    values = ru.ratios(ru.F.col("stats"))
+    rows = [r.asDict() for r in stats.select("doc_id", part, (ru.F.col("quality") == 0).alias("bad"), *(v.alias(k) for k, v in values.items())).collect()]
+    for r in rows:
+        r["id"] = r["doc_id"]
+    cuts = {}
+    for name in values:  # the thresholds are quantiles of each class
+        for bad in (True, False):
+            own = sorted(r[name] for r in rows if r["bad"] == bad)
+            at = [own[max(0, -(-len(own) * (k + 1) // (ru.BUCKETS + 1)) - 1)] for k in range(ru.BUCKETS)]
+            cuts.setdefault(name, set()).update(at)
+    want = brute_cover(rows, {n: sorted(c) for n, c in cuts.items()}, {r["id"]: r["part"] for r in rows})
+    assert [[(c.name, c.above, c.threshold) for c in rule] for rule in found] == [list(rule) for rule in want]
+
+
+def test_verdicts_of_rows_that_nothing_was_learnt_from(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    right = total = 0
+    for fold in range(3):
+        held = ru.F.pmod(ru.F.xxhash64("doc_id", ru.F.lit("fold")), ru.F.lit(3)) == fold
+        found = ru.learn(docs, labels.where(~held))
+        got = ru.judge(docs.select("doc_id", "text").join(labels.where(held), "doc_id"), found).where("not base_failed")
+        right += got.where("kept = (quality = 1)").count()
+        total += got.count()
+    assert right / total > 0.9
