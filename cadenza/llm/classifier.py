@@ -6,7 +6,8 @@ are scaled by the log-count ratio of the two classes, rows are brought to unit l
 linear hinge-loss model is fitted by dual coordinate descent.  Margins of held-out folds give
 the logistic curve that makes a score of them.
 
-The model is fitted on at most about `SAMPLE` labelled rows, chosen by a hash of doc_id;
+The model is fitted on at most about `SAMPLE` labelled rows with at most about `SAMPLE_GRAMS`
+n-grams in all, chosen by a hash of doc_id, so the driver's memory is bounded for long texts, too;
 all documents are scored, whole, in one pass without an exchange.  Labels, lang, source and
 doc_id are no inputs of a score.
 
@@ -19,6 +20,7 @@ columns stay as they are, in a clash ours gets an underscore.
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import free_name, read_table, slice_hashes
+from cadenza.llm.common import free_name, materialised, read_table, slice_hashes
 
-#: Labelled rows that a model is fitted on, about.
-SAMPLE = 8_000
+#: Labelled rows that a model is fitted on, about, and n-grams of them, 4 bytes each.
+SAMPLE, SAMPLE_GRAMS = 8_000, 16_000_000
 #: A document is predicted good from this score on.
 THRESHOLD = 0.7
 _BITS = 20
@@ -179,7 +181,7 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model | float:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, grams_at_most: int = SAMPLE_GRAMS) -> Model | float:
     """Fits on labelled rows that aren't held out.  Only n-grams of the sample come to the driver."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & ~held_out("doc_id"))
     there = known.count()
@@ -192,7 +194,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
             ids = [features(t).astype("<i4").tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(ids, pa.binary())], names=["doc_id", "y", "ids"])
 
-    rows = chosen.mapInArrow(grams, "doc_id long, y int, ids binary").toArrow().sort_by("doc_id")
+    found = materialised(chosen.mapInArrow(grams, "doc_id long, y int, ids binary"), "grams")
+    there = (found.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // 4
+    if there > grams_at_most:
+        found = found.where(F.pmod(F.xxhash64(F.lit("grams"), "doc_id"), F.lit(1 << 20)) < int((1 << 20) * grams_at_most / there))
+    rows = found.toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending"), ("ids", "ascending")])
     y, ids = rows.column("y").to_numpy(), rows.column("ids")
     sizes = np.array([len(x.as_buffer()) // 4 if x.is_valid else 0 for x in ids], np.int64)
     flat = np.concatenate([np.frombuffer(x.as_buffer(), "<i4") for x in ids]) if len(ids) else np.zeros(0, np.int32)
@@ -211,7 +217,7 @@ def score_documents(docs: DataFrame, model: Model | float, text_col: str = "text
         scored = docs.withColumn(score, F.lit(model))
     else:
         held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-        key = id(held)
+        key = uuid.uuid4().hex  # of this model in the workers, which keep one
 
         def score_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             if key not in _MODELS:

@@ -44,3 +44,52 @@ def test_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (2, None)], "doc_id long, quality int")
     assert all(0 <= r._score <= 1 for r in cl.score_documents(docs, cl.train(docs, labels)).collect())
     assert cl.score_documents(docs.limit(0), cl.train(docs, labels)).count() == 0
+
+
+def brute_fit(sets, labels, cost=1.0):
+    """NB-SVM by the definitions, dense: log-count ratios, unit rows, and the dual of the hinge
+    loss solved by projected gradient, a method of its own."""
+    names = sorted(set().union(*sets))
+    x = np.array([[n in s for n in names] for s in sets], float)
+    y = np.where(labels == 1, 1.0, -1.0)
+    good, bad = 1 + x[y > 0].sum(0), 1 + x[y < 0].sum(0)
+    ratio = np.log((good / good.sum()) / (bad / bad.sum()))
+    x = x * ratio
+    x /= np.sqrt((x**2).sum(1) + 1e-12)[:, None]
+    x = np.hstack((x, np.ones((len(x), 1))))
+    upper = cost * len(y) / (2 * np.where(y > 0, (y > 0).sum(), (y < 0).sum()))
+    q = (x * y[:, None]) @ (x * y[:, None]).T
+    step, alpha, at, t = 1 / np.linalg.eigvalsh(q)[-1], np.zeros(len(y)), np.zeros(len(y)), 1.0
+    for _ in range(30_000):
+        new = np.clip(at - step * (q @ at - 1), 0, upper)
+        s = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        alpha, at, t = new, new + (t - 1) / s * (new - alpha), s
+    w = (alpha * y) @ x
+    loss = 0.5 * w @ w + (upper * np.maximum(0, 1 - y * (x @ w))).sum()
+    return x @ w, loss, alpha.sum() - 0.5 * alpha @ q @ alpha
+
+
+def test_model_is_the_optimum_of_a_reference_solver():
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.choice(np.arange(0, 45) if k % 3 else np.arange(25, 70), rng.integers(3, 12))) for k in range(150)]
+    labels = np.array([k % 3 > 0 for k in range(150)]).astype(int)
+    labels[:10] = 1 - labels[:10]
+    want, primal, dual = brute_fit([set(r.tolist()) for r in rows], labels)
+    assert abs(primal - dual) < 1e-4 * primal  # the reference has solved it
+    m = cl.fit(rows, labels, epochs=3000)
+    got = np.array([m.margin(r) for r in rows])
+    assert np.abs(got - want).max() < 2e-2
+    few = cl.fit(rows, labels)  # as many rounds as in production
+    assert np.abs(np.array([few.margin(r) for r in rows]) - want).max() < 0.25
+
+
+def test_sample_of_long_texts_is_bounded(spark, monkeypatch):
+    words = lambda i: " ".join(f"{'good' if i % 2 else 'bad'}{i}x{k}" for k in range(300))
+    docs = spark.createDataFrame([(i, words(i)) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    seen = []
+    fit = cl.fit_packed
+    monkeypatch.setattr(cl, "fit_packed", lambda flat, *a: seen.append(len(flat)) or fit(flat, *a))
+    cl.train(docs, labels, grams_at_most=40_000)
+    cl.train(docs, labels)
+    assert 0 < seen[0] < 60_000 < seen[1]
