@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import empty_text, free_name, materialised, read_table
 
 SHARDS = 8
-#: Bytes of text in one piece of a shard, and so in one task after the exchange.
-PIECE_BYTES = 32 << 20
+#: Bytes of text in one piece of a shard, and so in one task after the exchange; more where there
+#: would be more pieces than the driver is to find splitters for.
+PIECE_BYTES, MOST_PIECES = 32 << 20, 16_384
 #: New boundaries in each bracket and round.
 PROBES = 48
 #: A splitter between shards may be off by this part of a shard; one inside by this part of a piece.
@@ -124,7 +125,7 @@ def shard_by_bytes(
     # 24 bytes a document, read again in each round.
     keys = materialised(keyed.select(F.col(h).alias("h"), F.col(low).alias("low"), F.col(size).alias("size")), "keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
-    each = max(1, -(-total // (shards * piece_bytes)))
+    each = max(1, min(-(-total // (shards * piece_bytes)), MOST_PIECES // shards))
     pieces = shards * each
     targets = [total * k / pieces for k in range(1, pieces)]
     tolerance = [total / shards * TOLERANCE if k % each == 0 else total / pieces * INNER_TOLERANCE for k in range(1, pieces)]
@@ -144,7 +145,7 @@ def shard_by_bytes(
         keyed.withColumn(at, F.pandas_udf(piece_of, "piece int, start long")(h, low))
         .withColumns({piece: F.col(at)["piece"], slot: F.col(at)["start"]})
         .drop(at)
-        .repartition(pieces, piece)  # the one exchange of the texts; the window keeps to it
+        .repartitionById(pieces, piece)  # the one exchange of the texts: a piece is a task
         .withColumn(slot, F.col(slot) + F.row_number().over(order) - 1)
         .withColumn(shard, F.floor(F.col(piece) / each).cast("int"))
         .drop(h, low, piece)
