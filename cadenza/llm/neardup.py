@@ -24,9 +24,11 @@ the occurrence-labelled k-mers, which is computed first and rejects most.
 4. A document's class id is the least doc_id of its component.
 
 Words are as in `normalised_words`.  Defined cases: documents without words are copies only if
-their texts are equal, null being empty; fewer than `SHINGLE` words are one k-mer; a null
-doc_id counts as the largest, and its class id is null if all of the class are; repeated rows
-are copies; an empty table gives none; extra columns are ignored.
+their texts are equal, null being empty; documents of fewer than `SHINGLE` words have no k-mers
+and are copies only if their words are the same; rows are told apart by doc_id and content, so
+different texts of one doc_id are judged each on its own; a null doc_id counts as the largest,
+and its class id is null if all of the class are; repeated rows are copies; an empty table
+gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,16 +40,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from cadenza.llm.common import materialised, mixed, normalised_words, read_table, slice_hashes
+from cadenza.llm.common import free_name, materialised, mixed, normalised_words, read_table, slice_hashes
 from cadenza.operators.graph import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, PICKS = 16, 3
 ROUNDS = 2
 #: Bins of a signature, which estimates the share of common k-mers, and the least estimate of a
-#: likely pair: three standard deviations below the threshold.
-BINS, LIKELY = 256, 0.72
+#: pair that is looked at: six standard deviations below the threshold, so that of pairs at the
+#: threshold one in a billion is lost.  0 turns the filter off.
+BINS, LIKELY = 256, 0.65
 #: Classes of a bucket that one task compares with as many others.
 BLOCK = 512
 
@@ -254,26 +258,29 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(n).filter(mask) for n in ("a", "b")], names=["a", "b"])
 
 
-def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shared: bool) -> DataFrame:
     """Those of the pairs (a, b) of classes that are similar.  Signatures sort out most of the
     others; then texts are read again for the classes concerned only, one for each."""
     for end in ("a", "b"):
         pairs = pairs.join(nodes.select(F.col("c").alias(end), F.col("sig").alias(f"sig_{end}")), end)
     near = pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_near, "a binary, b binary")
     pairs = materialised(near, "pairs")
-    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), docs, nodes)
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), docs, nodes, shared)
     both = pairs.join(texts.select(F.col("c").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(texts.select(F.col("c").alias("a"), F.col("text").alias("text_a")), "a")
     return materialised(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary"), "links")
 
 
-def _texts(concerned: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(c, text) of the classes concerned, one text for each."""
+def _texts(concerned: DataFrame, docs: DataFrame, nodes: DataFrame, shared: bool) -> DataFrame:
+    """(c, text) of the classes concerned, one text for each.  shared: a doc_id may stand for
+    several classes, or a class have none; then texts are found by their content."""
     who = nodes.join(concerned, "c", "left_semi").select("c", F.col("rep").alias("doc_id"))
-    texts = materialised(docs.select("doc_id", "text").join(who, "doc_id").select("c", "text"), "texts")
-    if _shared_ids(nodes):  # a doc_id that several texts share: the text of the class only
-        texts = materialised(texts.select("text").mapInArrow(_with_content, "c binary, text string").dropDuplicates(["c"]), "texts")
-    return texts
+    if not shared:
+        return materialised(docs.select("doc_id", "text").join(who, "doc_id").select("c", "text"), "texts")
+    named = docs.join(who.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    maybe = named.unionByName(docs.where("doc_id is null").select("text"))
+    found = maybe.mapInArrow(_with_content, "c binary, text string").join(who.select("c"), "c", "left_semi")
+    return materialised(found.groupBy("c").agg(F.min("text").alias("text")), "texts")
 
 
 def _joined(links: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -311,10 +318,9 @@ def _labelled(scored: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
 
 
-def _shared_ids(nodes: DataFrame) -> bool:
-    """Whether a doc_id stands for several classes, or a class has none."""
-    odd = nodes.groupBy("rep").count().where("count > 1 or rep is null")
-    return not odd.isEmpty()
+def _shared_ids(described: DataFrame) -> bool:
+    """Whether a doc_id may stand for several texts, or a text have none."""
+    return not described.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
 
 
 def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple[int, int], list[tuple]]]:
@@ -406,25 +412,27 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair", "c")
 
 
-def _between_components(scored: DataFrame, labels: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _between_components(scored: DataFrame, labels: DataFrame, docs: DataFrame, nodes: DataFrame, shared: bool) -> DataFrame:
     """Links in the buckets that hold several components."""
     of = _labelled(scored.select("bucket", "slot", "c"), labels)
     several = of.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
     rows = of.join(several, "bucket").join(nodes.select("c", "sig", "sketches"), "c")
     flagged = _dealt(rows.select("bucket", "c", "sig", "label")).select(_NAMES).mapInArrow(_flag, "c binary")
     flagged = materialised(flagged.distinct(), "flagged")
-    near = rows.join(_texts(flagged, docs, nodes), "c")
+    near = rows.join(_texts(flagged, docs, nodes, shared), "c")
     return materialised(_dealt(near).select(*_NAMES, "slot", "sketches", "text").mapInArrow(_link, "a binary, b binary"), "links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, class_id, content (the class of copies), copies (in it)."""
+    """One row a document: doc_id, class_id, content (the class of copies), copies (in it), and
+    group, a name of the class that no other has, be doc_ids null or repeated."""
     docs = docs.select("doc_id", "text")
     described = materialised(docs.mapInArrow(_describe, "doc_id long, c binary, sketches array<long>, sig binary"), "described")
     nodes = described.groupBy("c").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("sketches").alias("sketches"), F.min("sig").alias("sig")
     )
     nodes = materialised(nodes, "classes")
+    shared_ids = _shared_ids(described)
     buckets = nodes.where("sketches is not null").select("c", F.posexplode("sketches").alias("slot", "bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialised(buckets.join(sizes, "bucket"), "buckets")  # only buckets of several classes
@@ -432,28 +440,47 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scored = materialised(shared.select("bucket", "slot", "c").join(score, "c"), "scored")
     labels = None
     for rank in range(1, ROUNDS + 1):
-        links = _links(_star(scored, labels, rank), docs, nodes)
+        links = _links(_star(scored, labels, rank), docs, nodes, shared_ids)
         labels = _joined(links, labels)
-    labels = _joined(_between_components(scored, labels, docs, nodes), labels)
+    labels = _joined(_between_components(scored, labels, docs, nodes, shared_ids), labels)
     named = nodes.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
     least = named.groupBy("label").agg(F.min("rep").alias("class_id"))
-    classes = named.join(least, "label").select("c", "class_id", "copies")
-    return described.select("doc_id", "c").join(classes, "c").select("doc_id", "class_id", F.hex("c").alias("content"), "copies")
+    classes = named.join(least, "label").select("c", "class_id", "copies", "label")
+    found = described.select("doc_id", "c").join(classes, "c")
+    return found.select("doc_id", "class_id", F.hex("c").alias("content"), "copies", F.hex("label").alias("group"))
+
+
+def _keyed(out: str):
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            c = [content_id(t, word_hashes(t)).hex().upper() for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(c, pa.string())], names=[*batch.schema.names, out])
+
+    return add
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with only the one of the least doc_id of each class; all columns stay.
-    Documents without a doc_id stay if their whole class has none."""
+    """The documents with only one of each class, that of the least doc_id; all columns stay.
+    Where a class has no doc_id, one of those with the least content stays; of rows with the
+    same doc_id and words any one."""
     found = near_duplicates(docs)
-    keep = found.where("doc_id = class_id").select("doc_id")
-    repeated = not keep.groupBy("doc_id").count().where("count > 1").isEmpty()
-    one = docs.join(keep.distinct() if repeated else keep, "doc_id", "left_semi")
-    one = one.dropDuplicates(["doc_id"]) if repeated else one
-    if docs.where("doc_id is null").isEmpty():
-        return one
-    alone = found.where("doc_id is null and class_id is null").select("content").distinct()
-    named = docs.where("doc_id is null")
-    return one.unionByName(named) if not alone.isEmpty() else one
+    ids = docs.groupBy("doc_id").count()
+    odd = materialised(ids.where("count > 1 or doc_id is null").select("doc_id"), "odd-ids")  # usually none
+    if odd.isEmpty():
+        return docs.join(found.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    found = materialised(found, "classes")
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("first"))
+    first = materialised(first.select("first.doc_id", "first.content"), "first")
+    plain = docs.join(odd.where("doc_id is not null"), "doc_id", "left_anti").where(F.col("doc_id").isNotNull())
+    plain = plain.join(first.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    content, other = free_name(docs, "content"), free_name(docs, "other")
+    several = docs.join(odd.where("doc_id is not null"), "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    kind = StructType([*docs.schema.fields, StructField(content, StringType())])
+    several = several.mapInArrow(_keyed(content), kind)
+    keep = first.select(F.col("doc_id").alias(other), F.col("content").alias(content))
+    one = several.join(keep, content).where(F.col("doc_id").eqNullSafe(F.col(other))).dropDuplicates(["doc_id", content])
+    return plain.unionByName(one.select(docs.columns))
 
 
 def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,3 +111,44 @@ def test_mixed_buckets_groups_and_odd_rows(spark, monkeypatch, block):
     odd = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (1, "other words"), (None, "alone")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.class_id or 0) for r in nd.near_duplicates(odd).collect()) == [(0, 0), (0, 1), (1, 1), (1, 1), (1, 1)]
     assert nd.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_rows_are_told_apart_by_id_and_content(spark):
+    rng = random.Random(7)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    a, b, c, e = text(), text(), text(), text()
+    near = lambda t: t[:40] + ["changed"] + t[41:]
+    rows = [
+        (1, a, "one"), (1, b, "another text of the same id"), (2, near(a), "near copy of the first"), (None, near(near(b)), "near copy without an id"),
+        (None, c, "alone"), (None, near(c), "its near copy"), (None, e, "x"), (None, e, "x"), (5, a, "copy"), (3, e, "named"), (3, e, "named"), (7, b[:3], "short"),
+    ]
+    docs = spark.createDataFrame([(i, note, " ".join(t), 0) for i, t, note in rows], "doc_id long, note string, text string, content int")
+    groups = {}
+    for r in nd.near_duplicates(docs).collect():
+        groups.setdefault(r.group, []).append((r.doc_id, r.class_id))
+    want = [[(1, 1), (2, 1), (5, 1)], [(1, 1), (None, 1)], [(None, None), (None, None)], [(3, 3), (3, 3), (None, 3), (None, 3)], [(7, 7)]]
+    assert sorted((sorted(g, key=repr) for g in groups.values()), key=repr) == sorted(want, key=repr)
+    kept = nd.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.note) for r in kept.collect())[1:] == [(1, "another text of the same id"), (1, "one"), (3, "named"), (7, "short")]
+    assert sum(r.doc_id is None for r in kept.collect()) == 1
+
+
+def test_recall_of_planted_edits(spark):
+    """Of planted near copies, by the share of words changed, all that alignment finds at 0.8 or
+    more, which no filter comes before here, are in the class of their source."""
+    rng = random.Random(3)
+    rows, pairs = [], []
+    for i in range(240):
+        words = [f"{rng.randrange(10**7):x}" for _ in range(rng.choice((120, 600)))]
+        edited, share = list(words), rng.choice((0.01, 0.02, 0.03, 0.05, 0.1, 0.2))
+        for at in sorted(rng.sample(range(len(words)), max(1, int(share * len(words)))), reverse=True):
+            edited[at : at + rng.randrange(2)] = [] if rng.random() < 0.3 else [f"{rng.randrange(10**7):x}"]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited))]
+        pairs.append((2 * i, nd.similarity(*(nd.word_hashes(t) for _, t in rows[-2:])), share))
+    got = {r.doc_id: r.class_id for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    by_share = {}
+    for i, s, share in pairs:
+        assert (got[i + 1] == i) == (s >= nd.SIMILARITY)
+        by_share.setdefault(share, []).append(s >= nd.SIMILARITY)
+    assert all(by_share[0.01]) and not any(by_share[0.2])  # 1 % of the words is near, 20 % never
