@@ -50,3 +50,21 @@ def test_empty_documents_and_extra_columns(spark, sf_dir):
             some = stage(spark, some, sf_dir)
             assert some.columns == docs.columns
         cp.pack(spark, some, sf_dir).count()
+
+
+def test_columns_of_our_names_change_no_decision(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = ["predicted", "score", "contamination", "secrets", "content", "class_id", "group", "c", "label", "stats"]
+    clashing = docs.select("*", *(cp.F.lit(1).alias(n) for n in names))
+    for _, stage in cp.STAGES[:-1]:
+        plain, more = (cp.materialised(stage(spark, x, sf_dir), "stage") for x in (docs, clashing))
+        assert more.columns == clashing.columns and not more.where("predicted <> 1 or score <> 1 or contamination <> 1").count()
+        assert sorted(more.select(docs.columns).collect()) == sorted(plain.collect())
+        docs, clashing = plain, more
+
+
+def test_contaminated_documents_in_other_scripts_go(spark, tmp_path):
+    item = "хорошо их à Å х 日本語 b\xa0c " + " ".join(f"слово{i}" for i in range(9))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, f"vor {item} nach"), (2, item.replace("хорошо", "плохо").replace("слово4", "снова"))], "doc_id long, text string")
+    assert [r.doc_id for r in cp.decontamination(spark, docs, str(tmp_path)).collect()] == [2]
