@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import classifier, decontaminate, neardup, packing, secrets
-from cadenza.llm.common import materialised, read_table
+from cadenza.llm.common import free_name, materialised, read_table
 from cadenza.llm.tokens import public_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -20,7 +20,9 @@ TOKENIZER = "byte_bpe_50k.json"
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     model = classifier.train(docs, read_table(spark, sf_dir, "labels"))
-    return classifier.score_documents(docs, model).where("predicted = 1").select(docs.columns)
+    predicted = free_name(docs, "predicted")
+    scored = classifier.score_documents(docs, model, predicted=predicted)
+    return scored.where(F.col(predicted) == 1).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +32,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated with the benchmark."""
-    found = decontaminate.find_contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    c = F.col("contamination")
+    out = free_name(docs, "contamination")
+    found = decontaminate.find_contamination(docs, read_table(spark, sf_dir, "benchmark"), out)
+    c = F.col(out)
     n_hit = decontaminate.hit_words(c["runs"])
     return found.where(~decontaminate.is_contaminated(n_hit, c["n_words"])).select(docs.columns)
 
