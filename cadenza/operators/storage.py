@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; only where that is unset, as
-    in tests on one machine, in a folder of our own."""
+    """A new path in the folder that spark.checkpoint.dir names.  Only on one machine (a local
+    master) may that be unset; then it is a folder of our own.  Elsewhere that is an error, as
+    executors would write to disks that others don't see."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
         held = sc._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
             held = sc._jsc.sc().getCheckpointDir()
         base = held.get()
