@@ -75,3 +75,35 @@ def has_content(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Pieces up to and with their terminal marks."""
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit("([^.!?。！？\\n]+[.!?。！？]*)"), 1), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def infer_language(text: Column, reported: Column) -> Column:
+    """Kana means ja; else what was reported, by its code; Han characters mean zh where nothing
+    better was; an empty report is 'auto'."""
+    t, r = F.coalesce(text, F.lit("")), F.lower(F.coalesce(F.nullif(reported, F.lit("")), F.lit("auto")))
+    plain = F.when(r.isin("chinese", "mandarin"), "zh").when(r.isin("japanese", "ja"), "ja")
+    return F.when(t.rlike(KANA), "ja").otherwise(F.coalesce(plain, F.when(t.rlike("[\\u4e00-\\u9fff]"), "zh"), r))
+
+
+def text_cuts(text: Column, fragments: Column) -> Column:
+    """Where the fragments begin in the text, and its length: null if an empty one is among them
+    or, blanks aside, they aren't the text."""
+    blank = "[ \\t\\n\\x0B\\f\\r]"
+    squeeze = lambda c: F.regexp_replace(c, blank, "")
+    sizes = F.transform(fragments, lambda x: F.char_length(squeeze(x)))
+    places = F.filter(F.sequence(F.lit(0), F.char_length(text) - 1), lambda i: ~F.substr(text, i + 1, F.lit(1)).rlike(blank))
+    zero = F.array().cast("array<int>")
+    sums = F.aggregate(sizes, zero, lambda acc, x: F.concat(acc, F.array(x + F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)))))
+    inner = F.transform(F.slice(sums, 1, F.greatest(F.size(sums) - 1, F.lit(0))), lambda n: F.get(places, n))
+    cuts = F.concat(F.array(F.lit(0)), inner, F.array(F.char_length(text)))
+    right = ~F.exists(sizes, lambda n: n == 0) & (squeeze(F.array_join(fragments, "")) == squeeze(text)) & (F.char_length(text) > 0)
+    return F.when(right, cuts)
+
+
+def provenance(audited: Column, shown: Column, score: Column, reference: Column) -> tuple[Column, Column]:
+    """How sure a crop's confidence is, and what it is: only an audit, else a navigation, of
+    exactly the crop's span counts; a score that isn't finite is none."""
+    finite = lambda c: F.when(~F.isnan(c.cast("double")) & (F.abs(c) < float("inf")), c.cast("double"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    method = F.when(yes(audited), "exact_acoustic_identity_audit").when(yes(shown), "exact_review_navigation")
+    return method, F.when(yes(audited), finite(score)).when(yes(shown), finite(reference))

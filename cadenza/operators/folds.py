@@ -2,8 +2,8 @@
 
 A cap on the merged length, or a row that replaces a kept one, makes the groups depend on what
 was decided before, so window functions can't express them.  Window functions first number the
-runs between hard splits, gaps over which no fold reaches; `RUNS` consecutive runs are one group
-for `applyInPandas`, so a long source is many tasks.
+runs between hard splits, gaps over which no fold reaches; runs that begin within `GROUP_MS` are
+one group for `applyInPandas`, so a long source is many tasks.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.operators.intervals import islands
+from cadenza.operators.intervals import BUCKET_MS, islands
 
 
-#: Consecutive runs of a source that one call folds.
-RUNS = 64
+#: Runs of a source that begin in one such stretch of time are folded in one call.
+GROUP_MS = 8 * BUCKET_MS
 
 
 def fold_runs(df: DataFrame, hard_gap: int, fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -28,7 +28,7 @@ def fold_runs(df: DataFrame, hard_gap: int, fold: Callable[[pd.DataFrame], pd.Da
         return fold(rows.sort_values(["start_ms", "segment_id"], kind="stable").reset_index(drop=True))
 
     numbered = islands(df, ["source_id"], F.lit(hard_gap), out="run")
-    return numbered.withColumn("run", F.floor(F.col("run") / RUNS)).groupBy("source_id", "run").applyInPandas(ordered, schema)
+    return numbered.withColumn("run", F.floor(F.col("run") / GROUP_MS)).groupBy("source_id", "run").applyInPandas(ordered, schema)
 
 
 MERGED = "source_id long, start_ms long, end_ms long, n long, score double"

@@ -2,12 +2,17 @@
 
 All operators are DataFrame functions: gaps and islands by window functions, range joins by
 equi joins on time buckets.  Inputs need the key columns and start_ms < end_ms; rows with a
-null bound or key fall out.  Intervals that touch (end = start) merge at gap 0.
+null bound or key fall out (of `left`, `left_anti` and the operators that add a column they
+don't).  Intervals that touch (end = start) merge at gap 0.
+
+Rows are told apart by a key of their own, which each operator gives them, not by their values:
+repeated rows and rows with nulls in other columns are rows like any.  Windows are taken within
+time buckets, with what earlier buckets carry over, so a hot source is many tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,12 +22,37 @@ START, END = "start_ms", "end_ms"
 BUCKET_MS = 50_000_000
 
 
-def islands(df: DataFrame, keys: Sequence[str], gap: int | Column = 0, out: str = "island") -> DataFrame:
-    """Numbers the rows' islands: runs in which no row starts more than `gap` after all before."""
-    order = Window.partitionBy(*keys).orderBy(START, END)
-    before = F.max(END).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(F.col(START) <= before + gap, 0).otherwise(1)
-    return df.withColumn("_new", new).withColumn(out, F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def _free(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that df doesn't have yet."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def islands(df: DataFrame, keys: Sequence[str], gap: int | Column = 0, out: str = "island", bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """Names the rows' islands, runs in which no row starts more than `gap` after all before, by
+    the start of their first row.  Running maxima are taken within time buckets; of each bucket
+    one row goes on to the next."""
+    bucket, before, new, last = _free(df, "_bucket", "_before", "_new", "_last")
+    within = Window.partitionBy(*keys, bucket).orderBy(START, END)
+    earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)  # of one row a bucket
+    up_to_now = within.rowsBetween(Window.unboundedPreceding, 0)
+
+    def carried(rows: DataFrame, what: Column, name: str) -> DataFrame:
+        tops = rows.groupBy(*keys, bucket).agg(F.max(what).alias(name))
+        return rows.join(tops.withColumn(name, F.max(name).over(earlier)), [*keys, bucket])
+
+    rows = df.where(F.col(START).isNotNull() & F.col(END).isNotNull()).withColumn(bucket, F.floor(F.col(START) / bucket_ms))
+    rows = carried(rows, F.col(END), before)
+    inside = F.max(END).over(within.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn(new, F.when(F.col(START) <= F.greatest(before, inside) + gap, None).otherwise(F.col(START)))
+    rows = carried(rows, F.col(new), last)
+    named = rows.withColumn(out, F.coalesce(F.last(new, True).over(up_to_now), last))
+    return named.select(*[F.col(c) for c in df.columns if c != out], out)
 
 
 def merge(df: DataFrame, keys: Sequence[str] = ("source_id",), gap: int = 0, *aggs: Column) -> DataFrame:
@@ -35,6 +65,18 @@ def merge(df: DataFrame, keys: Sequence[str] = ("source_id",), gap: int = 0, *ag
     )
 
 
+def _dealt(a: DataFrame, b: DataFrame, keys: Sequence[str], least: int, bucket_ms: int, bucket: str) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides with their time buckets, b's columns with the prefix b_, and whether a pair that
+    met in a bucket counts there: it shares enough, and the bucket is that of the later start."""
+    span = lambda p: F.explode(F.sequence(F.floor(F.col(p + START) / bucket_ms), F.floor((F.col(p + END) - 1) / bucket_ms)))
+    right = b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys])
+    y = right.where(F.col(f"b_{START}") < F.col(f"b_{END}")).withColumn(bucket, span("b_"))
+    owner = F.floor(F.greatest(START, f"b_{START}") / bucket_ms)
+    # greatest and least pass over nulls, so a row without a pair has to be told from one.
+    counts = F.col(f"b_{START}").isNotNull() & (F.least(END, f"b_{END}") - F.greatest(START, f"b_{START}") > least) & (F.col(bucket) == owner)
+    return a.where(F.col(START) < F.col(END)).withColumn(bucket, span("")), y, counts
+
+
 def overlap_join(
     a: DataFrame, b: DataFrame, keys: Sequence[str] = ("source_id",), how: str = "inner", least: int = 0, bucket_ms: int = BUCKET_MS
 ) -> DataFrame:
@@ -42,25 +84,40 @@ def overlap_join(
 
     Both sides are dealt into time buckets and joined by equality of keys and bucket; a pair is
     kept in the bucket of the later start alone, so nothing is counted twice.  how: inner,
-    left, left_semi or left_anti; for the last three, rows of a are told apart by their columns.
-    """
-    span = lambda p: F.explode(F.sequence(F.floor(F.col(p + START) / bucket_ms), F.floor((F.col(p + END) - 1) / bucket_ms)))
-    right = b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys])
-    x = a.withColumn("_bucket", span(""))
-    y = right.withColumn("_bucket", span("b_"))
-    owner = F.floor(F.greatest(START, f"b_{START}") / bucket_ms)
-    pairs = x.join(y, [*keys, "_bucket"]).where(
-        (F.least(END, f"b_{END}") - F.greatest(START, f"b_{START}") > least) & (F.col("_bucket") == owner)
-    )
-    pairs = pairs.drop("_bucket")
+    left, left_semi or left_anti."""
+    (bucket,) = _free(a, "_bucket")
+    x, y, counts = _dealt(a, b, keys, least, bucket_ms, bucket)
     if how == "inner":
-        return pairs
-    if how == "left_semi":
-        return a.join(pairs.select(a.columns).distinct(), a.columns, "left_semi")
-    if how == "left_anti":
-        return a.join(pairs.select(a.columns).distinct(), a.columns, "left_anti")
-    rest = [c for c in right.columns if c not in keys]
-    return a.join(pairs.select(*a.columns, *rest), a.columns, "left")
+        return x.join(y, [*keys, bucket]).where(counts).drop(bucket)
+    (met,) = _free(a, "_met")
+    if how in ("left_semi", "left_anti"):
+        found = per_row(a, b, keys, lambda hit: [F.max(hit).alias(met)], least, bucket_ms)
+        hit = F.coalesce(F.col(met), F.lit(False))
+        return found.where(hit if how == "left_semi" else ~hit).drop(met)
+    found = per_row(a, b, keys, lambda hit: [F.collect_list(F.when(hit, F.struct(*_b_columns(b, keys)))).alias(met)], least, bucket_ms)
+    return found.select(*a.columns, F.explode_outer(met).alias(met)).select(*a.columns, f"{met}.*")
+
+
+def _b_columns(b: DataFrame, keys: Sequence[str]) -> list[str]:
+    return [f"b_{c}" for c in b.columns if c not in keys]
+
+
+def per_row(
+    a: DataFrame, b: DataFrame, keys: Sequence[str], aggs: Callable[[Column], list[Column]], least: int = 0, bucket_ms: int = BUCKET_MS
+) -> DataFrame:
+    """Each row of a with aggregates over the rows of b that it shares more than `least` with.
+    aggs gets the column that says of a joined row whether it is such a pair; it is null or
+    false for rows of a that met none.  A row's key is the hash of its values and a number, so it
+    is the same row wherever its buckets went."""
+    names = _free(a, "_bucket", "_hash", "_row", "_values")
+    bucket, hashed, row, values = names
+    plain = [c for c, t in a.dtypes if "map<" not in t]
+    keyed = a.withColumns({hashed: F.xxhash64(*plain), row: F.monotonically_increasing_id()})
+    x, y, counts = _dealt(keyed, b, keys, least, bucket_ms, bucket)
+    lost = keyed.where(F.col(START).isNull() | F.col(END).isNull() | (F.col(START) >= F.col(END))).withColumn(bucket, F.lit(None).cast("long"))
+    joined = x.unionByName(lost).join(y, [*keys, bucket], "left")
+    grouped = joined.groupBy(hashed, row).agg(F.first(F.struct(*a.columns)).alias(values), *aggs(counts))
+    return grouped.select(f"{values}.*", *[c for c in grouped.columns if c not in names])
 
 
 def shared() -> Column:
@@ -71,23 +128,19 @@ def shared() -> Column:
 def subtract(df: DataFrame, blocked: DataFrame, keys: Sequence[str] = ("source_id",), least: int = 0) -> DataFrame:
     """What is left of each row's interval: one row a piece longer than `least`, with
     edge_start and edge_end (whether that edge is the row's own).  Other columns stay."""
-    cut = merge(blocked, keys)
-    pairs = overlap_join(df, cut, keys, "left")
-    per_row = pairs.groupBy(*df.columns).agg(F.sort_array(F.collect_list(F.struct(f"b_{START}", f"b_{END}"))).alias("_cuts"))
-    cuts = F.filter("_cuts", lambda c: c[f"b_{START}"].isNotNull())
-    starts = F.concat(F.array(F.col(START)), F.transform(cuts, lambda c: c[f"b_{END}"]))
-    ends = F.concat(F.transform(cuts, lambda c: c[f"b_{START}"]), F.array(F.col(END)))
+    cuts, p = _free(df, "_cuts", "_p")
+    b_start, b_end = f"b_{START}", f"b_{END}"
+    found = per_row(df, merge(blocked, keys), keys, lambda hit: [F.sort_array(F.collect_list(F.when(hit, F.struct(b_start, b_end)))).alias(cuts)])
+    starts = F.concat(F.array(F.col(START)), F.transform(cuts, lambda c: c[b_end]))
+    ends = F.concat(F.transform(cuts, lambda c: c[b_start]), F.array(F.col(END)))
     pieces = F.filter(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda p: p["e"] - p["s"] > least)
     other = [c for c in df.columns if c not in (START, END)]
-    return (
-        per_row.withColumn("_p", F.explode(pieces))
-        .select(
-            *other,
-            F.col("_p.s").alias(START),
-            F.col("_p.e").alias(END),
-            (F.col("_p.s") == F.col(START)).alias("edge_start"),
-            (F.col("_p.e") == F.col(END)).alias("edge_end"),
-        )
+    return found.withColumn(p, F.explode(pieces)).select(
+        *other,
+        F.col(f"{p}.s").alias(START),
+        F.col(f"{p}.e").alias(END),
+        (F.col(f"{p}.s") == F.col(START)).alias("edge_start"),
+        (F.col(f"{p}.e") == F.col(END)).alias("edge_end"),
     )
 
 
@@ -97,17 +150,19 @@ def intersect(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("source_id",),
     return pairs.withColumns({START: F.greatest(START, f"b_{START}"), END: F.least(END, f"b_{END}")})
 
 
+def _shared_sum(df: DataFrame, other: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    total = lambda hit: [F.coalesce(F.sum(F.when(hit, shared())), F.lit(0)).cast("long").alias(out)]
+    return per_row(df, other, keys, total)
+
+
 def covered_length(df: DataFrame, cover: DataFrame, keys: Sequence[str] = ("source_id",)) -> DataFrame:
     """Adds covered_ms: how much of each row the union of `cover` covers."""
-    pairs = overlap_join(df, merge(cover, keys), keys)
-    per_row = pairs.groupBy(*df.columns).agg(F.sum(shared()).alias("covered_ms"))
-    return df.join(per_row, df.columns, "left").withColumn("covered_ms", F.coalesce("covered_ms", F.lit(0)).cast("long"))
+    return _shared_sum(df, merge(cover, keys), keys, "covered_ms")
 
 
 def overlap_sum(df: DataFrame, other: DataFrame, keys: Sequence[str] = ("source_id",)) -> DataFrame:
     """Adds overlap_ms: the sum of overlaps, in which overlapping covers count twice."""
-    per_row = overlap_join(df, other, keys).groupBy(*df.columns).agg(F.sum(shared()).alias("overlap_ms"))
-    return df.join(per_row, df.columns, "left").withColumn("overlap_ms", F.coalesce("overlap_ms", F.lit(0)).cast("long"))
+    return _shared_sum(df, other, keys, "overlap_ms")
 
 
 def carve(df: DataFrame, blocked: DataFrame, pad: int, least: int, keys: Sequence[str] = ("source_id",)) -> DataFrame:
@@ -135,14 +190,14 @@ def gaps(df: DataFrame, keys: Sequence[str] = ("source_id",), least: int = 0) ->
 
 def split_at(df: DataFrame, cuts: DataFrame, keys: Sequence[str] = ("source_id",), at: str = "cut_ms") -> DataFrame:
     """Rows subdivided at the cut points strictly inside them, with part numbers from 0."""
+    held, p = _free(df, "_cuts", "_p")
     points = cuts.select(*keys, F.col(at).alias(START), (F.col(at) + 1).alias(END))
-    pairs = overlap_join(df, points, keys).where(f"b_{START} > {START}")
-    per_row = pairs.groupBy(*df.columns).agg(F.sort_array(F.collect_set(f"b_{START}")).alias("_cuts"))
-    joined = df.join(per_row, df.columns, "left")
-    edges = F.concat(F.array(START), F.coalesce("_cuts", F.array().cast("array<long>")), F.array(END))
+    inside = lambda hit: F.when(hit & (F.col(f"b_{START}") > F.col(START)), F.col(f"b_{START}"))
+    found = per_row(df, points, keys, lambda hit: [F.sort_array(F.collect_set(inside(hit))).alias(held)])
+    edges = F.concat(F.array(START), held, F.array(END))
     parts = F.zip_with(F.slice(edges, 1, F.size(edges) - 1), F.slice(edges, 2, F.size(edges)), lambda s, e: F.struct(s.alias("s"), e.alias("e")))
     other = [c for c in df.columns if c not in (START, END)]
-    return joined.select(*other, F.posexplode(parts).alias("part", "_p")).select(*other, "part", F.col("_p.s").alias(START), F.col("_p.e").alias(END))
+    return found.select(*other, F.posexplode(parts).alias("part", p)).select(*other, "part", F.col(f"{p}.s").alias(START), F.col(f"{p}.e").alias(END))
 
 
 def sliding_windows(df: DataFrame, width: int, hop: int) -> DataFrame:

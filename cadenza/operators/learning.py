@@ -68,14 +68,17 @@ def propagate_labels(edges: DataFrame, labels: DataFrame, rounds: int = 80, alph
     return p.select(F.col("a").alias("node"), "p")
 
 
-def chain_to_roots(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def chain_to_roots(links: DataFrame) -> DataFrame:
     """(id, root, steps) for links (id, parent): follows parents to the last one, doubling the
-    reach each round.  Ids on a cycle don't come back."""
+    reach each round until none goes further.  Ids on a cycle, or that lead into one, don't
+    come back: their steps would grow without end, so they fall out once these exceed the
+    number of links."""
     step = materialised(links.select("id", F.col("parent").alias("root"), F.lit(1).cast("long").alias("steps")), "chain")
-    for _ in range(max_rounds):
+    most = step.count()
+    while True:
         far = step.select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("steps").alias("more"))
         joined = step.join(far, "root", "left")
         if joined.where("next is not null").isEmpty():
             return step
-        step = materialised(joined.select("id", F.coalesce("next", "root").alias("root"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")).where("id <> root"), "chain")
-    return step
+        moved = joined.select("id", F.coalesce("next", "root").alias("root"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
+        step = materialised(moved.where((F.col("id") != F.col("root")) & (F.col("steps") <= most)), "chain")

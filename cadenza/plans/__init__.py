@@ -1,5 +1,6 @@
 """Registered queries.  Importing this package fills the catalogue."""
 
+from cadenza.plans import assembly_queries as _assembly  # noqa: F401
 from cadenza.plans import curation_queries as _curation  # noqa: F401
 from cadenza.plans import evidence_queries as _evidence  # noqa: F401
 from cadenza.plans import fold_queries as _folds  # noqa: F401

@@ -144,3 +144,52 @@ def missing_features(wanted: DataFrame, store: DataFrame, key: str = "key") -> D
 def upsert(store: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:
     """The store with new rows in place of old ones of their key."""
     return store.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+#: What a review may hold (fixed names); anything else in it falls out.
+REVIEW = (
+    "ordinal int, filename string, label string, partial_start double, partial_end double, partial_text string, "
+    "partial_intervals array<array<double>>, partial_texts array<struct<start: double, end: double, text: string>>, "
+    "notes string, revised_text string"
+)
+
+
+def read_reviews(spark: SparkSession, path: str, name: str = "*review*.json") -> DataFrame:
+    """Review maps: a row a review, with its folder and key.  Entries that aren't objects fall out,
+    as do fields of other names; a file without reviews has none."""
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name)
+    held = F.from_json(F.get_json_object("value", "$.reviews"), "map<string,string>")
+    rows = raw.select(F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]*$", 1).alias("folder"), F.explode(held).alias("key", "item"))
+    objects = rows.where(F.ltrim("item").startswith("{"))
+    return objects.select("folder", "key", F.from_json("item", REVIEW).alias("r")).select("folder", "key", "r.*")
+
+
+def read_cluster_reports(spark: SparkSession, path: str) -> DataFrame:
+    """Cluster reports anywhere under the path: a row a cluster, with the report's folder relative
+    to the path ('.' for the path itself).  Files that hold no list of clusters fall out."""
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="cluster_report.json")
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    base = str(root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root)).rstrip("/")
+    folder = F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]*$", 1), "^[a-z]+:/+", "/")
+    plain = "/" + base.split(":", 1)[-1].lstrip("/") if ":" in base else base
+    inside = F.regexp_replace(F.substr(folder, F.lit(len(plain) + 1)), "^/+", "")
+    clusters = F.get_json_object("value", "$.clusters")
+    listed = raw.where(F.ltrim(clusters).startswith("["))
+    return listed.select(F.coalesce(F.nullif(inside, F.lit("")), F.lit(".")).alias("folder"), F.posexplode(F.from_json(clusters, "array<string>")).alias("position", "cluster"))
+
+
+def reference_clips(spans: DataFrame, lengths: DataFrame, gap: int = 350, pad: int = 50, longest: int = 8000, least: int = 800) -> DataFrame:
+    """Which clips to cut of each reference: its spans, merged over `gap` and padded, in pieces of
+    `longest`, of which a last one under `least` falls out; a reference that gives none is one
+    clip, whole.  spans: source_id, start_ms, end_ms; lengths: source_id, length_ms.  Rows only:
+    source_id, clip (from 1), start_ms, end_ms."""
+    from cadenza.operators.intervals import END, START, merge
+
+    padded = merge(spans, ("source_id",), gap).join(lengths, "source_id")
+    padded = padded.select("source_id", F.greatest(F.col(START) - pad, F.lit(0)).alias("a"), F.least(F.col(END) + pad, F.col("length_ms")).alias("b"))
+    starts = F.sequence(F.col("a"), F.col("b") - least, F.lit(longest))
+    pieces = padded.where(F.col("b") - F.col("a") >= least).select("source_id", "b", F.explode(starts).alias(START))
+    pieces = pieces.select("source_id", START, F.least(F.col("b"), F.col(START) + longest).alias(END))
+    whole = lengths.join(pieces.select("source_id"), "source_id", "left_anti").select("source_id", F.lit(0).cast("long").alias(START), F.col("length_ms").alias(END))
+    number = F.row_number().over(Window.partitionBy("source_id").orderBy(START))
+    return pieces.unionByName(whole).select("source_id", number.alias("clip"), START, END)
