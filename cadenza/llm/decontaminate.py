@@ -5,9 +5,11 @@ folded.  A window is 13 consecutive words of a benchmark text; a text of fewer w
 none, is one window.  Every document is scanned once, whole, for all windows at a time; hits
 are mapped back to words, and to offsets of the original text.
 
-The automaton's letters are words: each word of the benchmark has a number, which is one
-character of a window's key, so a window takes 13 nodes; all other words of a document are one
-letter that no key has.
+The automaton reads words as numbers: each word of the benchmark has one, written in digits of
+base 64, two of them up to 4,096 words.  A window takes few nodes, and no node has more than 64
+successors, among which the automaton searches one by one.  Digits of each rank are characters of
+their own, so a match can't begin within a word; all other words of a document are digits that
+no key has.
 
 Windows are found by Spark, counted, and broadcast as an automaton.  Beyond `BLOCK_WINDOWS`
 windows (or `BLOCK_BYTES` of them) they are dealt into blocks by hash; the documents are
@@ -38,14 +40,14 @@ from cadenza.llm.common import free_name, materialised, normalised_words, read_t
 #: Words in a window.
 WINDOW = 13
 #: Windows in one automaton, and bytes of them, at the most: some 150 MB.
-BLOCK_WINDOWS, BLOCK_BYTES = 200_000, 64_000_000
+BLOCK_WINDOWS, BLOCK_BYTES = 80_000, 64_000_000
 #: A document is contaminated if at least one word in so many is hit.
 SHARE = 20
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
-#: The letter of all words that the benchmark doesn't have.
-_OTHER = "\0"
+#: Digits of a word's number, and the digit of all words that the benchmark doesn't have.
+_BASE, _OTHER = 64, "\0"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -68,27 +70,28 @@ class Windows:
         of: dict[bytes, set] = {}
         for item, w in found:
             of.setdefault(w, set()).add(item)
-        self.letters: dict[bytes, str] = {}
+        words = sorted({x for w in of for x in w.split(b" ")})
+        self.digits = next(d for d in range(1, 12) if _BASE**d >= len(words))
+        self.number = {x: self._written(i) for i, x in enumerate(words)}
         self.automaton = ahocorasick.Automaton()
         for w, items in of.items():
-            words = w.split(b" ")
-            key = "".join(self.letters.setdefault(x, self._letter()) for x in words)
-            self.automaton.add_word(key, (len(words), tuple(sorted(items, key=str))))
+            split = w.split(b" ")
+            self.automaton.add_word("".join(map(self.number.get, split)), (len(split), tuple(sorted(items, key=str))))
         if of:
             self.automaton.make_automaton()
 
-    def _letter(self) -> str:
-        n = len(self.letters) + 1
-        return chr(n if n < 0xD800 else n + 0x800)  # no surrogates
+    def _written(self, i: int) -> str:
+        return "".join(chr(1 + _BASE * rank + i // _BASE**rank % _BASE) for rank in range(self.digits))
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set]:
         """Number of words, merged runs of hit words (from, to), and items found."""
         words = words_of(text)
         if not words or not len(self.automaton):
             return len(words), [], set()
-        hits = list(self.automaton.iter("".join(map(self.letters.get, words, repeat(_OTHER)))))
+        digits = self.digits
+        hits = list(self.automaton.iter("".join(map(self.number.get, words, repeat(_OTHER * digits)))))
         runs: list[list[int]] = []
-        for a, b in sorted((end + 1 - n, end + 1) for end, (n, _) in hits):
+        for a, b in sorted(((end + 1) // digits - n, (end + 1) // digits) for end, (n, _) in hits):
             if runs and a <= runs[-1][1]:
                 runs[-1][1] = max(runs[-1][1], b)
             else:
