@@ -7,14 +7,22 @@ parallel, and over one total for each range; no window puts all rows into one ta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.operators.storage import materialised
+
+
+def _ranges(df: DataFrame, by: Column | str) -> DataFrame:
+    """The rows dealt into ranges, with the number of each row's range as `_part`.  Written once, so
+    that totals and rows are of the same ranges, whatever is sampled or coalesced later."""
+    return materialised(df.repartitionByRange(by).withColumn("_part", F.spark_partition_id()), "ranges")
+
 
 def running_sums(df: DataFrame, order: str, columns: list[str], descending: bool = False) -> DataFrame:
     """Adds sum_<c>: inclusive running sums of the columns in the order of distinct values."""
     by = F.desc(order) if descending else F.asc(order)
-    dealt = df.repartitionByRange(by).withColumn("_part", F.spark_partition_id())
+    dealt = _ranges(df, by)
     totals = dealt.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in columns])  # one row a range
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("_part", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in columns])
@@ -54,9 +62,21 @@ def classification_metrics(df: DataFrame, score: str, label: str, threshold: flo
 
 def running_max(df: DataFrame, order: str, column: str, out: str) -> DataFrame:
     """Adds the largest value of the column among rows up to the row's place, equals included."""
-    dealt = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    dealt = _ranges(df, order)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     tops = dealt.groupBy("_part").agg(F.max(column).alias("_top"))  # one row a range
     bases = tops.select("_part", F.max("_top").over(before).alias("_base"))
     inside = Window.partitionBy("_part").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
     return dealt.join(F.broadcast(bases), "_part").withColumn(out, F.greatest(F.max(column).over(inside), "_base")).drop("_part", "_base")
+
+
+def rank_audit(df: DataFrame, score: str, old: str, label: str, band: float) -> DataFrame:
+    """One row: protected_pairs, the pairs of a positive and a negative that was lower by more than
+    the band in the old scores; inverted, the positives whose score is at or below that of such a
+    negative; passed, whether there is none."""
+    y = F.col(label)
+    at = F.struct(F.when(y == 1, F.col(old) - band).otherwise(F.col(old)).alias("at"), (1 - y).alias("negative"))  # positives ask before equals
+    rows = df.select(F.col(score).alias("x"), y.alias("y"), at.alias("at"), F.when(y == 0, F.col(score)).alias("low"), (1 - y).cast("long").alias("n"))
+    best = running_max(running_sums(rows, "at", ["n"]), "at", "low", "worst").where("y = 1")
+    inverted = F.count_if(F.col("x") <= F.col("worst"))
+    return best.agg(F.coalesce(F.sum("sum_n"), F.lit(0)).cast("long").alias("protected_pairs"), inverted.alias("inverted"), (inverted == 0).alias("passed"))

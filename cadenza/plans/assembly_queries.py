@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import text as tf
-from cadenza.operators import assembly, selection
+from cadenza.operators import assembly, evaluation, selection
 from cadenza.operators import intervals as iv
 from cadenza.plans.catalogue import register
 from cadenza.plans.sql import BUY, CLICK, ERR, SEG, VIEW, merged, pairs, subtracted
@@ -90,7 +90,7 @@ def text_cuts(spark, d):
     return turns(spark, d).join(f, ["conv_id", "turn"]).select("conv_id", "turn", F.array_join(cuts, ",").alias("cuts"))
 
 
-AUDITS, SHOWN = merged(CLICK), merged(CLICK, HOUR)
+AUDITS = merged(CLICK, 20 * HOUR)
 
 
 @register(
@@ -98,15 +98,15 @@ AUDITS, SHOWN = merged(CLICK), merged(CLICK, HOUR)
     f"""SELECT s.segment_id, CASE WHEN a.source_id IS NOT NULL THEN 'exact_acoustic_identity_audit' WHEN n.source_id IS NOT NULL THEN 'exact_review_navigation' END AS method,
     CASE WHEN a.source_id IS NOT NULL THEN s.value WHEN n.source_id IS NOT NULL THEN CAST(n.n AS DOUBLE) END AS confidence
     FROM (SELECT segment_id, source_id, start_ms, end_ms, value FROM {CLICK}) s LEFT JOIN {AUDITS} a ON a.source_id = s.source_id AND a.start_ms = s.start_ms AND a.end_ms = s.end_ms
-    LEFT JOIN {merged(CLICK, HOUR, ', count(*) AS n')} n ON n.source_id = s.source_id AND n.start_ms = s.start_ms AND n.end_ms = s.end_ms""",
+    LEFT JOIN {merged(CLICK, 0, ', count(*) AS n')} n ON n.source_id = s.source_id AND n.start_ms = s.start_ms AND n.end_ms = s.end_ms""",
 )
 def provenance(spark, d):
     """A crop has its parent's confidence only where audit or navigation had exactly its span:
-    audited are the merged rows, shown those merged over an hour."""
+    audited are rows merged over twenty hours, shown those that touch."""
     s = seg(spark, d, "click", "value")
     span = ["source_id", "start_ms", "end_ms"]
-    audits = iv.merge(s.select(*span)).withColumn("passed", F.lit(True))
-    shown = iv.merge(s.select(*span), ("source_id",), HOUR, F.count("*").cast("double").alias("reference"))
+    audits = iv.merge(s.select(*span), gap=20 * HOUR).withColumn("passed", F.lit(True))
+    shown = iv.merge(s.select(*span), ("source_id",), 0, F.count("*").cast("double").alias("reference"))
     both = s.join(audits, span, "left").join(shown, span, "left")
     method, score = tf.provenance(F.col("passed"), F.col("reference").isNotNull(), F.col("value"), F.col("reference"))
     return both.select("segment_id", method.alias("method"), score.alias("confidence"))
@@ -249,3 +249,19 @@ def subsets(spark, d):
 def plane(spark, d):
     """Coordinates of each vector on the two main axes."""
     return selection.plane(vectors(spark, d)).select("vec_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+RANKED = f"(SELECT segment_id, value AS x, value / 2 + k AS old, CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS y FROM {SEG})"
+
+
+@register(
+    "W5_rank_audit",
+    f"""SELECT sum(n) AS protected_pairs, count(*) FILTER (x <= worst) AS inverted, count(*) FILTER (x <= worst) = 0 AS passed FROM (SELECT x, y, count(*) FILTER (y = 0) OVER w AS n, max(CASE WHEN y = 0 THEN x END) OVER w AS worst
+      FROM (SELECT x, y, CASE WHEN y = 1 THEN old - 20 ELSE old END AS asked FROM {RANKED}) WINDOW w AS (ORDER BY asked, y DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE y = 1""",
+)
+def rank_audit(spark, d):
+    """Of all pairs in which a positive was ahead of a negative by more than the band under the old
+    scores: how many there are, and how many positives some such negative has reached."""
+    s = fx.segments(spark, d)
+    r = s.select(F.col("value").alias("x"), (F.col("value") / 2 + F.col("k")).alias("old"), F.when(F.col("k") % 3 == 0, 1).otherwise(0).alias("y"))
+    return evaluation.rank_audit(r, "x", "old", "y", 20.0)
