@@ -80,3 +80,34 @@ def rank_audit(df: DataFrame, score: str, old: str, label: str, band: float) ->
     best = running_max(running_sums(rows, "at", ["n"]), "at", "low", "worst").where("y = 1")
     inverted = F.count_if(F.col("x") <= F.col("worst"))
     return best.agg(F.coalesce(F.sum("sum_n"), F.lit(0)).cast("long").alias("protected_pairs"), inverted.alias("inverted"), (inverted == 0).alias("passed"))
+
+
+def holdout_sources(df: DataFrame, source: str = "source", label: str = "label", least: int = 3) -> DataFrame:
+    """(source, held): a split by sources in which both sides have both labels.  Sources stand in
+    the order of the SHA-256 of their names, as on a ring; tried are arcs of a fifth of them, then
+    wider ones up to a half, each from every start; the first that fits is held out.  None is held
+    where there are under `least` sources, one label only, or no such arc.
+
+    Places and sums on the ring are running sums; each width is one equi join of both ends."""
+    each = df.where(F.col(source).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(source).cast("string").alias("source")).agg(
+        F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")
+    )
+    keyed = each.withColumns({"key": F.sha2(F.col("source").cast("binary"), 256), "one": F.lit(1).cast("long")})
+    ring = materialised(running_sums(keyed, "key", ["one", "p", "n"]).withColumn("at", F.col("sum_one") - 1), "ring")
+    total, p, n = ring.agg(F.count("*"), F.coalesce(F.sum("p"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    none = ring.select("source", F.lit(False).alias("held"))
+    if total < least or not p or not n:
+        return none
+    size = max(1, total // 5)
+    first = ring.select("at", (F.col("sum_p") - F.col("p")).alias("p0"), (F.col("sum_n") - F.col("n")).alias("n0"))  # before each place
+    for width in range(size, max(size + 1, total // 2 + 1)):
+        last = F.pmod(F.col("at") + width - 1, F.lit(total))
+        ends = ring.select(F.col("at").alias("last"), F.col("sum_p").alias("p1"), F.col("sum_n").alias("n1"))
+        wraps = F.col("at") + width > total
+        arc = first.withColumn("last", last).join(ends, "last")
+        held_p = F.col("p1") - F.col("p0") + F.when(wraps, p).otherwise(0)
+        held_n = F.col("n1") - F.col("n0") + F.when(wraps, n).otherwise(0)
+        start = arc.where((held_p > 0) & (held_p < p) & (held_n > 0) & (held_n < n)).agg(F.min("at")).first()[0]
+        if start is not None:
+            return ring.select("source", (F.pmod(F.col("at") - start, F.lit(total)) < width).alias("held"))
+    return none

@@ -210,14 +210,14 @@ def merge_tracks(spark, d):
 
 @register("I31_join_same_voice")
 def join_same_voice(spark, d):
-    """Vectors as spans of nine and a half seconds, one every ten; strict where both halves point
+    """Vectors as spans of 950 ms, one a second; strict where both halves point
     the same way, and rows of role 9 as barriers around their start."""
     from cadenza.functions.vectors import dot
 
     v = vectors(spark, d)
-    rows = v.select(F.col("vec_id").alias("segment_id"), "source_id", "start_ms", (F.col("start_ms") + 9500).alias("end_ms"), "primary", "secondary", (dot("primary", "secondary") >= 0.15).alias("strict"))
-    bars = v.where("role = 9").select("source_id", (F.col("start_ms") - 300).alias("start_ms"), (F.col("start_ms") + 100).alias("end_ms"))
-    return assembly.join_same_voice(rows, bars, 850, 60_000, (("primary", 0.0), ("secondary", 0.0)))
+    rows = v.select(F.col("vec_id").alias("segment_id"), "source_id", "start_ms", (F.col("start_ms") + 950).alias("end_ms"), "primary", "secondary", (dot("primary", "secondary") >= 0.15).alias("strict"))
+    bars = v.where("role = 9").select("source_id", (F.col("start_ms") - 30).alias("start_ms"), (F.col("start_ms") + 10).alias("end_ms"))
+    return assembly.join_same_voice(rows, bars, 85, 6_000, (("primary", 0.0), ("secondary", 0.0)))
 
 
 @register("I33_join_owned")
@@ -265,3 +265,50 @@ def rank_audit(spark, d):
     s = fx.segments(spark, d)
     r = s.select(F.col("value").alias("x"), (F.col("value") / 2 + F.col("k")).alias("old"), F.when(F.col("k") % 3 == 0, 1).otherwise(0).alias("y"))
     return evaluation.rank_audit(r, "x", "old", "y", 20.0)
+
+
+LABELLED = f"(SELECT CAST(source_id AS VARCHAR) AS source, CASE WHEN value > 60 THEN 1 ELSE 0 END AS label FROM {CLICK} WHERE k < 40)"
+
+
+@register(
+    "E4_holdout",
+    f"""WITH s AS (SELECT *, row_number() OVER (ORDER BY sha256(source)) - 1 AS at_, count(*) OVER () AS total FROM (SELECT source, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM {LABELLED} GROUP BY source)),
+    w AS (SELECT width FROM (SELECT any_value(total) AS total FROM s), LATERAL (SELECT unnest(generate_series(greatest(1, total // 5), greatest(greatest(1, total // 5), total // 2))) AS width)),
+    arcs AS (SELECT w.width, a.at_ AS start, sum(b.p) AS hp, sum(b.n) AS hn FROM w, s a JOIN s b ON (b.at_ - a.at_ + a.total) % a.total < w.width GROUP BY w.width, a.at_),
+    best AS (SELECT width, start FROM arcs, (SELECT sum(p) AS p, sum(n) AS n, count(*) AS total FROM s) t WHERE t.total >= 3 AND hp > 0 AND hp < t.p AND hn > 0 AND hn < t.n ORDER BY width, start LIMIT 1)
+    SELECT s.source, coalesce((s.at_ - best.start + s.total) % s.total < best.width, false) AS held FROM s LEFT JOIN best ON true""",
+)
+def holdout(spark, d):
+    """Sources of labelled rows, a fifth or more of them held out with both labels on both sides."""
+    s = fx.segments(spark, d, "click").where("k < 40").select(F.col("source_id").cast("string").alias("source"), F.when(F.col("value") > 60, 1).otherwise(0).alias("label"))
+    return evaluation.holdout_sources(s)
+
+
+@register("D3_bank_dedupe")
+def bank_dedupe(spark, d):
+    """Vectors by confidence (how alike their halves are), then role, then id: one goes if a better
+    kept one of its source is near in both halves; of the rest the best 500 stay."""
+    from cadenza.functions.vectors import dot
+    from cadenza.operators import greedy
+
+    v = vectors(spark, d).select("vec_id", "source_id", "role", "primary", "secondary", F.round(dot("primary", "secondary"), 6).alias("confidence"))
+    rank = lambda p: F.struct((-F.col(f"{p}confidence")).alias("c"), F.col(f"{p}role").alias("r"), F.col(f"{p}vec_id").alias("i"))
+    w = v.select("source_id", *[F.col(c).alias(f"o_{c}") for c in v.columns if c != "source_id"])
+    near = v.join(w, "source_id").where((rank("") < rank("o_")) & (dot("primary", "o_primary") >= 0.25) & (dot("secondary", "o_secondary") >= 0.1))
+    lost = greedy.suppress(near.select(F.col("vec_id").alias("better"), F.col("o_vec_id").alias("worse")))
+    kept = v.join(lost.select(F.col("id").alias("vec_id")), "vec_id", "left_anti")
+    return kept.orderBy(rank("")).limit(500).select("vec_id", "confidence")  # the bank's size
+
+
+@register("W9_change_points")
+def change_points(spark, d):
+    """Points between neighbouring vectors of a source where they differ by over 0.9, the strongest
+    first, no two within three seconds."""
+    from cadenza.functions.vectors import dot
+    from cadenza.operators import folds
+
+    w = Window.partitionBy("source_id").orderBy("start_ms", "vec_id")
+    v = vectors(spark, d).withColumns({"before": F.lag("primary").over(w), "from": F.lag("start_ms").over(w)}).where("before is not null")
+    drop = v.select(F.col("vec_id").alias("segment_id"), "source_id", F.floor((F.col("start_ms") + F.col("from")) / 2).alias("start_ms"), (1 - dot("primary", "before")).alias("value"))
+    points = drop.where("value > 0.9").withColumn("end_ms", F.col("start_ms"))
+    return folds.space_out(points, 3000)

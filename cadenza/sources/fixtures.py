@@ -84,7 +84,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(
         "vec_id",
-        (F.col("vec_id") % 10).alias("source_id"),
+        F.expr("vec_id div 50").alias("source_id"),  # so that sources grow in number, not in size
         (F.col("vec_id") * 1000).alias("start_ms"),
         F.col("label").alias("role"),
         unit(F.slice("embedding", 1, 32)).alias("primary"),
@@ -97,5 +97,5 @@ def _unit_sql(a: int, b: int) -> str:
     return f"list_transform({part}, lambda x: x / sqrt(list_sum(list_transform({part}, lambda y: y * y))))"
 
 
-VECTORS_SQL = f"""(SELECT vec_id, vec_id % 10 AS source_id, vec_id * 1000 AS start_ms, label AS role,
+VECTORS_SQL = f"""(SELECT vec_id, vec_id // 50 AS source_id, vec_id * 1000 AS start_ms, label AS role,
   {_unit_sql(1, 32)} AS "primary", {_unit_sql(33, 64)} AS secondary FROM embeddings)"""

@@ -276,3 +276,35 @@ def test_reviews_reports_and_clips(spark, tmp_path):
     lengths = spark.createDataFrame([(1, 60_000), (2, 4000), (3, 900)], "source_id long, length_ms long")
     clips = sorted(map(tuple, files.reference_clips(spans, lengths).collect()))
     assert clips == [(1, 1, 50, 8050), (1, 2, 8050, 9050), (2, 1, 0, 4000), (3, 1, 0, 900)]
+
+
+def test_bank_and_change_points(spark, sf_dir):
+    from cadenza.plans.catalogue import queries
+    from cadenza.plans.vector_queries import vectors
+
+    v = sorted(vectors(spark, sf_dir).collect(), key=lambda r: (-round(float(np.dot(r.primary, r.secondary)), 6), r.role, r.vec_id))
+    kept = []
+    for r in v:
+        if not any(k.source_id == r.source_id and np.dot(k.primary, r.primary) >= 0.25 and np.dot(k.secondary, r.secondary) >= 0.1 for k in kept):
+            kept.append(r)
+    assert {r.vec_id for r in queries()["D3_bank_dedupe"](spark, sf_dir).collect()} == {r.vec_id for r in kept[:500]} and len(kept) < len(v)
+    points, taken = [], []
+    ordered = sorted(v, key=lambda r: (r.source_id, r.start_ms, r.vec_id))
+    for p, r in zip(ordered, ordered[1:], strict=False):
+        if p.source_id == r.source_id and 1 - np.dot(p.primary, r.primary) > 0.9:
+            points.append((1 - float(np.dot(p.primary, r.primary)), (p.start_ms + r.start_ms) // 2, r))
+    for _, at, r in sorted(points, key=lambda x: (-x[0], x[1])):
+        if all(s != r.source_id or abs(at - t) >= 3000 for s, t, _ in taken):
+            taken.append((r.source_id, at, r.vec_id))
+    got = {r.segment_id for r in queries()["W9_change_points"](spark, sf_dir).collect()}
+    assert got == {i for *_, i in taken} and 1 < len(got) < len(points)
+
+
+def test_holdout_without_a_split(spark):
+    from cadenza.operators.evaluation import holdout_sources
+
+    for rows in ([("a", 1), ("b", 0)], [("a", 1), ("b", 1), ("c", 1)], [("a", 0), ("b", 1), ("c", 1)], []):
+        got = holdout_sources(spark.createDataFrame(rows, "source string, label int"))
+        assert not got.where("held").count() and got.count() == len(rows)
+    got = holdout_sources(spark.createDataFrame([(s, y) for s in "abcdef" for y in (0, 1)], "source string, label int"))
+    assert got.where("held").count() == 1
