@@ -111,3 +111,31 @@ def holdout_sources(df: DataFrame, source: str = "source", label: str = "label",
         if start is not None:
             return ring.select("source", (F.pmod(F.col("at") - start, F.lit(total)) < width).alias("held"))
     return none
+
+
+def grouped_sums(df: DataFrame, group: str, order: str, columns: list[str]) -> DataFrame:
+    """Adds sum_<c>, inclusive running sums within each group in the order of distinct values, and
+    total_<c>.  Groups and values are sorted together, so a large group is many tasks."""
+    summed = running_sums(df.withColumn("_order", F.struct(group, order)), "_order", columns).drop("_order")
+    ends = summed.groupBy(group).agg(*[F.sum(c).alias(f"total_{c}") for c in columns], *[F.max(f"sum_{c}").alias(f"_end_{c}") for c in columns])  # one row a group
+    out = summed.join(ends, group)
+    for c in columns:
+        out = out.withColumn(f"sum_{c}", F.col(f"sum_{c}") - F.col(f"_end_{c}") + F.col(f"total_{c}"))
+    return out.drop(*[f"_end_{c}" for c in columns])
+
+
+def group_quantiles(df: DataFrame, group: str, column: str, q: float, out: str) -> DataFrame:
+    """(group, out): the quantile of each group's finite values, between neighbours in proportion."""
+    v = F.col(column).cast("double")
+    finite = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    counts = grouped_sums(finite.groupBy(group, v.alias("x")).agg(F.count("*").alias("n")), group, "x", ["n"])
+    place = (F.col("total_n") - 1) * q
+    at = lambda k: F.min(F.when(F.col("sum_n") >= k + 1, F.col("x")))
+    ends = counts.withColumn("place", place).groupBy(group).agg(at(F.floor("place")).alias("low"), at(F.ceil("place")).alias("high"), F.max("place").alias("place"))
+    return ends.select(group, (F.col("low") + (F.col("place") - F.floor("place")) * (F.col("high") - F.col("low"))).alias(out))
+
+
+def quantile(df: DataFrame, column: str, q: float) -> float | None:
+    """The quantile of a whole table's finite values, or null without any."""
+    found = group_quantiles(df.select(F.lit(0).alias("_all"), F.col(column).alias("_value")), "_all", "_value", q, "q").first()
+    return found["q"] if found else None

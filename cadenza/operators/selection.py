@@ -9,33 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.operators.evaluation import running_sums
+from cadenza.operators.evaluation import quantile, running_sums
 from cadenza.operators.storage import materialised
 
 #: Rows that the walk looks at in one go, and rows that stand for all others.
 POOL, LANDMARKS = 1024, 256
 
 
-def exact_median(df: DataFrame, column: str) -> float | None:
-    """The median of the finite values, of an even number the mean of the middle two.  Counts of
-    distinct values are summed up in ranges, so no task has all rows."""
-    v = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")) & (F.abs(F.col(column)) < float("inf")))
-    counts = running_sums(v.groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("n")), "x", ["n"])
-    n = v.count()
-    if not n:
-        return None
-    low, high = (n + 1) // 2, n // 2 + 1
-    middle = [F.min(F.when(F.col("sum_n") >= k, F.col("x"))) for k in (low, high)]
-    a, b = counts.agg(*middle).first()
-    return (a + b) / 2
-
-
 def _standardised(records: DataFrame, width: int) -> DataFrame:
     """Adds `f`: features about their median, over their deviation if that is above 1, within 4;
     values that aren't finite are the median."""
     names = [f"_f{k}" for k in range(width)]
     wide = records.withColumns({n: F.get("features", k).cast("double") for k, n in enumerate(names)})
-    centre = [exact_median(wide, n) or 0.0 for n in names]
+    centre = [quantile(wide, n, 0.5) or 0.0 for n in names]
     ok = lambda n: F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(F.col(n)) < float("inf"))
     wide = wide.withColumns({n: F.when(ok(n), F.col(n)).otherwise(c) for n, c in zip(names, centre, strict=True)})
     spread = wide.agg(*[F.stddev_pop(n) for n in names]).first()

@@ -16,6 +16,8 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Registers a query, and its SQL twin where SQL can express it."""
 
     def add(f: Query) -> Query:
+        if name in _QUERIES:
+            raise ValueError(f"two queries are named {name}")
         _QUERIES[name] = f
         if sql is not None:
             _ORACLES[name] = sql

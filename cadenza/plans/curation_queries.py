@@ -296,13 +296,12 @@ def merge_report(spark, d):
       count(*) OVER (PARTITION BY kind, value) AS same, count(*) OVER (PARTITION BY kind) AS n FROM {SEG})""",
 )
 def mid_rank_percentile(spark, d):
-    """(less + equal / 2) / n within the kind, from counts of distinct values: only those are windowed."""
+    """(less + equal / 2) / n within the kind, from counts of distinct values, summed up in ranges."""
+    from cadenza.operators.evaluation import grouped_sums
+
     s = fx.segments(spark, d)
-    by = s.groupBy("kind", "value").agg(F.count("*").alias("same"))
-    order = Window.partitionBy("kind").orderBy("value")
-    whole = Window.partitionBy("kind")
-    p = by.withColumns({"upto": F.sum("same").over(order), "n": F.sum("same").over(whole)})
-    p = p.select("kind", "value", F.round((F.col("upto") - F.col("same") / 2) / F.col("n"), 6).alias("percentile"))
+    p = grouped_sums(s.groupBy("kind", "value").agg(F.count("*").alias("same")), "kind", "value", ["same"])
+    p = p.select("kind", "value", F.round((F.col("sum_same") - F.col("same") / 2) / F.col("total_same"), 6).alias("percentile"))
     return s.join(p, ["kind", "value"]).select("segment_id", "percentile")
 
 
@@ -312,8 +311,10 @@ def mid_rank_percentile(spark, d):
       FROM (SELECT s.*, q.q FROM {SEG} s JOIN (SELECT kind, quantile_cont(value, 0.95) AS q FROM {SEG} GROUP BY kind) q USING (kind)) WHERE value >= q) WHERE r <= 3""",
 )
 def golden_top_three(spark, d):
+    from cadenza.operators.evaluation import group_quantiles
+
     s = fx.segments(spark, d)
-    q = s.groupBy("kind").agg(F.percentile("value", 0.95).alias("q"))
+    q = group_quantiles(s, "kind", "value", 0.95, "q")
     order = Window.partitionBy("kind").orderBy(F.desc("value"), "segment_id")
     return s.join(F.broadcast(q), "kind").where("value >= q").withColumn("r", F.row_number().over(order)).where("r <= 3").select("kind", "segment_id", "r")
 
@@ -341,9 +342,12 @@ def longest_pause(spark, d):
     f"""SELECT segment_id, round(greatest(-4, least(4, (value - m) / greatest(1, s))), 6) AS z FROM {SEG}, (SELECT median(value) AS m, stddev_pop(value) AS s FROM {SEG})""",
 )
 def standardise(spark, d):
+    from cadenza.operators.evaluation import quantile
+
     s = fx.segments(spark, d)
-    one = s.agg(F.percentile("value", 0.5).alias("m"), F.stddev_pop("value").alias("s"))  # one row
-    z = (F.col("value") - F.col("m")) / F.greatest(F.lit(1.0), F.col("s"))
+    middle = quantile(s, "value", 0.5)
+    one = s.agg(F.stddev_pop("value").alias("s"))  # one row
+    z = (F.col("value") - F.lit(middle)) / F.greatest(F.lit(1.0), F.col("s"))
     return s.join(F.broadcast(one)).select("segment_id", F.round(F.greatest(F.lit(-4.0), F.least(F.lit(4.0), z)), 6).alias("z"))
 
 
@@ -415,8 +419,11 @@ def top_k_mean(spark, d):
 
 @register("T10_newest_first", f"SELECT source_id, max(start_ms) AS newest, CAST(rank() OVER (ORDER BY max(start_ms) DESC, source_id) AS INTEGER) AS place FROM {SEG} GROUP BY source_id")
 def newest_first(spark, d):
-    s = fx.segments(spark, d).groupBy("source_id").agg(F.max("start_ms").alias("newest"))  # one row a source
-    return s.withColumn("place", F.rank().over(Window.orderBy(F.desc("newest"), "source_id")))
+    from cadenza.operators.evaluation import running_sums
+
+    s = fx.segments(spark, d).groupBy("source_id").agg(F.max("start_ms").alias("newest"))
+    s = s.withColumns({"order": F.struct(-F.col("newest"), "source_id"), "one": F.lit(1)})
+    return running_sums(s, "order", ["one"]).select("source_id", "newest", F.col("sum_one").cast("int").alias("place"))
 
 
 @register(
@@ -551,8 +558,11 @@ def paired_audit(spark, d):
     f"SELECT source_id, CAST(row_number() OVER (ORDER BY h) AS INTEGER) AS place, positives, n FROM (SELECT source_id, sha256(CAST(source_id AS VARCHAR)) AS h, sum(y)::BIGINT AS positives, count(*) AS n FROM {EVAL} GROUP BY source_id)",
 )
 def holdout_order(spark, d):
+    from cadenza.operators.evaluation import running_sums
+
     g = evaluation(spark, d).groupBy("source_id").agg(F.sum("y").cast("long").alias("positives"), F.count("*").alias("n"))
-    return g.select("source_id", F.row_number().over(Window.orderBy(F.sha2(F.col("source_id").cast("string").cast("binary"), 256))).alias("place"), "positives", "n")
+    g = g.withColumns({"h": F.sha2(F.col("source_id").cast("string").cast("binary"), 256), "one": F.lit(1)})
+    return running_sums(g, "h", ["one"]).select("source_id", F.col("sum_one").cast("int").alias("place"), "positives", "n")
 
 
 @register(

@@ -396,3 +396,75 @@ def nonmember_windows(spark, d):
     w = iv.per_row(w, rows(spark, d, "purchase"), ("source_id",), lambda hit: [F.max(F.when(hit, F.col("b_value"))).alias("best")])
     keep = de.nonmember_passes(F.col("accepted"), F.col("conflict"), F.col("p") + F.col("s") >= 0.9, F.col("p") > 0.1, F.col("cm_p"), F.col("cm_s"), F.col("best") - 20)
     return w.where(keep).select("segment_id")
+
+
+#: Scores before and after, in 0 to 1, and labels.
+EVALUATED = "(SELECT segment_id, least(0.999, greatest(0.001, value / 100)) AS s0, least(0.999, greatest(0.001, (value + k) / CAST(200 AS DOUBLE))) AS s1, CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS y FROM {src})"
+AT = 0.4
+
+
+def _metrics_sql(src: str, s: str) -> str:
+    return f"""(SELECT round((sum(CASE WHEN y = 1 THEN r END) - any_value(p) * (any_value(p) + 1) / 2) / (any_value(p) * any_value(n)), 6) AS auc, round(2 * tp / (2 * tp + fp + any_value(p) - tp), 6) AS f1, round((tp / any_value(p) + (any_value(n) - fp) / any_value(n)) / 2, 6) AS balanced, round(loss, 6) AS loss FROM (
+      SELECT y, rank() OVER (ORDER BY {s}) + (count(*) OVER (PARTITION BY {s}) - 1) / 2 AS r, sum(y) OVER () AS p, sum(1 - y) OVER () AS n FROM {src}) x, (SELECT count(*) FILTER (y = 1 AND {s} >= {AT}) AS tp, count(*) FILTER (y = 0 AND {s} >= {AT}) AS fp, avg(-(y * ln({s}) + (1 - y) * ln(1 - {s}))) AS loss FROM {src}) c GROUP BY tp, fp, loss)"""
+
+
+EVAL = EVALUATED.format(src=CLICK)
+
+
+@register(
+    "E3_regression_guard",
+    f"""SELECT b.loss AS loss0, a.loss AS loss1, b.auc AS auc0, a.auc AS auc1, b.f1 AS f0, a.f1 AS f1, b.balanced AS bal0, a.balanced AS bal1, lost, false_new, a.loss <= b.loss + 1e-6 AND a.auc >= b.auc - 1e-6 AND a.f1 >= b.f1 - 1e-6 AND a.balanced >= b.balanced - 1e-6 AND lost = 0 AND false_new = 0 AS passed
+    FROM {_metrics_sql(EVAL, 's0')} b, {_metrics_sql(EVAL, 's1')} a, (SELECT count(*) FILTER (y = 1 AND s0 >= {AT} AND s1 < {AT}) AS lost, count(*) FILTER (y = 0 AND s0 < {AT} AND s1 >= {AT}) AS false_new FROM {EVAL}) g""",
+)
+def regression_guard(spark, d):
+    """Whether new scores are no worse than old ones in loss, AUC, F1 and balanced accuracy, and
+    lose no row that the old ones had right."""
+    from cadenza.operators.evaluation import classification_metrics
+
+    s = rows(spark, d).select(F.col("value"), F.col("k"), F.when(F.col("k") % 3 == 0, 1).otherwise(0).alias("y"))
+    held = lambda c: F.least(F.lit(0.999), F.greatest(F.lit(0.001), c))
+    s = s.select("y", held(F.col("value") / 100).alias("s0"), held((F.col("value") + F.col("k")) / 200.0).alias("s1"))
+    loss = lambda c: F.round(F.avg(-(F.col("y") * F.log(c) + (1 - F.col("y")) * F.log(1 - F.col(c)))), 6)
+    pos, was, now = F.col("y") == 1, F.col("s0") >= AT, F.col("s1") >= AT
+    one = s.agg(loss("s0").alias("loss0"), loss("s1").alias("loss1"), F.count_if(pos & was & ~now).alias("lost"), F.count_if(~pos & ~was & now).alias("false_new"))
+    for i, names in ((0, ("auc0", "f0", "bal0")), (1, ("auc1", "f1", "bal1"))):
+        one = one.crossJoin(classification_metrics(s, f"s{i}", "y", AT).toDF(*names))  # of one row each
+    old = {"loss": F.col("loss0"), "auc": F.col("auc0"), "f1": F.col("f0"), "balanced": F.col("bal0"), "protected_positives": F.lit(0), "protected_negatives": F.lit(0)}
+    new = {"loss": F.col("loss1"), "auc": F.col("auc1"), "f1": F.col("f1"), "balanced": F.col("bal1"), "protected_positives": F.lit(0), "protected_negatives": F.lit(0), "lost_positives": F.col("lost"), "new_false_positives": F.col("false_new")}
+    return one.withColumn("passed", de.non_regressing(old, new))
+
+
+NEAR = f"""(SELECT a, b, w FROM (SELECT x.vec_id AS a, y.vec_id AS b, exp((list_dot_product(x."primary", y."primary") - 1) / 0.15) AS w, row_number() OVER (PARTITION BY x.vec_id ORDER BY round(list_dot_product(x."primary", y."primary"), 9) DESC, y.vec_id) AS r
+  FROM {VEC} x JOIN {VEC} y ON x.source_id = y.source_id AND x.vec_id <> y.vec_id WHERE round(list_dot_product(x."primary", y."primary"), 9) > 0.15) WHERE r <= 12)"""
+SYM = f"(SELECT a, b, max(w) AS w FROM (SELECT a, b, w FROM {NEAR} UNION ALL SELECT b, a, w FROM {NEAR}) GROUP BY a, b)"
+
+
+def affinities(spark, d):
+    """(a, b, w), both ways: the 12 nearest above 0.15 of each vector within its source."""
+    v = vectors(spark, d).select("source_id", F.col("vec_id").alias("a"), F.col("primary").alias("p"))
+    pairs_ = v.join(v.select("source_id", F.col("a").alias("b"), F.col("p").alias("q")), "source_id").where("a <> b").withColumn("s", vf.dot("p", "q"))
+    near = pairs_.withColumn("r9", F.round("s", 9)).where("r9 > 0.15").select("a", "b", "r9", F.exp((F.col("s") - 1) / 0.15).alias("w"))
+    best = near.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("r9"), "b"))).where("r <= 12")
+    both = best.select("a", "b", "w").unionByName(best.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    return both.groupBy("a", "b").agg(F.max("w").alias("w"))
+
+
+@register("V12_affinity_graph", f"SELECT a, b, round(w / sum(w) OVER (PARTITION BY a), 6) AS w FROM {SYM}")
+def affinity_graph(spark, d):
+    """Affinities made symmetric by the larger weight, and brought to a sum of one in each row."""
+    e = affinities(spark, d)
+    total = e.groupBy("a").agg(F.sum("w").alias("t"))
+    return e.join(total, "a").select("a", "b", F.round(F.col("w") / F.col("t"), 6).alias("w"))
+
+
+@register("V13_propagation")
+def propagation(spark, d):
+    """Labels 1 (role 3) and 0 (role 5) over the affinity graph, 80 rounds at the most; under ten
+    labels nothing is propagated and each row keeps its label or 0.5."""
+    from cadenza.operators import learning
+
+    labels = vectors(spark, d).where("role in (3, 5)").select(F.col("vec_id").alias("node"), F.when(F.col("role") == 3, 1.0).otherwise(0.0).alias("y"))
+    e = affinities(spark, d)
+    if labels.limit(10).count() < 10:
+        return vectors(spark, d).select(F.col("vec_id").alias("node")).join(labels, "node", "left").select("node", F.coalesce("y", F.lit(0.5)).alias("p"))
+    return learning.propagate_labels(e, labels)

@@ -308,3 +308,40 @@ def test_holdout_without_a_split(spark):
         assert not got.where("held").count() and got.count() == len(rows)
     got = holdout_sources(spark.createDataFrame([(s, y) for s in "abcdef" for y in (0, 1)], "source string, label int"))
     assert got.where("held").count() == 1
+
+
+def test_quantiles_of_groups(spark):
+    from cadenza.operators.evaluation import group_quantiles, grouped_sums, quantile
+
+    rng = random.Random(20)
+    rows = [(rng.choice("ab"), rng.choice((float(rng.randrange(9)), None, float("nan"), rng.random()))) for _ in range(200)] + [("c", 5.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    finite = {g: [v for h, v in rows if h == g and v is not None and v == v] for g in "abc"}
+    for q in (0.0, 0.3, 0.5, 0.95, 1.0):
+        got = {r.g: r.q for r in group_quantiles(df, "g", "v", q, "q").collect()}
+        assert got == {g: pytest.approx(float(np.quantile(v, q))) for g, v in finite.items()}
+        assert quantile(df, "v", q) == pytest.approx(float(np.quantile(sum(finite.values(), []), q)))
+    assert quantile(df.limit(0), "v", 0.5) is None
+    sums = grouped_sums(spark.createDataFrame([("a", 1, 2), ("a", 3, 4), ("b", 1, 8)], "g string, o int, n long"), "g", "o", ["n"])
+    assert sorted(map(tuple, sums.select("g", "o", "sum_n", "total_n").collect())) == [("a", 1, 2, 6), ("a", 3, 6, 6), ("b", 1, 8, 8)]
+
+
+def test_propagation_query(spark, sf_dir):
+    from cadenza.plans.catalogue import queries
+    from cadenza.plans.decision_queries import affinities
+    from cadenza.plans.vector_queries import vectors
+
+    v = {r.vec_id: r.role for r in vectors(spark, sf_dir).collect()}
+    y = {i: float(r == 3) for i, r in v.items() if r in (3, 5)}
+    p = {i: y.get(i, 0.5) for i in v}
+    edges = {}
+    for a, b, w in affinities(spark, sf_dir).collect():
+        edges.setdefault(a, []).append((b, w))
+    for _ in range(80 if len(y) >= 10 else 0):
+        new = {i: y[i] if i in y else 0.95 * sum(w * p[b] for b, w in edges[i]) / sum(w for _, w in edges[i]) + 0.025 if i in edges else 0.5 for i in v}
+        moved = max(abs(new[i] - p[i]) for i in v)
+        p = new
+        if moved < 1e-6:
+            break
+    got = {r.node: r.p for r in queries()["V13_propagation"](spark, sf_dir).collect()}
+    assert all(abs(x - p[i]) < 1e-5 for i, x in got.items()) and set(y) <= set(got)
