@@ -107,3 +107,37 @@ def provenance(audited: Column, shown: Column, score: Column, reference: Column)
     yes = lambda c: F.coalesce(c, F.lit(False))
     method = F.when(yes(audited), "exact_acoustic_identity_audit").when(yes(shown), "exact_review_navigation")
     return method, F.when(yes(audited), finite(score)).when(yes(shown), finite(reference))
+
+#: Entities that captions hold (fixed values); others stay as they are.
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&"))
+
+
+def spoken_line(text: Column) -> Column:
+    """What one speaker says in a cue: without markup, speaker names and labels in brackets, in one
+    line; of a cue with kana and lines of Han characters alone, only the lines with kana.  '' for
+    music, for several dashed lines, names or labels, and where no letter is left."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>|\\{[^}]*\\}", "")
+    for name, char in ENTITIES:
+        plain = F.replace(plain, F.lit(name), F.lit(char))
+    plain = F.replace(F.regexp_replace(plain, "\\\\[Nn]", "\n"), F.lit("\\h"), F.lit(" "))
+    space = "(?U)^\\s+|\\s+$"
+    trim = lambda x: F.regexp_replace(x, space, "")
+    rows = F.split(plain, "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]")
+    some = lambda xs: F.filter(xs, lambda x: x != "")
+    many = lambda xs: F.size(F.array_distinct(some(xs))) > 1
+
+    def of(lines: Column) -> Column:
+        dashed = F.size(F.filter(lines, lambda x: x.rlike("(?U)^[-–—]\\s*\\S"))) > 1
+        names = F.transform(F.split(plain, "\n"), lambda x: F.regexp_extract(x, "(?U)^(?:[-–—]\\s*)?([^:：\\n]{1,24})[:：]", 1))
+        labels = F.transform(lines, lambda x: F.regexp_extract(x, "(?U)^[（(【\\[]([^）)】\\]]{1,24})[）)】\\]]\\s*\\S", 1))
+        mixed = F.exists(lines, lambda x: x.rlike(KANA)) & F.exists(lines, lambda x: ~x.rlike(KANA) & x.rlike("[\\u4e00-\\u9fff]"))
+        kept = F.when(mixed, F.filter(lines, lambda x: x.rlike(KANA))).otherwise(lines)
+        for pattern in ("(?U)^[-–—]\\s*", "(?U)^[^:：]{1,24}[:：]\\s*", "(?U)^[（(【\\[][^）)】\\]]{1,24}[）)】\\]]\\s*"):
+            kept = F.transform(kept, lambda x: F.regexp_replace(x, pattern, ""))  # noqa: B023
+        clean = some(F.transform(kept, trim))
+        joined = F.array_join(clean, "\u0000")
+        line = F.when(F.exists(clean, lambda x: x.rlike(KANA)), F.replace(joined, F.lit("\u0000"), F.lit(""))).otherwise(F.replace(joined, F.lit("\u0000"), F.lit(" ")))
+        line = trim(F.regexp_replace(line, "(?U)\\s+", " "))
+        return F.when(plain.rlike("[♪♫♬]") | dashed | many(names) | many(labels) | ~line.rlike("\\p{L}"), "").otherwise(line)
+
+    return F.element_at(F.transform(F.array(some(F.transform(rows, trim))), of), 1)

@@ -312,3 +312,11 @@ def change_points(spark, d):
     drop = v.select(F.col("vec_id").alias("segment_id"), "source_id", F.floor((F.col("start_ms") + F.col("from")) / 2).alias("start_ms"), (1 - dot("primary", "before")).alias("value"))
     points = drop.where("value > 0.9").withColumn("end_ms", F.col("start_ms"))
     return folds.space_out(points, 3000)
+
+
+@register("X7_spoken_lines")
+def spoken_lines(spark, d):
+    """What one speaker says in each whole text of the documents and the turns, '' where several do."""
+    docs = fx.table(spark, d, "documents").select(F.lit("document").alias("what"), F.col("doc_id").cast("long").alias("id"), F.lit(0).cast("long").alias("turn"), "text")
+    said = turns(spark, d).select(F.lit("turn").alias("what"), F.col("conv_id").cast("long").alias("id"), F.col("turn").cast("long").alias("turn"), "text")
+    return docs.unionByName(said).select("what", "id", "turn", tf.spoken_line(F.col("text")).alias("line"))

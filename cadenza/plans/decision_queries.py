@@ -468,3 +468,45 @@ def propagation(spark, d):
     if labels.limit(10).count() < 10:
         return vectors(spark, d).select(F.col("vec_id").alias("node")).join(labels, "node", "left").select("node", F.coalesce("y", F.lit(0.5)).alias("p"))
     return learning.propagate_labels(e, labels)
+
+
+def _loo_sql(part: str) -> str:
+    """Each vector's affinity to the mean of the others of its role."""
+    total = f"[{', '.join(f'sum({part}[{i}])' for i in range(1, 33))}]"
+    return f"""(SELECT vec_id, role, v, (d - 1) / sqrt(greatest(s2 - 2 * d + 1, 1e-12)) AS own, n FROM (SELECT x.vec_id, x.role, x.{part} AS v, list_dot_product(x.{part}, t.s) AS d, list_dot_product(t.s, t.s) AS s2, t.n
+      FROM {VEC} x JOIN (SELECT role, {total} AS s, count(*) AS n FROM {VEC} GROUP BY role) t USING (role)))"""
+
+
+def _reliability_sql(part: str) -> str:
+    target = f"(SELECT v, own FROM {_loo_sql(part)} WHERE role = 3)"
+    centre = f"(SELECT [{', '.join(f'sum(v[{i}])' for i in range(1, 33))}] AS s FROM {target})"
+    return f"""SELECT role, round(coherence, 6) AS coherence, round(purity, 6) AS purity, round(coherence * purity, 6) AS weight FROM (
+      SELECT role, greatest(0, least(1, avg(own) / greatest(any_value(rm), 2.220446049250313e-16))) AS coherence, avg(0.5 + 0.5 * tanh((own - crossed) / greatest(sqrt(ov + rv), 2.220446049250313e-16) / 2)) AS purity FROM (
+        SELECT e.role, e.own, greatest(list_dot_product(e.v, c.s) / sqrt(list_dot_product(c.s, c.s)), near.m) AS crossed, var_pop(e.own) OVER (PARTITION BY e.role) AS ov, r.rv, r.rm FROM {_loo_sql(part)} e, {centre} c, (SELECT var_pop(own) AS rv, avg(own) AS rm FROM {target}) r,
+          (SELECT vec_id, avg(s) AS m FROM (SELECT x.vec_id, list_dot_product(x.{part}, t.v) AS s, row_number() OVER (PARTITION BY x.vec_id ORDER BY list_dot_product(x.{part}, t.v) DESC) AS k FROM {VEC} x, {target} t WHERE x.role <> 3) WHERE k <= 2 GROUP BY vec_id) near
+        WHERE near.vec_id = e.vec_id AND e.role <> 3) GROUP BY role)"""
+
+
+@register("V6_view_reliability", _reliability_sql('"primary"'))
+def view_reliability(spark, d):
+    """How far each role but 3 is to be trusted against the target, role 3: how coherent it is by the
+    leave-one-out affinities of its vectors, and how clearly these are above the target's pull
+    (its centre, or its two nearest vectors).  Affinities come from sums by role alone."""
+    from cadenza.operators.neighbours import nearest_scores
+
+    v = vectors(spark, d).select("vec_id", "role", F.col("primary").alias("v"))
+    width = range(32)
+    sums = v.groupBy("role").agg(F.array(*[F.sum(F.get(vf.doubles("v"), i)) for i in width]).alias("s"))  # one row a role
+    dotted = v.join(F.broadcast(sums), "role").withColumns({"d": vf.dot("v", "s"), "s2": vf.dot("s", "s")})
+    own = dotted.withColumn("own", (F.col("d") - 1) / F.sqrt(F.greatest(F.col("s2") - 2 * F.col("d") + 1, F.lit(1e-12)))).select("vec_id", "role", "v", "own")
+    target = own.where("role = 3").agg(F.var_pop("own").alias("rv"), F.avg("own").alias("rm"))
+    centre = sums.where("role = 3").select(F.col("s").alias("c"))
+    others = own.where("role <> 3")
+    near = nearest_scores(others.select("vec_id", "v"), v.where("role = 3").select("vec_id", "v"), 2).select("vec_id", (vf.total("scores") / F.size("scores")).alias("near"))
+    e = others.crossJoin(F.broadcast(target)).crossJoin(F.broadcast(centre)).join(near, "vec_id")  # of one row each
+    e = e.withColumn("crossed", F.greatest(vf.dot("v", "c") / vf.norm("c"), "near"))
+    spread = e.groupBy("role").agg(F.var_pop("own").alias("ov"))
+    tiny = F.lit(2.220446049250313e-16)
+    e = e.join(F.broadcast(spread), "role").withColumn("apart", (F.col("own") - F.col("crossed")) / F.greatest(F.sqrt(F.col("ov") + F.col("rv")), tiny))
+    g = e.groupBy("role").agg(F.avg(0.5 + 0.5 * F.tanh(F.col("apart") / 2)).alias("p"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg("own") / F.greatest(F.first("rm"), tiny))).alias("c"))
+    return g.select("role", F.round("c", 6).alias("coherence"), F.round("p", 6).alias("purity"), F.round(F.col("c") * F.col("p"), 6).alias("weight"))
