@@ -17,8 +17,9 @@ seventy positions is an anchor.  The strings that an anchor stands for are its c
    strings themselves are counted by their hash.
 3. Spans come to their documents, once, and are removed.
 
-Equality is of bytes in step 2, and of two independent 64-bit hashes in step 1 and for the
-large buckets.  Strings never cross documents.
+Equality is of bytes in step 2.  In step 1 it is of two 64-bit hashes, of the q-gram and of the
+whole context, which are different polynomials over powers of one factor; for the large buckets
+it is of a 128-bit digest of the string.  Strings never cross documents.
 
 Defined cases: null text is empty; texts under 200 bytes keep all; a text that occurs twice
 is removed whole in all its copies; if doc_ids repeat or are null, rows are told apart by
