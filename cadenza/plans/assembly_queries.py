@@ -256,7 +256,7 @@ RANKED = f"(SELECT segment_id, value AS x, value / 2 + k AS old, CASE WHEN k % 3
 
 @register(
     "W5_rank_audit",
-    f"""SELECT sum(n) AS protected_pairs, count(*) FILTER (x <= worst) AS inverted, count(*) FILTER (x <= worst) = 0 AS passed FROM (SELECT x, y, count(*) FILTER (y = 0) OVER w AS n, max(CASE WHEN y = 0 THEN x END) OVER w AS worst
+    f"""SELECT CAST(sum(n) AS BIGINT) AS protected_pairs, count(*) FILTER (x <= worst) AS inverted, count(*) FILTER (x <= worst) = 0 AS passed FROM (SELECT x, y, count(*) FILTER (y = 0) OVER w AS n, max(CASE WHEN y = 0 THEN x END) OVER w AS worst
       FROM (SELECT x, y, CASE WHEN y = 1 THEN old - 20 ELSE old END AS asked FROM {RANKED}) WINDOW w AS (ORDER BY asked, y DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE y = 1""",
 )
 def rank_audit(spark, d):
