@@ -40,7 +40,9 @@ def islands(df: DataFrame, keys: Sequence[str], gap: int | Column = 0, out: str
     bucket, before, new, last = _free(df, "_bucket", "_before", "_new", "_last")
     within = Window.partitionBy(*keys, bucket).orderBy(START, END)
     earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)  # of one row a bucket
-    up_to_now = within.rowsBetween(Window.unboundedPreceding, 0)
+    # By value, not by row: of rows that are equal in start and end any may have come first, and the order may be
+    # another one after a join.  Names of islands grow with the start, so the largest so far is the row's own.
+    up_to_now = Window.partitionBy(*keys, bucket).orderBy(START).rangeBetween(Window.unboundedPreceding, Window.currentRow)
 
     def carried(rows: DataFrame, what: Column, name: str) -> DataFrame:
         tops = rows.groupBy(*keys, bucket).agg(F.max(what).alias(name))
@@ -51,7 +53,7 @@ def islands(df: DataFrame, keys: Sequence[str], gap: int | Column = 0, out: str
     inside = F.max(END).over(within.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn(new, F.when(F.col(START) <= F.greatest(before, inside) + gap, None).otherwise(F.col(START)))
     rows = carried(rows, F.col(new), last)
-    named = rows.withColumn(out, F.coalesce(F.last(new, True).over(up_to_now), last))
+    named = rows.withColumn(out, F.coalesce(F.max(new).over(up_to_now), last))
     return named.select(*[F.col(c) for c in df.columns if c != out], out)
 
 
