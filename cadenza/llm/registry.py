@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.llm import classifier, decontaminate, neardup, packing, repair, rules, secrets, sharding, substrings, warc
+from cadenza.llm import chat, classifier, decontaminate, neardup, packing, repair, rules, secrets, sharding, substrings, warc
 
-MODULES = (warc, secrets, decontaminate, repair, rules, sharding, classifier, neardup, substrings, packing)
+MODULES = (warc, secrets, decontaminate, repair, rules, sharding, classifier, neardup, substrings, packing, chat)
 
 
 def queries() -> dict:
