@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.llm import chat, classifier, codes, decontaminate, neardup, packing, repair, rules, secrets, sharding, substrings, warc
+from cadenza.llm import chat, classifier, codes, decontaminate, lexical, neardup, packing, repair, rules, secrets, sharding, substrings, warc
 
-MODULES = (warc, secrets, decontaminate, repair, rules, sharding, classifier, neardup, substrings, packing, codes, chat)
+MODULES = (warc, secrets, decontaminate, repair, rules, sharding, classifier, neardup, substrings, packing, codes, lexical, chat)
 
 
 def queries() -> dict:
