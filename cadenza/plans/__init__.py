@@ -6,6 +6,7 @@ from cadenza.plans import decision_queries as _decisions  # noqa: F401
 from cadenza.plans import evidence_queries as _evidence  # noqa: F401
 from cadenza.plans import fold_queries as _folds  # noqa: F401
 from cadenza.plans import interval_queries as _intervals  # noqa: F401
+from cadenza.plans import mechanism_queries as _mechanisms  # noqa: F401
 from cadenza.plans import more_queries as _more  # noqa: F401
 from cadenza.plans import policy_queries as _policy  # noqa: F401
 from cadenza.plans import text_queries as _texts  # noqa: F401
