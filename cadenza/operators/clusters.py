@@ -1,7 +1,6 @@
-"""Clusters and diverse choices within one source, as grouped maps.
+"""Clusters and diverse choices within one source.
 
-These rules look at all pairs of a source's vectors and change with each merge, so a source is
-one group.  `ROWS` guards it: a larger source has to be cut first (see `folds`), and fails
+The choices look at a source's vectors again after each pick, so a source is one group.  `ROWS` guards it: a larger source has to be cut first (see `folds`), and fails
 with a message instead of taking a worker down.
 """
 
@@ -10,6 +9,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cadenza.operators.turn_clusters import link_turns
 
 ROWS = 20_000
 
@@ -22,34 +24,10 @@ def _guard(rows: pd.DataFrame) -> None:
 def agglomerate(df: DataFrame, least: float, veto: float) -> DataFrame:
     """(source_id, vec_id, cluster): average linkage on `primary` while the best pair's mean is
     at least `least`; a pair of which any two members are below `veto` on `secondary` never
-    merges.  Clusters are named by their least vec_id; ties go to the least names."""
-
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
-        _guard(rows)
-        rows = rows.sort_values("vec_id")
-        p, q = (np.array(rows[c].tolist(), float) for c in ("primary", "secondary"))
-        n = len(rows)
-        total, worst = p @ p.T, q @ q.T
-        size, alive, name = np.ones(n), np.ones(n, bool), np.arange(n)
-        while alive.sum() > 1:
-            mean = total / np.outer(size, size)
-            mean[~alive] = mean[:, ~alive] = -np.inf
-            mean[worst < veto] = -np.inf
-            np.fill_diagonal(mean, -np.inf)
-            i, j = divmod(int(np.argmax(np.triu(mean, 1) + np.tril(np.full((n, n), -np.inf)))), n)
-            if mean[i, j] < least:
-                break
-            total[i] += total[j]
-            total[:, i] += total[:, j]
-            worst[i] = np.minimum(worst[i], worst[j])
-            worst[:, i] = worst[i]
-            size[i] += size[j]
-            alive[j] = False
-            name[name == j] = i
-        ids = rows.vec_id.to_numpy()
-        return pd.DataFrame({"source_id": rows.source_id.to_numpy(), "vec_id": ids, "cluster": ids[name]})
-
-    return df.select("source_id", "vec_id", "primary", "secondary").groupBy("source_id").applyInPandas(group, "source_id long, vec_id long, cluster long")
+    merges.  Clusters are named by their least vec_id; ties go to the least names.  A source may have
+    any number of rows; see `turn_clusters`."""
+    turns = df.select("source_id", F.col("vec_id").alias("turn"), "primary", "secondary", F.lit(None).cast("string").alias("role"))
+    return link_turns(turns, least, veto).withColumnRenamed("turn", "vec_id")
 
 
 def farthest_points(df: DataFrame, picks: int) -> DataFrame:

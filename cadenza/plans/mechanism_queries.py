@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadenza.operators import containment
+from cadenza.operators import turn_clusters as tc
 from cadenza.plans.catalogue import register
 from cadenza.sources import fixtures as fx
 
@@ -28,3 +29,28 @@ def level_clips(spark, d):
 def sequence_containment(spark, d):
     """Clips that are wholly contained in a longer kept one."""
     return containment.deduplicate_sequences(level_clips(spark, d), WIDTH, SHORTEST)
+
+
+def voice_profile(turns):
+    """The target's profile and the excluded voices, from the first turns of their labels."""
+    first = turns.where("voice <= 2 and usable").groupBy("voice").agg(F.slice(F.sort_array(F.collect_list(F.struct("turn", "primary", "secondary"))), 1, 6).alias("t"))
+    held = {r.voice: r.t for r in first.collect()}  # six turns of three voices
+    mean = lambda k, c: [sum(x) / len(x) for x in zip(*(t[c] for t in held[k]), strict=True)]
+    profile = tc.TargetProfile(mean(0, "primary"), mean(0, "secondary"), 0.55, 0.5, [t.primary for t in held[0]], [t.secondary for t in held[0]])
+    return profile, [(f"guest{k}", mean(k, "primary"), mean(k, "secondary")) for k in (1, 2) if k in held]
+
+
+@register("V9_turn_clusters")
+def turn_clusters(spark, d):
+    """Voices of each source, without members that are far from their centroid."""
+    c = tc.cluster_turns(fx.turns(spark, d))
+    return c.select("source_id", "cluster", "n", "seconds", F.round("cohesion", 6).alias("cohesion"), F.round("primary_median", 6).alias("primary_median"))
+
+
+@register("V10_target_family")
+def target_family(spark, d):
+    """Each turn's place in the target's family: core, borderline, dropped, near_miss or none."""
+    turns = fx.turns(spark, d)
+    profile, roles = voice_profile(turns)
+    _, verdicts = tc.assign_target(turns, tc.cluster_turns(turns), profile, roles, require_dominant=False)
+    return verdicts.select("source_id", "turn", "cluster", "verdict", F.round("cohort_margin", 6).alias("cohort_margin"))

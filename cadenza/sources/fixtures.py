@@ -99,3 +99,28 @@ def _unit_sql(a: int, b: int) -> str:
 
 VECTORS_SQL = f"""(SELECT vec_id, vec_id // 50 AS source_id, vec_id * 1000 AS start_ms, label AS role,
   {_unit_sql(1, 32)} AS "primary", {_unit_sql(33, 64)} AS secondary FROM embeddings)"""
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source_id, turn, start_ms, end_ms, seconds, voice, primary, secondary, role, usable: each vector as a
+    speaking turn, drawn towards the mean of its label, so that a source has voices; of some the
+    role is known."""
+    from cadenza.functions.vectors import mean_vector, unit
+
+    v = vectors(spark, sf_dir)
+    means = v.groupBy("role").agg(mean_vector("primary", 32).alias("p"), mean_vector("secondary", 32).alias("s"))  # one row a label
+    near = v.join(means.select("role", unit("p").alias("p"), unit("s").alias("s")), "role")
+    drawn = lambda mean, own: unit(F.zip_with(mean, own, lambda a, b: a + 0.8 * b))
+    known = F.when(F.col("role") == 0, "target").when(F.col("role").isin(1, 2), F.concat(F.lit("guest"), "role"))
+    return near.select(
+        "source_id",
+        F.col("vec_id").alias("turn"),
+        F.col("start_ms"),
+        (F.col("start_ms") + 400 + 50 * (F.col("vec_id") % 5)).alias("end_ms"),
+        (1.0 + 0.75 * (F.col("vec_id") % 5)).alias("seconds"),
+        F.col("role").alias("voice"),
+        drawn("p", "primary").alias("primary"),
+        drawn("s", "secondary").alias("secondary"),
+        F.when(F.col("vec_id") % 4 == 0, known).alias("role"),
+        (F.col("vec_id") % 23 != 0).alias("usable"),
+    )
