@@ -248,6 +248,7 @@ def judge_clusters(rows: pd.DataFrame, profile: TargetProfile, roles: list[tuple
     both = np.minimum(p_score, s_score)
     allowed = np.ones(len(rows), bool)
     p_other = np.full(len(rows), -1.0)
+    least = np.minimum(p_score, s_score) + 1.0 if not roles else np.full(len(rows), np.inf)
     p_gap, s_gap, nearest = np.full(len(rows), np.inf), np.full(len(rows), np.inf), np.full(len(rows), None, object)
     for role, centroid, second in roles:
         other = p @ _unit(np.array(centroid, float))
@@ -255,10 +256,11 @@ def judge_clusters(rows: pd.DataFrame, profile: TargetProfile, roles: list[tuple
         second_gap = s_score - s @ _unit(np.array(second, float)) if second is not None else np.full(len(rows), -np.inf)
         # At the margin, or close under it with the second channel well above.  Two views can't outvote each other.
         allowed &= (gap >= margin) | ((gap >= margin - 0.02) & (second_gap >= margin + 0.02))
+        least = np.minimum(least, np.minimum(gap, np.where(np.isinf(second_gap), s_score + 1.0, second_gap)))
         closer = other > p_other
         nearest[closer], p_other = role, np.maximum(p_other, other)
         p_gap, s_gap = np.where(closer, np.round(gap, 6), p_gap), np.where(closer, np.round(second_gap, 6), s_gap)
-    rows = rows.assign(primary_score=p_score, secondary_score=s_score, nearest_role=nearest, primary_margin=np.where(nearest == None, np.nan, p_gap), qualified=False, target=False, cohort=False, reason="no_qualifying_cluster")  # noqa: E711
+    rows = rows.assign(primary_score=p_score, secondary_score=s_score, nearest_role=nearest, primary_margin=np.where(nearest == None, np.nan, p_gap), least_margin=least, qualified=False, target=False, best=False, cohort=False, reason="no_qualifying_cluster")  # noqa: E711
     qualified = (p_score >= profile.primary_floor) & (s_score >= profile.secondary_floor) & allowed
     rows["qualified"] = qualified
     if not qualified.any():
@@ -280,13 +282,13 @@ def judge_clusters(rows: pd.DataFrame, profile: TargetProfile, roles: list[tuple
     if require_dominant and not family[at[np.argmax(rows.seconds.to_numpy()[at])]]:
         rows["reason"] = "dominance_conflict"
         return rows
-    rows["target"], rows["reason"] = family, "target_cluster_found"
+    rows["target"], rows["best"], rows["reason"] = family, np.arange(len(rows)) == best, "target_cluster_found"
     heard = ((rows.n >= COMPETITOR[0]) & (rows.seconds >= COMPETITOR[1])) | rows.known_rival
     rows["cohort"] = ~qualified & ~strong & heard.to_numpy(bool)
     return rows
 
 
-_JUDGED = _CLUSTER + ", primary_score double, secondary_score double, nearest_role string, primary_margin double, qualified boolean, target boolean, cohort boolean, reason string"
+_JUDGED = _CLUSTER + ", primary_score double, secondary_score double, nearest_role string, primary_margin double, least_margin double, qualified boolean, target boolean, best boolean, cohort boolean, reason string"
 _VERDICT = "source_id {kind}, turn long, cluster long, verdict string, primary_effective double, secondary_effective double, cohort_margin double"
 
 

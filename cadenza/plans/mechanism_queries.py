@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cadenza.functions import vectors as vf
+from cadenza.operators import bootstrap as bs
+from cadenza.operators import calibration as ca
 from cadenza.operators import containment
 from cadenza.operators import turn_clusters as tc
 from cadenza.plans.catalogue import register
+from cadenza.plans.vector_queries import VEC
 from cadenza.sources import fixtures as fx
 
 HOUR, MIN = 3_600_000, 60_000
@@ -54,3 +58,95 @@ def target_family(spark, d):
     profile, roles = voice_profile(turns)
     _, verdicts = tc.assign_target(turns, tc.cluster_turns(turns), profile, roles, require_dominant=False)
     return verdicts.select("source_id", "turn", "cluster", "verdict", F.round("cohort_margin", 6).alias("cohort_margin"))
+
+
+def evidence_turns(spark, d):
+    """Turns with what evidence collection asks about: the clean part of each, and whether raw audio rescued it."""
+    clean = F.when(F.col("turn") % 11 == 0, F.col("end_ms") - F.col("start_ms") - 20)
+    return fx.turns(spark, d).withColumns({"clean_ms": clean, "raw_rescued": F.col("turn") % 29 == 0})
+
+
+def first_assignment(spark, d):
+    turns = evidence_turns(spark, d)
+    profile, roles = voice_profile(turns)
+    judged, verdicts = tc.assign_target(turns, tc.cluster_turns(turns), profile, roles, require_dominant=False)
+    blocked = fx.segments(spark, d, "error").select("source_id", (F.col("start_ms") / 50_000).cast("long").alias("start_ms"), (F.col("end_ms") / 50_000).cast("long").alias("end_ms")).where("end_ms > start_ms")
+    return turns, judged, verdicts.where("verdict = 'core'"), blocked, profile, roles
+
+
+@register("V21_collected_evidence")
+def collected_evidence(spark, d):
+    """Turns that may serve as references, with the confidence of their cluster."""
+    turns, judged, core, blocked, *_ = first_assignment(spark, d)
+    return bs.collect_evidence(turns, judged, core, blocked).select("source_id", "turn", F.round("confidence", 6).alias("confidence"))
+
+
+@register("V20_bootstrap_rounds")
+def bootstrap_rounds(spark, d):
+    """What each round used and brought, a row a source and round."""
+    turns, judged, core, blocked, profile, roles = first_assignment(spark, d)
+    # Only sure turns start; the rounds have to find the rest of the target's.
+    start = core.where("primary_effective >= 0.85 and secondary_effective >= 0.8")
+    _, report = bs.bootstrap_rounds(turns, judged, start, blocked, profile, roles, rounds=10)
+    return report
+
+
+@register("V19_adapted_profiles")
+def adapted_profiles(spark, d):
+    """Gain floors of profiles adapted to each source's strict anchors."""
+    turns = evidence_turns(spark, d)
+    profile, _ = voice_profile(turns)
+    score = lambda c, centre: vf.cosine(c, F.array(*[F.lit(float(x)) for x in centre]))
+    rows = turns.where("usable").withColumns({"primary_score": score("primary", profile.primary), "secondary_score": score("secondary", profile.secondary)})
+    tier = F.when(F.col("primary_score") >= 0.7, "strong").when(F.col("primary_score") >= 0.45, "balanced").otherwise("weak")
+    rows = rows.withColumns({"tier": tier, "silence_merged": F.lit(False), "coverage": F.col("secondary_score") + 0.4, "speech_ratio": F.lit(None).cast("double"), "recall_edges": F.lit(0)})
+    rows = rows.withColumn("source_id", F.expr("source_id div 4"))  # a few hundred turns each, so that many have three anchors
+    found = bs.adapted_profiles(bs.strict_anchors(rows), profile)
+    return found.select("source_id", "n_anchors", F.round("primary_gain_floor", 6).alias("primary_gain_floor"), F.round("secondary_gain_floor", 6).alias("secondary_gain_floor"))
+
+
+@register("V22_whitened_scores")
+def whitened_scores(spark, d):
+    """Each turn's similarity to its voice's mean before and after whitening within voices."""
+    turns = fx.turns(spark, d).select(F.col("turn").alias("vec_id"), F.col("primary").alias("v"), F.col("voice").cast("string").alias("group"))
+    white = ca.fit_whitening(turns).apply(turns)
+    means = white.groupBy("group").agg(vf.mean_vector("v", 32).alias("m"), vf.mean_vector("white", 32).alias("w"))  # one row a voice
+    both = white.join(means, "group")
+    return both.select("vec_id", F.round(vf.cosine("v", "m"), 6).alias("plain"), F.round(vf.cosine("white", "w"), 6).alias("whitened"))
+
+
+def _ratio_sql() -> str:
+    """The cohort ratio with all pairs, by windows."""
+    scale, floor = 0.1, 0.2
+    unit = "list_transform({0}, lambda x: x / sqrt(list_sum(list_transform({0}, lambda y: y * y))))"
+    total = ", ".join(f"sum(v[{i}])" for i in range(1, 33))
+    normal = lambda score, z, t: f"0.5 * (({score} - {z}.m) / {z}.s + ({score} - {t}.m) / {t}.s)"
+    shrunk = lambda rows, prior: f"(SELECT (coalesce(sum(CASE WHEN n > 2 THEN greatest(lo, least(hi, z)) ELSE z END), 0) + 2 * ({prior})) / (count(*) + 2) FROM {rows}, (SELECT count(*) AS n, quantile_cont(z, 0.1) AS lo, quantile_cont(z, 0.9) AS hi FROM {rows}))"
+    prior = lambda score: f"(SELECT ({score} - m) / s FROM side WHERE id = 'z')"
+    return f"""
+WITH r AS MATERIALIZED (SELECT vec_id, "primary" AS v FROM {VEC} WHERE role = 3 AND vec_id % 5 = 0), c AS MATERIALIZED (SELECT vec_id, "primary" AS v FROM {VEC} WHERE role <> 3 AND vec_id % 7 = 0),
+t AS MATERIALIZED (SELECT [{total}] AS s FROM r), ctr AS MATERIALIZED (SELECT {unit.format('s')} AS v FROM t),
+apart AS MATERIALIZED (SELECT vec_id, v, {unit.format('o')} AS c FROM (SELECT vec_id, v, list_transform(list_zip(s, v), lambda x: x[1] - x[2]) AS o FROM r, t)),
+probes AS (
+  SELECT 'z' AS id, v, NULL AS skip FROM ctr UNION ALL SELECT 'rt' || vec_id, v, NULL FROM apart UNION ALL SELECT 'rz' || vec_id, c, NULL FROM apart
+  UNION ALL SELECT 'ct' || vec_id, v, vec_id FROM c UNION ALL SELECT 'cz' || c.vec_id, ctr.v, c.vec_id FROM c, ctr UNION ALL SELECT 'v' || vec_id, "primary", NULL FROM {VEC}
+), side AS MATERIALIZED (
+  SELECT id, avg(x) AS m, greatest(stddev_pop(x), {scale}) AS s FROM (
+    SELECT id, x, row_number() OVER (PARTITION BY id ORDER BY x DESC) AS k FROM (SELECT p.id, list_dot_product(p.v, c.v) AS x FROM probes p, c WHERE c.vec_id IS DISTINCT FROM p.skip))
+  WHERE k <= 20 GROUP BY id
+), pos AS MATERIALIZED (SELECT {normal('list_dot_product(a.v, a.c)', 'z', 't')} AS z FROM apart a JOIN side z ON z.id = 'rz' || a.vec_id JOIN side t ON t.id = 'rt' || a.vec_id),
+neg AS MATERIALIZED (SELECT {normal('list_dot_product(c.v, ctr.v)', 'z', 't')} AS z FROM ctr, c JOIN side z ON z.id = 'cz' || c.vec_id JOIN side t ON t.id = 'ct' || c.vec_id),
+fit AS MATERIALIZED (SELECT {shrunk('pos', prior(min(1.0, floor + scale)))} AS p, {shrunk('neg', prior(floor - scale))} AS n),
+spread AS (SELECT p, n, ((SELECT sum((z - p) * (z - p)) FROM pos) + (SELECT sum((z - n) * (z - n)) FROM neg) + 2) / ((SELECT count(*) FROM pos) + (SELECT count(*) FROM neg) + 2) AS var FROM fit)
+SELECT vec_id, round(z, 6) AS z, round(CASE WHEN p > n THEN greatest(-20, least(20, (p - n) * (z - (p + n) / 2) / var)) ELSE (score - {floor}) / {scale} END, 6) AS llr
+FROM (SELECT vec_id, score, {normal('score', 'z', 't')} AS z FROM (SELECT vec_id, list_dot_product("primary", v) AS score FROM {VEC}, ctr) q JOIN side z ON z.id = 'z' JOIN side t ON t.id = 'v' || q.vec_id), spread
+"""
+
+
+@register("V4_cohort_ratio", _ratio_sql())
+def cohort_ratio(spark, d):
+    """Each vector's score against a reference centre, normalised by cohorts on both sides, and its log likelihood ratio."""
+    v = fx.vectors(spark, d).select("vec_id", "role", F.col("primary").alias("v"))
+    fit = ca.fit_cohort_ratio(v.where("role = 3 and vec_id % 5 = 0"), v.where("role <> 3 and vec_id % 7 = 0"), 0.2, 0.1)
+    scored = v.withColumn("score", vf.dot("v", F.array(*[F.lit(x) for x in fit.centre])))
+    return fit.apply(scored).select("vec_id", F.round("z", 6).alias("z"), F.round("llr", 6).alias("llr"))
