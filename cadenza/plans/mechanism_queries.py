@@ -8,6 +8,8 @@ from cadenza.functions import vectors as vf
 from cadenza.operators import bootstrap as bs
 from cadenza.operators import calibration as ca
 from cadenza.operators import containment
+from cadenza.operators import intervals as iv
+from cadenza.operators import trajectory as tr
 from cadenza.operators import turn_clusters as tc
 from cadenza.plans.catalogue import register
 from cadenza.plans.vector_queries import VEC
@@ -150,3 +152,35 @@ def cohort_ratio(spark, d):
     fit = ca.fit_cohort_ratio(v.where("role = 3 and vec_id % 5 = 0"), v.where("role <> 3 and vec_id % 7 = 0"), 0.2, 0.1)
     scored = v.withColumn("score", vf.dot("v", F.array(*[F.lit(x) for x in fit.centre])))
     return fit.apply(scored).select("vec_id", F.round("z", 6).alias("z"), F.round("llr", 6).alias("llr"))
+
+
+def field_observations(spark, d):
+    """Views as coarse windows, clicks as fine ones, purchases as local evidence, and long errors as islands; their
+    signed values are by how much an event's value differs from the middle one."""
+    s = fx.segments(spark, d).where("start_ms >= 0")
+    kind = F.when(F.col("kind") == "view", "coarse").when(F.col("kind") == "click", "fine").when(F.col("kind") == "purchase", "local").otherwise("island")
+    length = F.when(F.col("kind") == "click", F.least(F.col("end_ms") - F.col("start_ms"), F.lit(HOUR))).otherwise(F.col("end_ms") - F.col("start_ms"))
+    return s.select("source_id", "start_ms", (F.col("start_ms") + length).alias("end_ms"), kind.alias("kind"), F.asinh((F.col("value") - 25) / 20).alias("value"))
+
+
+def field_barriers(spark, d):
+    e = fx.segments(spark, d, "error").where("value >= 100 and start_ms >= 0")
+    return e.select("source_id", "start_ms", (F.col("start_ms") + 10 * MIN).alias("end_ms"))
+
+
+@register("I48_trajectory_field")
+def trajectory_field(spark, d):
+    """Cells of each source's evidence field."""
+    cells, _ = tr.build_field(field_observations(spark, d), field_barriers(spark, d))
+    return cells.select("source_id", "start_ms", "end_ms", F.round("left", 6).alias("left"), F.round("right", 6).alias("right"), "is_observed", "is_identity", "is_blocked")
+
+
+@register("I48_trajectory_assessments")
+def trajectory_assessments(spark, d):
+    """Merged views assessed by the field."""
+    observations = field_observations(spark, d)
+    cells, scales = tr.build_field(observations, field_barriers(spark, d))
+    spans = iv.merge(fx.segments(spark, d, "view").where("start_ms >= 0").select("source_id", "start_ms", "end_ms"))
+    spans = spans.withColumn("segment_id", F.concat_ws(":", "source_id", "start_ms"))
+    found = tr.assess_spans(spans, cells, scales, observations)
+    return found.select("source_id", "segment_id", *[F.round(c, 6).alias(c) for c in ("integral", "positive_fraction", "observed_fraction", "blocked_fraction", "mean_evidence", "negative_integral", "penalty", "fine_mean", "fine_error", "fine_covered_fraction")], "edge_conflict", "supported")
