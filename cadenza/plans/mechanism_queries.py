@@ -9,6 +9,8 @@ from cadenza.operators import bootstrap as bs
 from cadenza.operators import calibration as ca
 from cadenza.operators import containment
 from cadenza.operators import intervals as iv
+from cadenza.operators import promotion as pr
+from cadenza.operators import seeds as sd
 from cadenza.operators import trajectory as tr
 from cadenza.operators import turn_clusters as tc
 from cadenza.plans.catalogue import register
@@ -184,3 +186,79 @@ def trajectory_assessments(spark, d):
     spans = spans.withColumn("segment_id", F.concat_ws(":", "source_id", "start_ms"))
     found = tr.assess_spans(spans, cells, scales, observations)
     return found.select("source_id", "segment_id", *[F.round(c, 6).alias(c) for c in ("integral", "positive_fraction", "observed_fraction", "blocked_fraction", "mean_evidence", "negative_integral", "penalty", "fine_mean", "fine_error", "fine_covered_fraction")], "edge_conflict", "supported")
+
+
+def third_vectors(spark, d, turns):
+    """turns with a third channel and raw audio's vectors: mixtures of both channels, of some turns only."""
+    mix = lambda a, b, w: F.zip_with(a, b, lambda x, y: x + w * y)
+    some = lambda n, c: F.when(F.col("turn") % n != 0, c)
+    return turns.withColumns({
+        "third": some(5, mix("primary", "secondary", 0.6)), "raw_primary": some(3, mix("primary", "secondary", 0.3)), "raw_secondary": some(3, mix("secondary", "primary", 0.3)),
+        "char_score": F.get("primary", F.lit(0)) + 0.4, "va_score": F.get("secondary", F.lit(0)) + 0.3,
+    })
+
+
+@register("V24_promoted_turns")
+def promoted_turns(spark, d):
+    """Turns that the third channel or raw audio brings into the target's core."""
+    turns, judged, _, blocked, profile, roles = first_assignment(spark, d)
+    _, verdicts = tc.assign_target(turns, tc.cluster_turns(turns), profile, roles, require_dominant=False)
+    add = lambda a, b: [x + 0.6 * y for x, y in zip(a, b, strict=True)]
+    third = pr.ThirdChannel(add(profile.primary, profile.secondary), 0.55, [add(p, s) for _, p, s in roles])
+    found = pr.promoted(third_vectors(spark, d, turns), judged, verdicts, blocked, profile, roles, third)
+    return found.select("source_id", "turn", "verdict", F.round("third_score", 6).alias("third_score"), "promoted_by", "rival_wins")
+
+
+@register("V23_rescue_rivals")
+def rescue_rivals(spark, d):
+    """Turns for which an excluded voice or another cluster would win a rescue."""
+    return promoted_turns(spark, d).select("source_id", "turn", "rival_wins").where("rival_wins")
+
+
+def identity_windows(spark, d):
+    """Two windows a turn with scores against its voice's mean and the best other voice's."""
+    turns = fx.turns(spark, d)
+    means = turns.groupBy("voice").agg(vf.mean_vector("primary", 32).alias("mp"), vf.mean_vector("secondary", 32).alias("ms"))  # one row a voice
+    own = turns.join(means, "voice")
+    others = means.select(F.col("voice").alias("other"), F.col("mp").alias("op"), F.col("ms").alias("os"))
+    best = own.join(F.broadcast(others), F.col("voice") != F.col("other"))  # one row a voice.groupBy("turn").agg(F.max(vf.cosine("primary", "op")).alias("bp"), F.max(vf.cosine("secondary", "os")).alias("bs"))
+    rows = own.join(best, "turn").withColumns({"p": vf.cosine("primary", "mp"), "s": vf.cosine("secondary", "ms")}).withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
+    # Turns are a second apart at most in the fixture; windows need lengths of lines.
+    start = F.col("start_ms") * 4 + F.col("half") * 900
+    return rows.select(
+        (F.col("turn") * 2 + F.col("half")).alias("window_id"), "source_id", "turn", "voice", start.alias("start_ms"), (start + 1200).alias("end_ms"),
+        (F.col("p") >= 0.6).alias("accepted"), (F.col("turn") % 13 == 0).alias("smoothed"), (F.col("p") - 0.02 * F.col("half")).alias("primary"), F.col("s").alias("secondary"),
+        (F.col("p") - F.col("bp")).alias("cm_p"), (F.col("s") - F.col("bs")).alias("cm_s"),
+    )
+
+
+@register("I57_prototype_anchors")
+def prototype_anchors(spark, d):
+    """Strictly clean windows that are surer than the middle one and overlap no surer one."""
+    no = F.lit(False)
+    w = identity_windows(spark, d).withColumns({"reference": F.col("turn") % 31 == 0, "raw_audit": no, "micro": no, "scene_supported": no, "compensated": no, "z_p": (F.col("primary") - 0.5) / 0.1, "z_s": (F.col("secondary") - 0.45) / 0.1, "strict": F.least("cm_p", "cm_s") >= 0.02})
+    clean = fx.turns(spark, d).where("usable").select("source_id", "turn", (F.col("start_ms") * 4).alias("start_ms"), (F.col("start_ms") * 4 + 2100).alias("end_ms"))
+    blocked = fx.segments(spark, d, "error").select("source_id", (F.col("start_ms") / 50_000).cast("long").alias("start_ms"), (F.col("end_ms") / 50_000).cast("long").alias("end_ms"))
+    found = sd.prototype_anchors(w, clean, blocked.where("end_ms > start_ms"), 0.1, 0.1)
+    return found.select("window_id", "source_id", "turn", "start_ms", "end_ms", F.round("confidence", 6).alias("confidence"))
+
+
+def seed_rows(spark, d):
+    w = identity_windows(spark, d)
+    members = w.groupBy("source_id", F.col("voice").cast("long").alias("cluster"), "turn").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.min(F.least("cm_p", "cm_s")).alias("margin"), F.min("primary").alias("primary_score"), F.min("secondary").alias("secondary_score"))
+    members = members.withColumns({"outlier": F.col("primary_score") < 0.5, "margin": F.when(F.col("turn") % 9 != 0, F.col("margin"))})
+    cues = members.where("turn % 2 = 0").select("source_id", (F.col("start_ms") + 50).alias("start_ms"), (F.col("end_ms") - 40).alias("end_ms"), F.concat(F.lit("line "), "turn").alias("text"))
+    return sd.seed_candidates(members, cues, w)
+
+
+@register("T6_seed_candidates")
+def seed_candidates(spark, d):
+    """Complete lines of each voice with a quality."""
+    return seed_rows(spark, d).select("source_id", "cluster", "turn", "start_ms", "end_ms", "text", "single_cue", "windows_verified", F.round("variation", 6).alias("variation"), "quality")
+
+
+@register("T5_diverse_seeds")
+def diverse_seeds(spark, d):
+    """Up to four seeds of each voice, good ones far from each other in time and sound."""
+    vectors = fx.turns(spark, d).select("turn", "primary", "secondary")
+    return sd.diverse_seeds(seed_rows(spark, d).withColumn("source_id", F.expr("source_id div 10")).join(vectors, "turn"), 4)
