@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cadenza.functions import timed_text as tt
 from cadenza.functions import vectors as vf
 from cadenza.operators import bootstrap as bs
 from cadenza.operators import calibration as ca
 from cadenza.operators import containment
+from cadenza.operators import exclusion as ex
 from cadenza.operators import intervals as iv
 from cadenza.operators import promotion as pr
 from cadenza.operators import seeds as sd
@@ -262,3 +264,99 @@ def diverse_seeds(spark, d):
     """Up to four seeds of each voice, good ones far from each other in time and sound."""
     vectors = fx.turns(spark, d).select("turn", "primary", "secondary")
     return sd.diverse_seeds(seed_rows(spark, d).withColumn("source_id", F.expr("source_id div 10")).join(vectors, "turn"), 4)
+
+
+#: Excluded voices in the order in which they are tried; the target's label is 3.
+VOICES = (1, 2, 7)
+TIERS = ("tertiary", "raw_rescue", "strong")
+_half = lambda at: f"list_transform(range(1, 33), lambda i: CAST(embedding[{at}] AS DOUBLE))"
+_norm = lambda v: f"list_transform({v}, lambda x: x / sqrt(list_sum(list_transform({v}, lambda y: y * y))))"
+FIVE_SQL = f"(SELECT vec_id, label, {', '.join(f'{_norm(_half(at))} AS {name}' for name, at in (('p', 'i'), ('s', 'i + 32'), ('rp', '2 * i - 1'), ('rs', '2 * i'), ('t', 'i + 16')))} FROM embeddings)"
+
+
+def five_views(spark, d):
+    """id, label and five views of an embedding: its halves, its odd and even components, and its middle."""
+    take = lambda at: vf.unit(F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.element_at("embedding", at(i)).cast("double")))
+    views = {"primary": lambda i: i, "secondary": lambda i: i + 32, "raw_primary": lambda i: 2 * i - 1, "raw_secondary": lambda i: 2 * i, "third": lambda i: i + 16}
+    tier = F.element_at(F.array(*[F.lit(t) for t in TIERS]), (F.col("vec_id") % 3 + 1).cast("int"))
+    return fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", tier.alias("tier"), *[take(f).alias(k) for k, f in views.items()])
+
+
+def audited_voices(spark, d):
+    v = five_views(spark, d)
+    refs = v.where("id % 5 = 0").where(F.col("label").isin(3, *VOICES)).withColumn("voice", F.when(F.col("label") == 3, "").otherwise(F.concat(F.lit("voice"), "label")))
+    return v, refs, spark.createDataFrame([(f"voice{k}", i) for i, k in enumerate(VOICES)], "voice string, place int")
+
+
+def _margins_sql(names: str) -> str:
+    views = names.split()
+    centroid = lambda n: "[" + ", ".join(f"avg({n}[{i}])" for i in range(1, 33)) + "]"
+    scores = ", ".join(f"list_cosine_similarity(v.{n}, any_value(c.c{n})) AS c_{n}, max(list_dot_product(v.{n}, r.{n})) AS d_{n}" for n in views)
+    diffs = ", ".join(f"o.c_{n} - x.c_{n} AS m_{n}, o.d_{n} - x.d_{n} AS b_{n}" for n in views)
+    return f"""five AS MATERIALIZED {FIVE_SQL}, r AS (SELECT * FROM five WHERE vec_id % 5 = 0 AND label IN (3, {', '.join(map(str, VOICES))})), c AS (SELECT label, {', '.join(f'{centroid(n)} AS c{n}' for n in views)} FROM r GROUP BY label),
+    sc AS MATERIALIZED (SELECT v.vec_id, r.label, {scores} FROM five v, r JOIN c USING (label) GROUP BY v.vec_id, r.label, {', '.join(f'v.{n}' for n in views)}),
+    m AS (SELECT x.vec_id, x.label, list_position([{', '.join(map(str, VOICES))}], x.label) AS place, x.vec_id % 3 AS tier, {diffs} FROM sc x JOIN sc o ON o.vec_id = x.vec_id AND o.label = 3 WHERE x.label <> 3)"""
+
+
+_VOTE = lambda n: f"(m_{n} <= 0.02 AND b_{n} <= 0.02)"
+
+
+@register(
+    "V17_exclusion_audits",
+    f"""WITH {_margins_sql('p s rp rs')}, j AS (SELECT *, {_VOTE('p')} AS vp, {_VOTE('s')} AS vs, {_VOTE('rp')} AS vrp, {_VOTE('rs')} AS vrs FROM m),
+    k AS (SELECT *, vp AND vs OR tier = 0 AND (vp AND (m_s < 0.15 OR b_s < 0.15) OR vs AND (m_p < 0.15 OR b_p < 0.15)) OR vrp AND vrs OR tier = 1 AND vrp AND vs AS rejected FROM j)
+    SELECT vec_id AS id, 'voice' || label AS voice, rejected, vp AS primary_vote, vs AS secondary_vote FROM (
+      SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY rejected DESC, CASE WHEN rejected THEN place ELSE m_p + m_s END, place) AS n FROM k) WHERE n = 1""",
+)
+def exclusion_audits(spark, d):
+    """The excluded voice that rejects each vector first, or else comes nearest."""
+    return ex.exclusion_audit(*audited_voices(spark, d)).select("id", "voice", "rejected", "primary_vote", "secondary_vote")
+
+
+@register(
+    "V25_multimodel_audits",
+    f"""WITH {_margins_sql('p s t')}, j AS (SELECT *, {_VOTE('p')}::INTEGER + {_VOTE('s')}::INTEGER + {_VOTE('t')}::INTEGER AS votes, least(m_p, b_p, m_s, b_s, m_t, b_t) >= 0.02 AS clear FROM m)
+    SELECT vec_id AS id, 'voice' || label AS voice, votes >= 2 AS rejected, votes, CASE WHEN votes >= 2 THEN clear ELSE every END AS all_clear FROM (
+      SELECT *, bool_and(clear) OVER (PARTITION BY vec_id) AS every, row_number() OVER (PARTITION BY vec_id ORDER BY votes >= 2 DESC, CASE WHEN votes >= 2 THEN place ELSE m_p + m_s + m_t END, place) AS n FROM j) WHERE n = 1""",
+)
+def multimodel_audits(spark, d):
+    """Votes of three models, each with vectors of its own, against excluded voices."""
+    return ex.multimodel_audit(*audited_voices(spark, d))
+
+
+def timed_turns(spark, d):
+    """Turns of conversations with a unit for each word, of which one turn in nine has estimated ones; kept parts are
+    the first and second half of the words."""
+    t = fx.table(spark, d, "conversations").select("conv_id", "turn", tt.list_line(F.coalesce("text", F.lit(""))).alias("text"))
+    words = F.filter(F.split("text", "(?U)\\s+"), lambda w: w != "")
+    unit = lambda w, i: F.struct(w.alias("text"), (i * 200).cast("long").alias("start_ms"), (i * 200 + 150).cast("long").alias("end_ms"), F.coalesce((F.col("conv_id") + F.col("turn")) % 9 == 0, F.lit(False)).alias("estimated"))
+    rows = t.withColumn("words", words).withColumn("units", F.transform("words", unit))
+    middle = (F.floor(F.size("words") / 2) * 200).cast("long")
+    end = F.greatest(F.size("words") * 200, F.lit(1)).cast("long")
+    keep = lambda a, b: F.struct(a.alias("start_ms"), b.alias("end_ms"))
+    return rows.withColumns({"end_ms": end, "keeps": F.array(keep(F.lit(0).cast("long"), middle), keep(middle, end))})
+
+
+@register("X13_complete_units")
+def complete_units(spark, d):
+    """Whether a turn's measured units spell its whole text in order."""
+    t = timed_turns(spark, d)
+    units = tt.complete_units(F.col("text"), F.col("units"), F.lit(0), F.col("end_ms"))
+    return t.select("conv_id", "turn", units.isNotNull().alias("complete"), F.size(F.coalesce(units, F.slice("units", 1, 0))).alias("n"))
+
+
+@register("X14_timed_slice")
+def timed_slice(spark, d):
+    """The text of the second half of each completely timed turn."""
+    t = timed_turns(spark, d).withColumn("ordered", tt.complete_units(F.col("text"), F.col("units"), F.lit(0), F.col("end_ms"))).where("ordered is not null")
+    return t.select("conv_id", "turn", tt.timed_slice(F.col("text"), F.col("ordered"), F.col("keeps")[1]["start_ms"], F.col("keeps")[1]["end_ms"]).alias("piece"))
+
+
+@register("X18_partial_text")
+def partial_text(spark, d):
+    """The text of both parts of each turn: given, shared, measured or none."""
+    t = timed_turns(spark, d).withColumn("keep", F.explode("keeps"))
+    given = F.when(F.col("conv_id") % 11 == 0, F.array(F.struct(F.lit(0).cast("long").alias("start_ms"), F.col("keeps")[0]["end_ms"].alias("end_ms"), F.lit("given text").alias("text"))))
+    joined = F.when(F.col("conv_id") % 13 == 0, F.lit("first part;;second part"))
+    text = tt.partial_text(F.col("text"), given, joined, F.col("keeps"), F.col("keep"), F.lit(0), F.col("end_ms"), F.col("units"))
+    return t.select("conv_id", "turn", F.col("keep.start_ms").alias("start_ms"), text.alias("text"))
