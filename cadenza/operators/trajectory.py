@@ -193,7 +193,7 @@ def assess_spans(spans: DataFrame, cells: DataFrame, scales: DataFrame, observat
     slope = lambda p, at: F.col(f"{p}left") + (at - F.col(f"{p}{START}")) * (F.col(f"{p}right") - F.col(f"{p}left")) / (F.col(f"{p}{END}") - F.col(f"{p}{START}"))
     found = both.select("segment_id", *[v.alias(k) for k, v in sums.items()], (F.col("x_is_identity") & F.col("y_is_identity")).alias("ends"), slope("x_", F.col("a")).alias("at_start"), slope("y_", F.col("b")).alias("at_end"))
 
-    known = _known(observations)
+    known = materialised(_known(observations).where("kind in ('fine', 'local')"), "observations")
     # Fine windows by what they share with the span; their union gives how much is covered.
     fine = iv.overlap_join(asked, known.where("kind = 'fine'").select("source_id", START, END, "value"))
     shared = iv.shared() / 1000

@@ -10,6 +10,7 @@ from cadenza.operators import bootstrap as bs
 from cadenza.operators import calibration as ca
 from cadenza.operators import containment
 from cadenza.operators import exclusion as ex
+from cadenza.operators import gate
 from cadenza.operators import intervals as iv
 from cadenza.operators import promotion as pr
 from cadenza.operators import seeds as sd
@@ -360,3 +361,38 @@ def partial_text(spark, d):
     joined = F.when(F.col("conv_id") % 13 == 0, F.lit("first part;;second part"))
     text = tt.partial_text(F.col("text"), given, joined, F.col("keeps"), F.col("keep"), F.lit(0), F.col("end_ms"), F.col("units"))
     return t.select("conv_id", "turn", F.col("keep.start_ms").alias("start_ms"), text.alias("text"))
+
+
+def gate_candidates(spark, d):
+    """Views and purchases as candidates: a view of value 25 and more is accepted so far; clicks stand for member turns, long
+    errors for proven conflicts."""
+    s = fx.segments(spark, d).where("start_ms >= 0")
+    rows = s.where("kind in ('view', 'purchase')").select("segment_id", "source_id", "start_ms", "end_ms", "value", (F.col("kind") == "view").alias("seen"))
+    turns = iv.merge(s.where("kind = 'click'").select("source_id", "start_ms", "end_ms"))
+    loud = iv.merge(s.where("kind = 'click' and value >= 60").select("source_id", "start_ms", "end_ms"))
+    long_errors = s.where("kind = 'error' and value >= 60").select("source_id", "start_ms", "end_ms")
+    rows = iv.covered_length(rows, turns)
+    rows = iv.covered_length(rows.withColumnRenamed("covered_ms", "turn_ms"), loud).withColumnRenamed("covered_ms", "loud_ms")
+    rows = iv.per_row(rows, long_errors, ["source_id"], lambda hit: [F.max(F.coalesce(hit, F.lit(False))).alias("conflict")])
+    share, strong = F.col("turn_ms") / (F.col("end_ms") - F.col("start_ms")), F.col("loud_ms") / (F.col("end_ms") - F.col("start_ms"))
+    accepted = F.col("seen") & (F.col("value") >= 25)
+    reason = F.when(accepted, None).when(F.col("value") < 8, gate.SHORT).when(F.col("seen"), gate.WEAK).when(share > 0.8, gate.CLASSIFIER).otherwise(gate.MIXED)
+    return rows.select(
+        "segment_id", "source_id", "start_ms", "end_ms", F.col("segment_id").alias("place"), accepted.alias("accepted"), reason.alias("reject_reason"), F.lit(False).alias("hard"), (share >= 0.5).alias("allowed"),
+        F.when(share >= 0.5, "member").otherwise("outside").alias("reason"), F.when(share >= 0.75, "A").when(share >= 0.3, "B").alias("tier"), (strong >= 0.999).alias("whole"), "conflict",
+        F.lit(False).alias("fine_conflict"), F.lit(False).alias("contaminated"), (F.col("value") < 10).alias("rescue"), (F.lit(0.5) + strong / 2).alias("window_min"), share.alias("pass_ratio"),
+        (share > 0).alias("borderline"), (strong > 0).alias("family_overlap"), (strong > 0.3).alias("strong_overlap"),
+    )
+
+
+@register("F27_gated_candidates")
+def gated_candidates(spark, d):
+    """What the gate makes of views and purchases."""
+    observations, barriers = field_observations(spark, d), field_barriers(spark, d)
+    cells, scales = tr.build_field(observations, barriers)
+    assess = lambda spans: tr.assess_spans(spans, cells, scales, observations)
+    clicks = iv.merge(fx.segments(spark, d, "click").where("start_ms >= 0").select("source_id", "start_ms", "end_ms"), gap=2 * HOUR)
+    spans = clicks.withColumn("segment_id", F.concat_ws(":", "source_id", "start_ms"))
+    verified = spans.join(assess(spans).where("integral > 0 and blocked_fraction = 0").select("segment_id"), "segment_id", "left_semi")
+    errors = fx.segments(spark, d, "error").where("value >= 60").select("source_id", "start_ms", "end_ms")
+    return gate.apply_gate(gate_candidates(spark, d), verified, barriers, errors, assess, 30 * MIN)
