@@ -79,30 +79,30 @@ def micro_barriers(known: DataFrame) -> DataFrame:
 
 
 def _densities(cells: DataFrame, known: DataFrame) -> DataFrame:
-    """Cells with each family's weighted sums at both ends, and which marks meet them."""
+    """Cells with each family's weighted sums at both ends, and which marks meet them.  Pairs are added up by
+    cell and family first, so that few sums run over them."""
+    double = known.withColumns({START: 2 * F.col(START), END: 2 * F.col(END)})
     s, e = F.col(f"b_{START}"), F.col(f"b_{END}")
     centre, half, width = (s + e) / 2, (e - s) / 2, (e - s) / _UNIT
-    kind, value = F.col("b_kind"), F.col("b_value")
-
-    def aggs(hit: Column) -> list[Column]:
-        def total(k: str, what: Column, name: str) -> Column:
-            return F.sum(F.when(hit & (kind == k), what)).alias(name)
-
-        out = []
-        for p, x in (("l", F.col(START)), ("r", F.col(END)), ("m", (F.col(START) + F.col(END)) / 2)):
-            weight = F.greatest(F.lit(_EPS), 1 - F.abs(x - centre) / half)
-            for k in VALUED if p != "m" else ("micro",):
-                amount = value / width if k == "source" else value
-                out += [total(k, amount * weight, f"{p}_{k}"), total(k, weight, f"{p}_{k}_mass"), total(k, width * weight, f"{p}_{k}_width")]
-        found = lambda rule, name: F.max(F.coalesce(hit & rule, F.lit(False))).alias(name)
-        out += [found(kind == k, f"has_{k}") for k in (*VALUED, *MARKS)]
-        out += [found((kind != "fine") & (value > 0), "has_positive"), found(F.col("b_bars"), "has_bar")]
-        out += [F.max(F.when(hit & (kind == "coarse") & (value > 0), value)).alias("top_coarse"), F.percentile(F.when(hit & (kind == "micro"), width), F.lit(0.5)).alias("micro_width")]
-        out.append(found(F.lit(True), "observed"))
-        return out
-
-    double = known.withColumns({START: 2 * F.col(START), END: 2 * F.col(END)})
-    return iv.per_row(cells, double, ["source_id"], aggs)
+    value = F.when(F.col("b_kind") == "source", F.col("b_value") / width).otherwise(F.col("b_value"))
+    weight = lambda x: F.greatest(F.lit(_EPS), 1 - F.abs(x - centre) / half)
+    places = {"l": F.col(START), "r": F.col(END), "m": (F.col(START) + F.col(END)) / 2}
+    pairs = iv.overlap_join(cells, double.select("source_id", START, END, "kind", "value", "bars"))
+    pairs = pairs.select("source_id", START, END, F.col("b_kind").alias("kind"), F.col("b_value").alias("raw"), F.col("b_bars").alias("bar"), value.alias("value"), width.alias("width"), *[weight(x).alias(f"w_{p}") for p, x in places.items()])
+    keys = ["source_id", START, END]
+    sums = [f(F.col(f"w_{p}")).alias(f"{p}_{n}") for p in places for n, f in (("sum", lambda w: F.sum(F.col("value") * w)), ("mass", F.sum), ("width", lambda w: F.sum(F.col("width") * w)))]
+    by_kind = pairs.groupBy(*keys, "kind").agg(*sums, F.max("raw").alias("top"), F.max("bar").alias("bar"))
+    pick = lambda k, c, name: F.max(F.when(F.col("kind") == k, F.col(c))).alias(name)
+    aggs = []
+    for p in places:
+        for k in VALUED if p != "m" else ("micro",):
+            aggs += [pick(k, f"{p}_sum", f"{p}_{k}"), pick(k, f"{p}_mass", f"{p}_{k}_mass"), pick(k, f"{p}_width", f"{p}_{k}_width")]
+    flags = {f"has_{k}": F.col("kind") == k for k in (*VALUED, *MARKS)} | {"has_positive": (F.col("kind") != "fine") & (F.col("top") > 0), "has_bar": F.col("bar"), "observed": F.lit(True)}
+    aggs += [F.max(rule).alias(name) for name, rule in flags.items()]
+    aggs.append(F.max(F.when((F.col("kind") == "coarse") & (F.col("top") > 0), F.col("top"))).alias("top_coarse"))
+    micro = pairs.where("kind = 'micro'").groupBy(*keys).agg(F.percentile("width", F.lit(0.5)).alias("micro_width"))
+    out = cells.join(by_kind.groupBy(*keys).agg(*aggs), keys, "left").join(micro, keys, "left")
+    return out.withColumns({name: F.coalesce(name, F.lit(False)) for name in flags})
 
 
 def _with_density(df: DataFrame, p: str, out: str) -> DataFrame:
@@ -155,7 +155,7 @@ def build_field(observations: DataFrame, blocked: DataFrame) -> tuple[DataFrame,
     s, e = F.col(START), F.col(END)
     points = ends(known, 2 * s, s + e, 2 * e).unionByName(ends(bars.join(scales.select("source_id"), "source_id"), 2 * s, 2 * e)).distinct()
     cells = points.withColumn(END, F.lead(START).over(Window.partitionBy("source_id").orderBy(START))).where(F.col(END).isNotNull())
-    df = _densities(materialised(cells, "cells"), known).join(scales, "source_id")
+    df = materialised(_densities(materialised(cells, "cells"), known).join(scales, "source_id"), "densities")
     twice = bars.withColumns({START: 2 * s, END: 2 * e})
     df = iv.per_row(df, twice, ["source_id"], lambda hit: [F.max(F.coalesce(hit, F.lit(False))).alias("barred")])
     micro = F.col("has_micro")
