@@ -224,7 +224,7 @@ def identity_windows(spark, d):
     means = turns.groupBy("voice").agg(vf.mean_vector("primary", 32).alias("mp"), vf.mean_vector("secondary", 32).alias("ms"))  # one row a voice
     own = turns.join(means, "voice")
     others = means.select(F.col("voice").alias("other"), F.col("mp").alias("op"), F.col("ms").alias("os"))
-    best = own.join(F.broadcast(others), F.col("voice") != F.col("other"))  # one row a voice.groupBy("turn").agg(F.max(vf.cosine("primary", "op")).alias("bp"), F.max(vf.cosine("secondary", "os")).alias("bs"))
+    best = own.join(F.broadcast(others), F.col("voice") != F.col("other")).groupBy("turn").agg(F.max(vf.cosine("primary", "op")).alias("bp"), F.max(vf.cosine("secondary", "os")).alias("bs"))
     rows = own.join(best, "turn").withColumns({"p": vf.cosine("primary", "mp"), "s": vf.cosine("secondary", "ms")}).withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
     # Turns are a second apart at most in the fixture; windows need lengths of lines.
     start = F.col("start_ms") * 4 + F.col("half") * 900
