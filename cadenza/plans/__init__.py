@@ -1,5 +1,6 @@
 """Registered queries.  Importing this package fills the catalogue."""
 
+from cadenza.plans import alignment_queries as _alignment  # noqa: F401
 from cadenza.plans import assembly_queries as _assembly  # noqa: F401
 from cadenza.plans import boundary_queries as _boundaries  # noqa: F401
 from cadenza.plans import curation_queries as _curation  # noqa: F401
