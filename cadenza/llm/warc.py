@@ -12,7 +12,8 @@ Reading: every place where the magic stands is a candidate record if a header fo
 its Content-Length says where its successor starts.  Each archive's task emits these links
 first; pointer jumping from the start of the file (each step doubles the links) keeps what is
 reachable; magic inside payloads is not.  Only reachable records are taken apart and hashed, so
-payloads full of false headers cost no more than others.
+payloads full of false headers cost no more than others.  A gzip file may have any number of members, as archives
+of one member a record do; offsets are of the unpacked stream.  One that ends inside a member is an error that names the file.
 
 Defined cases: null html is an empty payload; a null url is `urn:page:<id>`; a null page_id
 is kept, and never the record that others refer to; rows that repeat page_id and html are all
@@ -128,7 +129,7 @@ _BLOCK = re.compile(rb"(?i)\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*(?=\r\n)")
 _LENGTH = re.compile(rb"(?i)\r\ncontent-length: *(\d+)")
 
 
-def candidates(data: bytes) -> Iterator[tuple[int, int, int]]:
+def candidates(data: bytes | bytearray) -> Iterator[tuple[int, int, int]]:
     """(offset, start of the block, successor) of whatever in the bytes could be a record,
     whether reachable or not; the successor is -1 where no record can end.  Only heads are read."""
     at = data.find(_MAGIC)
@@ -142,7 +143,7 @@ def candidates(data: bytes) -> Iterator[tuple[int, int, int]]:
         at = data.find(_MAGIC, at + 1)
 
 
-def record_at(data: bytes, offset: int, start: int, successor: int) -> dict:
+def record_at(data: bytes | bytearray, offset: int, start: int, successor: int) -> dict:
     """What one record says, and the digest of what it holds."""
     fields = {}
     for row in data[offset : start - 4].decode("utf-8", "replace").split(_CRLF)[1:]:
@@ -181,7 +182,7 @@ def reachable(offsets: np.ndarray, successors: np.ndarray) -> np.ndarray:
     return reached[:n]
 
 
-def chain(data: bytes) -> Iterator[dict]:
+def chain(data: bytes | bytearray) -> Iterator[dict]:
     """The records on the chain of one archive: links of all candidates, then jumps, then bytes.
     A record without an end is none."""
     links = np.array(list(candidates(data)), np.int64).reshape(-1, 3)
@@ -192,6 +193,27 @@ def chain(data: bytes) -> Iterator[dict]:
 
 #: Records that leave a task at a time.
 _STEP = 1000
+#: Bytes of a gzip file that are unpacked at a time, and so at most read again for the next member.
+_FEED = 64 << 10
+
+
+def unpacked(raw: memoryview | bytes) -> bytes | bytearray:
+    """All members of a gzip file, one after the other; other bytes as they are.  Zeros after a member are padding."""
+    if bytes(raw[:2]) != b"\x1f\x8b":
+        return bytes(raw)
+    out, at = bytearray(), 0
+    while at < len(raw):
+        if raw[at] == 0 and out:
+            at += 1
+            continue
+        member = zlib.decompressobj(zlib.MAX_WBITS | 16)
+        while not member.eof:
+            some = raw[at : at + _FEED]
+            if not len(some):
+                raise EOFError("the file ends inside a gzip member")
+            out += member.decompress(some)
+            at += len(some) - len(member.unused_data)
+    return out
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,9 +221,10 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in RECORDS.split(", ")])
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            raw = content.as_buffer()
-            data = zlib.decompress(raw, zlib.MAX_WBITS | 32) if raw[:2].to_pybytes() == b"\x1f\x8b" else raw.to_pybytes()
-            del raw
+            try:
+                data = unpacked(memoryview(content.as_buffer()))
+            except (EOFError, zlib.error) as e:
+                raise ValueError(f"{path}: {e}") from e
             rows = ({"file": path} | r for r in chain(data))
             while some := [{k: r.get(k) for k in names} for r in islice(rows, _STEP)]:
                 yield pa.RecordBatch.from_pylist(some, schema=schema)

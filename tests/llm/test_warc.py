@@ -4,6 +4,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pytest
 
 from cadenza.llm import warc
 
@@ -69,3 +70,36 @@ def test_false_headers_are_not_hashed(monkeypatch):
     monkeypatch.setattr(warc.hashlib, "sha1", lambda b: hashed.append(len(b)) or sha1(b))
     assert [r["payload_bytes"] for r in warc.chain(data)] == [len(payload), 0] and sum(hashed) == len(payload)
     assert len(list(warc.candidates(data))) == 3003
+
+
+def test_archives_of_many_members(spark, tmp_path):
+    """A member a record, records over several members, padding, empty members, plain files and cut ones."""
+    head = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: %d\r\n\r\n"
+    bodies = [f"HTTP/1.1 200 OK\r\n\r\n{'x' * (i * 977 % 90_000)}WARC/1.1\r\n" for i in range(300)]
+    records = [(head % (i, len(b)) + b + "\r\n\r\n").encode() for i, b in enumerate(bodies)]
+    whole = b"".join(records)
+    files = {
+        "each": b"".join(map(gzip.compress, records)),
+        "across": b"".join(gzip.compress(whole[k : k + 10_007]) for k in range(0, len(whole), 10_007)),
+        "padded": b"".join(gzip.compress(r, 0) + b"\0" * (i % 3 * 300) for i, r in enumerate(records)),
+        "empty": gzip.compress(b"") + gzip.compress(whole) + gzip.compress(b""),
+        "one": gzip.compress(whole),
+        "plain": whole,
+        "nothing": b"",
+    }
+    for name, data in files.items():
+        assert bytes(warc.unpacked(data)) == (whole if data else b"")
+        (tmp_path / f"{name}.warc").write_bytes(data)
+    want, at = [], 0
+    for i, (r, b) in enumerate(zip(records, bodies, strict=True)):
+        want.append((at, at + len(r), i, len(b) - len("HTTP/1.1 200 OK\r\n\r\n")))
+        at += len(r)
+    got = warc.read_archives(spark, str(tmp_path)).collect()
+    assert len(got) == 6 * len(records)
+    for name in files.keys() - {"nothing"}:
+        mine = sorted((r.offset, r.successor, r.page_id, r.payload_bytes) for r in got if r.file.endswith(f"/{name}.warc"))
+        assert mine == want, name
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "cut.warc.gz").write_bytes(files["each"][:-5])
+    with pytest.raises(Exception, match=r"cut\.warc\.gz: the file ends inside a gzip member"):
+        warc.read_archives(spark, str(tmp_path / "cut")).collect()
