@@ -10,7 +10,8 @@ Copies have the same hash and stay together, unless a splitter falls into their
 the bracket goes on shrinking over doc_id, so that a group of any size is split evenly.
 
 Law `bytes`: sizes (UTF-8 bytes of the text plus 1) of shards are as near to equal as keys
-allow.  Defined cases: null text counts as empty, null doc_id comes first in its group;
+allow.  Defined cases: null text counts as empty; ids are any 64-bit integers; null doc_id comes first in its group
+(it shares the key of the least id if that is -2^63);
 fully repeated rows share a key and stay in one shard; an empty table gives none; extra
 columns stay as they are and names of our own columns get underscores where they clash.
 """
@@ -75,10 +76,11 @@ def _counts(keys: DataFrame, probes: list[tuple[int, int]]) -> list[tuple[int, i
 
 def find_splitters(keys: DataFrame, targets: list[float], tolerance: list[float]) -> tuple[list[tuple[int, int, int, int]], int]:
     """For each target the splitter (h, low) with the bytes and rows below it, and the number
-    of rounds.  keys: h, low >= 0, size."""
-    top = keys.agg(F.max("low"), F.sum("size"), F.count("*")).first()
-    width = (top[0] or 0) + 1
-    key = lambda n: (n // width, n % width)
+    of rounds.  keys: h, low, size; a key counts as a whole number of any length here, (h, low) in base `width`."""
+    top = keys.agg(F.max("low"), F.sum("size"), F.count("*"), F.min("low")).first()
+    least = top[3] or 0
+    width = (top[0] or 0) - least + 1
+    key = lambda n: (n // width, n % width + least)
     lo = {i: (0, 0, 0) for i in range(len(targets))}
     hi = {i: ((1 << 64) * width, top[1] or 0, top[2]) for i in range(len(targets))}
     done: dict[int, tuple[int, int, int]] = {}
@@ -115,10 +117,11 @@ def shard_by_bytes(
     low = free_name(docs, "_low")
     h, size, piece, shard, slot = (free_name(docs, n) for n in ("_h", "size", "_piece", "shard", "slot"))
     least = docs.agg(F.min(id_col)).first()[0] or 0
+    no_id = max(least - 1, -_H0)
     keyed = docs.withColumns(
         {
             h: F.xxhash64(empty_text(text_col)),
-            low: F.coalesce(F.col(id_col) - F.lit(least) + 1, F.lit(0)).cast("long"),
+            low: F.coalesce(F.col(id_col).cast("long"), F.lit(no_id).cast("long")),
             size: F.octet_length(empty_text(text_col)).cast("long") + 1,
         }
     )
@@ -139,7 +142,7 @@ def shard_by_bytes(
         at = _below(hs.to_numpy(), lows.to_numpy(), splitters)
         return pd.DataFrame({"piece": at.astype("int32"), "start": starts[at]})
 
-    order = Window.partitionBy(piece).orderBy(h, low)
+    order = Window.partitionBy(piece).orderBy(h, low, F.col(id_col).asc_nulls_first())
     at = free_name(docs, "_at")
     return (
         keyed.withColumn(at, F.pandas_udf(piece_of, "piece int, start long")(h, low))

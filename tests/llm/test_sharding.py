@@ -42,3 +42,19 @@ def test_empty_and_tiny(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert sh.shard_by_bytes(docs.limit(0)).count() == 0
     assert [r.slot for r in sh.shard_by_bytes(docs).collect()] == [0]
+
+
+@pytest.mark.parametrize("piece_bytes", [sh.PIECE_BYTES, 500])
+@pytest.mark.parametrize("ids", [[-(1 << 63), (1 << 63) - 1, None], [-(1 << 63) + 1, (1 << 63) - 1, None], [-5, -4, None]])
+def test_ids_of_any_size(spark, ids, piece_bytes):
+    """The least and the largest ids, negative ones and none, in one hot group and in groups of their own."""
+    rnd = range(200)
+    spread = [(k * 46_000_000_000_000_000 * (-1) ** k, "hot") for k in rnd] + [(k - 100, f"own {k}") for k in rnd]
+    rows = [(i, t) for i in ids for t in ("hot", "", "last")] + spread
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sh.shard_by_bytes(docs, 8, piece_bytes).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(rows, key=str)
+    sizes = law(got, 8, 9)
+    assert max(sizes) - min(sizes) <= 27
+    hot = [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot)) if r.text == "hot"]
+    assert hot[0] is None and hot[1:] == sorted(hot[1:])  # in order, over the shards
