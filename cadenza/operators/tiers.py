@@ -1,6 +1,7 @@
 """Which of overlapping rows are exported: accepted ones among themselves, and borderline ones beside them.
 
-Borderline rows: containment is a range join and the walk in order of rank is rounds of joins, so no source is walked by one task.
+Borderline rows: a walk in order of rank drops what a kept row holds whole.  What holds a dropped row's holder holds the row, too,
+and is ahead of it, so being held by any row ahead is the same as by a kept one: one range join, without a walk.
 Accepted rows: a later row may take a kept one's place, so the outcome depends on what was kept before; runs between
 gaps are folded, which no row reaches over.
 
@@ -17,7 +18,6 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import intervals as iv
 from cadenza.operators.folds import fold_runs
-from cadenza.operators.greedy import suppress
 
 # By how much a shorter row's worst window has to be better, and how much of it has to be shared.
 BETTER_WINDOW, SHARED = 0.06, 0.8
@@ -39,8 +39,8 @@ def borderline_tiers(borderline: DataFrame, accepted: DataFrame) -> DataFrame:
     left = seen.where(~covered).drop("covered_ms")
     ahead = F.struct(-F.col("b_rank"), F.col("b_start_ms"), F.col("b_segment_id")) < F.struct(-F.col("rank"), F.col("start_ms"), F.col("segment_id"))
     holds = (F.col("b_start_ms") <= F.col("start_ms")) & (F.col("b_end_ms") >= F.col("end_ms"))
-    pairs = iv.overlap_join(left, left).where(holds & ahead).select(F.col("b_segment_id").alias("better"), F.col("segment_id").alias("worse"))
-    lost = suppress(pairs).select(F.col("id").alias("segment_id"), F.lit("tier_b_nms_suppressed").alias("_lost"))
+    held = iv.per_row(left, left, ["source_id"], lambda hit: [F.max(hit & holds & ahead).alias("held")])
+    lost = held.where("held").select("segment_id", F.lit("tier_b_nms_suppressed").alias("_lost"))
     over = seen.where(covered).select("segment_id", F.lit("covered_by_tier_a").alias("_over"))
     marked = b.join(over, "segment_id", "left").join(lost, "segment_id", "left")
     return marked.withColumn("tier", F.coalesce("_over", "_lost", F.lit("borderline"))).drop("_over", "_lost")
