@@ -12,6 +12,7 @@ from cadenza.plans import interval_queries as _intervals  # noqa: F401
 from cadenza.plans import mechanism_queries as _mechanisms  # noqa: F401
 from cadenza.plans import more_queries as _more  # noqa: F401
 from cadenza.plans import policy_queries as _policy  # noqa: F401
+from cadenza.plans import rescue_queries as _rescues  # noqa: F401
 from cadenza.plans import text_queries as _texts  # noqa: F401
 from cadenza.plans import tier_queries as _tiers  # noqa: F401
 from cadenza.plans import vector_queries as _vectors  # noqa: F401
