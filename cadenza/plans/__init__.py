@@ -5,6 +5,7 @@ from cadenza.plans import assembly_queries as _assembly  # noqa: F401
 from cadenza.plans import boundary_queries as _boundaries  # noqa: F401
 from cadenza.plans import curation_queries as _curation  # noqa: F401
 from cadenza.plans import decision_queries as _decisions  # noqa: F401
+from cadenza.plans import delivery_queries as _deliveries  # noqa: F401
 from cadenza.plans import discovery_queries as _discovery  # noqa: F401
 from cadenza.plans import evidence_queries as _evidence  # noqa: F401
 from cadenza.plans import fold_queries as _folds  # noqa: F401
