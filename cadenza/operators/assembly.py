@@ -2,8 +2,8 @@
 was decided before, and on evidence near a row.
 
 Whatever can be said of a row by itself is a range join or a window within a run; only the walk
-over a run's rows, in which an earlier decision changes a later one, is a fold.  Evidence comes to
-a row as an array of the intervals within its reach, which the rules bound.
+over a run's rows, in which an earlier decision changes a later one, is a fold.  Evidence comes once to
+a group of runs, not to each of its rows, and is asked by bisection there.
 
 All times are integer milliseconds.  Inputs have segment_id, source_id, start_ms and end_ms.
 """
@@ -11,13 +11,16 @@ All times are integer milliseconds.  Inputs have segment_id, source_id, start_ms
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import defaultdict, deque
+from types import SimpleNamespace
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.operators.folds import fold_runs
-from cadenza.operators.intervals import END, START, islands, per_row
+from cadenza.operators.folds import Spans, fold_runs
+from cadenza.operators.intervals import END, START, islands, merge, per_row
 
 KEYS = ("source_id",)
 KANA, CJK = re.compile("[぀-ヿ]"), re.compile("[一-鿿]")
@@ -37,7 +40,6 @@ def _meets(intervals, a: int, b: int) -> bool:
 
 
 SPAN = "source_id long, start_ms long, end_ms long, n long"
-_SPAN = ["source_id", "start_ms", "end_ms", "n"]
 
 
 def join_same_voice(
@@ -64,14 +66,14 @@ def join_same_voice(
     flags = pairs.join(barred.where("barred").select("segment_id", "barred"), "segment_id", "left")
     joinable = F.col("_same") & F.col("barred").isNull() & (F.col(START) - F.col(f"_{END}") <= gap)
 
-    def fold(some: pd.DataFrame) -> pd.DataFrame:
+    def fold(some: SimpleNamespace) -> list:
         out: list[list] = []
         for source, a, b, ok in zip(some.source_id, some.start_ms, some.end_ms, some.ok, strict=True):
             if out and ok and b - out[-1][1] <= cap:
                 out[-1][2], out[-1][3] = b, out[-1][3] + 1
             else:
                 out.append([source, a, b, 1])
-        return pd.DataFrame(out, columns=_SPAN)
+        return out
 
     plain = flags.select("segment_id", *KEYS, START, END, F.coalesce(joinable, F.lit(False)).alias("ok"))
     return fold_runs(plain, gap, fold, SPAN)
@@ -82,36 +84,35 @@ def join_owned(spans: DataFrame, units: DataFrame, barriers: DataFrame, least: i
     one of them is shorter than `least` or both have the same accepted owner.  The owner of a span
     is the unit that holds its middle: the shortest, then an accepted one, then the one that
     covers most, then the first.  units: unit_id, accepted."""
-    held = with_evidence(spans.select("segment_id", *KEYS, START, END), units, "units", after=bridge, more=("unit_id", "accepted"))
-    held = with_evidence(held, barriers, "barriers", after=bridge)
+    def fold(some: SimpleNamespace) -> list:
+        bars, u = Spans(some.barriers.start_ms, some.barriers.end_ms), some.units
+        low, high = np.array(u.start_ms, np.int64), np.array(u.end_ms, np.int64)
 
-    def owner(near, a: int, b: int):
-        holding = [u for u in near.values() if 2 * u["start_ms"] <= a + b <= 2 * u["end_ms"]]
-        rank = lambda u: (u["end_ms"] - u["start_ms"], not u["accepted"], -max(0, min(b, u["end_ms"]) - max(a, u["start_ms"])), u["unit_id"])
-        return min(holding, key=rank) if holding else None
+        def owner(a: int, b: int):
+            """(unit_id, accepted)."""
+            holding = np.flatnonzero((2 * low <= a + b) & (a + b <= 2 * high)).tolist()
+            rank = lambda i: (u.end_ms[i] - u.start_ms[i], not u.accepted[i], -max(0, min(b, u.end_ms[i]) - max(a, u.start_ms[i])), u.unit_id[i])
+            best = min(holding, key=rank, default=None)
+            return (None, False) if best is None else (u.unit_id[best], u.accepted[best])
 
-    def fold(some: pd.DataFrame) -> pd.DataFrame:
         out: list[list] = []
-        near: dict = {}
-        bars: list = []
-        for source, a, b, units, barriers in zip(some.source_id, some.start_ms, some.end_ms, some.units, some.barriers, strict=True):
-            own = {u["unit_id"]: u for u in units}
+        for source, a, b in zip(some.source_id, some.start_ms, some.end_ms, strict=True):
             if out:
                 left, right = out[-1][1], out[-1][2]
                 together = a <= right
-                if not together and a - right <= bridge and not _meets(bars, right, a):
-                    x, y = owner(near, left, right), owner(own, a, b)
-                    together = min(right - left, b - a) < least or bool(x and x["accepted"] and y and x["unit_id"] == y["unit_id"])
+                if not together and a - right <= bridge and not bars.meet(right, a):
+                    together = min(right - left, b - a) < least
+                    if not together:
+                        (x, sure), (y, also) = owner(left, right), owner(a, b)
+                        together = bool(sure and also and x == y)
                 if together:
                     out[-1][2], out[-1][3] = max(right, b), out[-1][3] + 1
-                    near |= own
-                    bars += list(barriers)
                     continue
             out.append([source, a, b, 1])
-            near, bars = own, list(barriers)
-        return pd.DataFrame(out, columns=_SPAN)
+        return out
 
-    return fold_runs(held, bridge, fold, SPAN)
+    evidence = {"units": (units.select(*KEYS, START, END, "unit_id", "accepted"), bridge), "barriers": (merge(barriers.select(*KEYS, START, END)), bridge)}
+    return fold_runs(spans.select("segment_id", *KEYS, START, END), bridge, fold, SPAN, beside=evidence)
 
 
 def absorb_remainders(rows: DataFrame, spans: DataFrame, blocked: DataFrame, least: int) -> DataFrame:
@@ -121,7 +122,7 @@ def absorb_remainders(rows: DataFrame, spans: DataFrame, blocked: DataFrame, lea
     held = with_evidence(rows.select("segment_id", *KEYS, START, END), spans, "spans")
     held = with_evidence(held, blocked, "blocked", before=least, after=least)
 
-    def fold(some: pd.DataFrame) -> pd.DataFrame:
+    def fold(some: SimpleNamespace) -> list:
         now = [[s, i, a, b, False] for s, i, a, b in zip(some.source_id, some.segment_id, some.start_ms, some.end_ms, strict=True)]
         for k, (row, spans, blocked) in enumerate(zip(now, some.spans, some.blocked, strict=True)):
             for s in spans:
@@ -133,7 +134,7 @@ def absorb_remainders(rows: DataFrame, spans: DataFrame, blocked: DataFrame, lea
                 others = ({"start_ms": o[2], "end_ms": o[3]} for j, o in enumerate(now) if j != k)
                 if (low, high) != (a, b) and not _meets(others, low, high) and not _meets(blocked, low, high):
                     row[2:] = [low, high, True]
-        return pd.DataFrame(now, columns=["source_id", "segment_id", "start_ms", "end_ms", "joined"])
+        return now
 
     return fold_runs(held, 2 * least, fold, "source_id long, segment_id long, start_ms long, end_ms long, joined boolean")
 
@@ -144,7 +145,7 @@ def local_conflicts(proposals: DataFrame, evidence: DataFrame) -> DataFrame:
     that evidence, else uncontested.  evidence: state in target, other, unresolved."""
     of = lambda s: evidence.where(F.col("state") == s).select(*KEYS, START, END)
     p = proposals.select("segment_id", *KEYS, START, END)
-    other = per_row(p, of("other"), KEYS, lambda hit: [F.coalesce(F.max(hit), F.lit(False)).alias("other")])
+    other = per_row(p, merge(of("other")), KEYS, lambda hit: [F.coalesce(F.max(hit), F.lit(False)).alias("other")])
     from cadenza.operators.intervals import overlap_join
 
     low, high = F.greatest(START, f"b_{START}"), F.least(END, f"b_{END}")
@@ -169,20 +170,38 @@ def install(proposals: DataFrame, accepted: DataFrame, evidence: DataFrame) -> D
     p = proposals.select("segment_id", *KEYS, START, END).join(states, "segment_id").withColumn("proposal", F.lit(True))
     a = accepted.select("segment_id", *KEYS, START, END, F.lit(None).cast("string").alias("state"), F.lit(False).alias("proposal"))
 
-    def fold(some: pd.DataFrame) -> pd.DataFrame:
-        kept = [(r.start_ms, r.end_ms) for r in some.itertuples() if not r.proposal]
-        out = []
-        for r in some.itertuples():
-            if not r.proposal:
+    def fold(some: SimpleNamespace) -> list:
+        rows = list(zip(some.proposal, some.source_id, some.segment_id, some.start_ms, some.end_ms, some.state, strict=True))
+        starts, ends = [r[3] for r in rows if not r[0]], [r[4] for r in rows if not r[0]]
+        tops = [np.array(ends, np.int64)]  # the largest of 1, 2, 4, ... ends from each place on
+        while 2 << (len(tops) - 1) <= len(ends):
+            half = 1 << (len(tops) - 1)
+            tops.append(np.maximum(tops[-1][:-half], tops[-1][half:]))
+
+        def top(i: int, j: int) -> int:
+            level = (j - i).bit_length() - 1
+            return max(tops[level][i], tops[level][j - (1 << level)])
+
+        # As starts ascend, what begins before a proposal stays for good: its largest end is enough.  Of what begins with it or
+        # later there are the accepted rows from `at` on and at most one proposal, with the same start.
+        before, at, same, out = None, 0, None, []
+        for proposal, source, segment, a, b, state in rows:
+            if not proposal:
                 continue
-            hit = [k for k in kept if min(k[1], r.end_ms) > max(k[0], r.start_ms)]
-            cut = any(r.start_ms > x or r.end_ms < y for x, y in hit)
-            reason = "local_identity_conflict" if r.state != "uncontested" else "would_truncate_existing" if cut else "eligible"
-            ok = reason == "eligible"
-            if ok:
-                kept = [k for k in kept if k not in hit] + [(r.start_ms, r.end_ms)]
-            out.append((r.source_id, r.segment_id, ok, reason, len(hit) if ok else 0))
-        return pd.DataFrame(out, columns=["source_id", "segment_id", "installed", "reason", "replaced"])
+            if same and same[0] < a:
+                before, same = max(same[1], same[1] if before is None else before), None
+            i = bisect_left(starts, a, at)
+            if i > at:
+                passed = int(top(at, i))
+                before, at = passed if before is None else max(before, passed), i
+            j = bisect_left(starts, b, at)
+            cut = (before is not None and before > a) or (j > at and top(at, j) > b) or (same is not None and same[1] > b)
+            reason = "local_identity_conflict" if state != "uncontested" else "would_truncate_existing" if cut else "eligible"
+            n = 0
+            if reason == "eligible":
+                n, at, same = j - at + (same is not None), j, (a, b)
+            out.append((source, segment, reason == "eligible", reason, n))
+        return out
 
     return fold_runs(p.unionByName(a), 0, fold, INSTALLED)
 
@@ -193,27 +212,39 @@ def distinct_timed_texts(parts: DataFrame, tolerance: int = 350) -> DataFrame:
     both stays, in the first one's place.  Empty texts and times fall out.  parts: text."""
     lookback, end_tolerance = max(1000, 2 * tolerance), max(2 * tolerance, 750)
 
-    def fold(some: pd.DataFrame) -> pd.DataFrame:
+    def fold(some: SimpleNamespace) -> list:
         kept: list[list] = []
-        some = some.sort_values(["start_ms", "stop_ms", "segment_id"], kind="stable")
+        places: dict[str, list[int]] = defaultdict(list)  # of kept parts with a squeezed text
+        began: deque[tuple[int, int]] = deque()  # (start, place) as parts were kept or changed
+        seen = -1  # the last place that is too old: looking back stops there
         for source, i, a, b, text, key in zip(some.source_id, some.segment_id, some.start_ms, some.stop_ms, some.text, some.squeezed, strict=True):
-            for k in reversed(kept):
-                if a - k[2] > lookback:
-                    kept.append([source, i, a, b, text, key])
+            while began and a - began[0][0] > lookback:
+                start, place = began.popleft()
+                if kept[place][2] == start:
+                    seen = max(seen, place)
+            for place in reversed(places[key]):
+                k = kept[place]
+                if place <= seen:
+                    place = None
                     break
-                if key == k[5] and (min(b, k[3]) > max(a, k[2]) or (abs(a - k[2]) <= tolerance and abs(b - k[3]) <= end_tolerance)):
+                if min(b, k[3]) > max(a, k[2]) or (abs(a - k[2]) <= tolerance and abs(b - k[3]) <= end_tolerance):
                     if b - a > k[3] - k[2]:
                         k[1:5] = [i, a, b, text]
+                        began.append((a, place))
                     break
             else:
-                kept.append([source, i, a, b, text, key])
-        return pd.DataFrame([k[:5] for k in kept], columns=["source_id", "segment_id", "start_ms", "end_ms", "text"])
+                place = None
+            if place is None:
+                places[key].append(len(kept))
+                began.append((a, len(kept)))
+                kept.append([source, i, a, b, text])
+        return kept
 
     squeezed = F.regexp_replace(F.coalesce("text", F.lit("")), "(?U)\\s+", "")
     rows = parts.withColumns({"squeezed": squeezed, "stop_ms": F.col(END)}).where((squeezed != "") & (F.col(END) > F.col(START)))
     # Only starts matter for how far back a part looks.
     points = rows.select("segment_id", *KEYS, START, F.col(START).alias(END), "stop_ms", "text", "squeezed")
-    return fold_runs(points, lookback, fold, "source_id long, segment_id long, start_ms long, end_ms long, text string")
+    return fold_runs(points, lookback, fold, "source_id long, segment_id long, start_ms long, end_ms long, text string", order=(START, "stop_ms", "segment_id"))
 
 
 def fold_parallel_captions(cues: DataFrame, tolerance: int = 150) -> DataFrame:
@@ -230,23 +261,20 @@ def fold_parallel_captions(cues: DataFrame, tolerance: int = 150) -> DataFrame:
         first, second = bool(KANA.search(p["text"])), bool(KANA.search(text))
         return first != second and bool(CJK.search(text if first else p["text"]))
 
-    names = ["segment_id", "source_id", "start_ms", "end_ms", "text", "kind", "actor"]
-
-    def fold(some: pd.DataFrame) -> pd.DataFrame:
+    def fold(some: SimpleNamespace) -> list:
         out: list[dict] = []
-        some = some.sort_values(["start_ms", "stop_ms", "segment_id"], kind="stable")
-        for r in some.itertuples():
+        for segment, source, a, b, text, kind, actor in zip(some.segment_id, some.source_id, some.start_ms, some.stop_ms, some.text, some.kind, some.actor, strict=True):
             p = out[-1] if out else None
-            near = p and abs(r.start_ms - p["start_ms"]) <= tolerance and abs(r.stop_ms - p["end_ms"]) <= tolerance
-            if near and r.kind == p["kind"] == "speech" and parallel(p, r.text or "", r.actor or ""):
-                if KANA.search(r.text or "") and not KANA.search(p["text"]):
-                    p["text"] = r.text
+            near = p and abs(a - p["start_ms"]) <= tolerance and abs(b - p["end_ms"]) <= tolerance
+            if near and kind == p["kind"] == "speech" and parallel(p, text or "", actor or ""):
+                if KANA.search(text or "") and not KANA.search(p["text"]):
+                    p["text"] = text
                 continue
-            out.append(dict(zip(names, (r.segment_id, r.source_id, r.start_ms, r.stop_ms, r.text or "", r.kind, r.actor or ""), strict=True)))
-        return pd.DataFrame(out, columns=names)
+            out.append({"segment_id": segment, "source_id": source, "start_ms": a, "end_ms": b, "text": text or "", "kind": kind, "actor": actor or ""})
+        return [tuple(p.values()) for p in out]
 
     points = cues.select("segment_id", *KEYS, START, F.col(START).alias(END), F.col(END).alias("stop_ms"), "text", "kind", "actor")
-    return fold_runs(points, tolerance, fold, "segment_id long, source_id long, start_ms long, end_ms long, text string, kind string, actor string")
+    return fold_runs(points, tolerance, fold, "segment_id long, source_id long, start_ms long, end_ms long, text string, kind string, actor string", order=(START, "stop_ms", "segment_id"))
 
 
 def snap_to_words(rows: DataFrame, words: DataFrame, allowed: DataFrame, blocked: DataFrame, most: int = 80) -> DataFrame:
@@ -289,38 +317,38 @@ def merge_tracks(first: DataFrame, second: DataFrame, blocked: DataFrame, change
     how the row came: kept, contained, union or longer."""
     both = first.select("segment_id", *KEYS, START, END, F.lit(1).alias("track")).unionByName(second.select("segment_id", *KEYS, START, END, F.lit(2).alias("track")))
     points = changes.select(*KEYS, F.col("cut_ms").alias(START), (F.col("cut_ms") + 1).alias(END))
-    for name, evidence in (("blocked", blocked), ("changes", points), ("vetoes", vetoes), ("certified", certified)):
-        both = with_evidence(both, evidence, name, after=cap)
+    evidence = {"blocked": blocked, "changes": points, "vetoes": vetoes, "certified": certified}
 
-    def conflict(r: dict, a: int, b: int) -> bool:
-        change = any(a < x["start_ms"] < b for x in r["changes"])
-        return change or _meets(r["blocked"], a, b) or any(a <= x["start_ms"] and x["end_ms"] <= b for x in r["vetoes"])
+    def fold(some: SimpleNamespace) -> list:
+        blocked, changes, vetoes, certified = (Spans(e.start_ms, e.end_ms) for e in (some.blocked, some.changes, some.vetoes, some.certified))
 
-    def fold(some: pd.DataFrame) -> pd.DataFrame:
-        some = some.assign(_late=-some.end_ms).sort_values(["start_ms", "_late", "segment_id"], kind="stable")
-        out: list[dict] = []
-        for r in some.to_dict("records"):
-            r |= {"tracks": {r["track"]}, "how": "kept"}
-            if conflict(r, r["start_ms"], r["end_ms"]):
+        def conflict(a: int, b: int) -> bool:
+            return changes.inside(a + 1, b) or blocked.meet(a, b) or vetoes.inside(a, b)  # a change is one long
+
+        out: list[list] = []
+        for source, a, b, track in zip(some.source_id, some.start_ms, some.end_ms, some.track, strict=True):
+            if conflict(a, b):
                 continue
             left = out[-1] if out else None
             if left is None:
-                out.append(r)
+                out.append([source, a, b, {track}, "kept"])
                 continue
-            if left["start_ms"] <= r["start_ms"] and left["end_ms"] >= r["end_ms"]:
-                left["tracks"] |= r["tracks"]
-                left["how"] = "contained" if left["how"] == "kept" else left["how"]
+            if left[1] <= a and left[2] >= b:
+                left[3].add(track)
+                left[4] = "contained" if left[4] == "kept" else left[4]
                 continue
-            space, a, b = r["start_ms"] - left["end_ms"], left["start_ms"], max(left["end_ms"], r["end_ms"])
-            whole = any(x["start_ms"] <= a and b <= x["end_ms"] for x in left["certified"])
-            if space <= gap and b - a <= cap and whole and not conflict(left, a, b):
-                left |= {"end_ms": b, "tracks": left["tracks"] | r["tracks"], "how": "union"}
+            space, low, high = a - left[2], left[1], max(left[2], b)
+            if space <= gap and high - low <= cap and certified.hold(low, high) and not conflict(low, high):
+                left[2], left[4] = high, "union"
+                left[3].add(track)
             elif space < 0:
-                keep = r if r["end_ms"] - r["start_ms"] > left["end_ms"] - left["start_ms"] else left
-                out[-1] = keep | {"how": "longer"}
+                if b - a > left[2] - left[1]:
+                    left[1:4] = [a, b, {track}]
+                left[4] = "longer"
             else:
-                out.append(r)
-        rows = [(r["source_id"], r["start_ms"], r["end_ms"], sorted(r["tracks"]), r["how"]) for r in out]
-        return pd.DataFrame(rows, columns=["source_id", "start_ms", "end_ms", "tracks", "how"])
+                out.append([source, a, b, {track}, "kept"])
+        return [(source, a, b, sorted(tracks), how) for source, a, b, tracks, how in out]
 
-    return fold_runs(both, gap, fold, "source_id long, start_ms long, end_ms long, tracks array<int>, how string")
+    beside = {k: (e.select(*KEYS, START, END), cap) for k, e in evidence.items()}
+    schema = "source_id long, start_ms long, end_ms long, tracks array<int>, how string"
+    return fold_runs(both, gap, fold, schema, order=(START, f"-{END}", "segment_id"), beside=beside)

@@ -11,13 +11,13 @@ segment_id; null scores are 0, null flags false; an empty table gives none.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from types import SimpleNamespace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.operators import intervals as iv
-from cadenza.operators.folds import fold_runs
+from cadenza.operators.folds import Apart, fold_runs
 
 # By how much a shorter row's worst window has to be better, and how much of it has to be shared.
 BETTER_WINDOW, SHARED = 0.06, 0.8
@@ -56,24 +56,20 @@ def accepted_outcomes(accepted: DataFrame, least: int) -> DataFrame:
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
     rows = _rows(accepted).select("source_id", "segment_id", "start_ms", "end_ms", flag("rescued"), flag("certified"), number("score"), number("window_min"))
 
-    def fold(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.assign(length=df.end_ms - df.start_ms)
-        df = df.sort_values(["rescued", "length", "score", "start_ms", "segment_id"], ascending=[True, False, False, True, True]).reset_index(drop=True)
-        a, b, sure, worst = (df[c].to_numpy() for c in ("start_ms", "end_ms", "certified", "window_min"))
-        outcome = np.full(len(df), "dropped", object)
-        kept = np.zeros(len(df), bool)
-        for r in range(len(df)):
-            hit = np.flatnonzero(kept[:r] & (np.minimum(b[:r], b[r]) - np.maximum(a[:r], a[r]) > least))
-            if len(hit) == 1:
-                k = hit[0]
-                inside, around = a[k] <= a[r] and b[r] <= b[k], a[r] <= a[k] and b[k] <= b[r]
-                shared = min(b[k], b[r]) - max(a[k], a[r])
-                closer = b[r] - a[r] < b[k] - a[k] and worst[r] >= worst[k] + BETTER_WINDOW and shared >= SHARED * (b[r] - a[r])
-                if not (sure[k] and inside) and ((sure[r] and around) or closer):
-                    kept[k], outcome[k] = False, "replaced"
-                    kept[r], outcome[r] = True, "kept"
-            elif not len(hit):
-                kept[r], outcome[r] = True, "kept"
-        return pd.DataFrame({"source_id": df.source_id, "segment_id": df.segment_id, "outcome": outcome})
-
-    return fold_runs(rows, 0, fold, OUTCOME)
+    def fold(rows: SimpleNamespace) -> list:
+        outcome, apart = ["dropped"] * len(rows.start_ms), Apart(least)
+        for r, (a, b, sure, worst) in enumerate(zip(rows.start_ms, rows.end_ms, rows.certified, rows.window_min, strict=True)):
+            hit = apart.hits(a, b)
+            if hit:
+                x, y, k = hit[0]
+                inside, around = x <= a and b <= y, a <= x and y <= b
+                closer = b - a < y - x and worst >= rows.window_min[k] + BETTER_WINDOW and min(y, b) - max(x, a) >= SHARED * (b - a)
+                if len(hit) > 1 or (rows.certified[k] and inside) or not ((sure and around) or closer):
+                    continue
+                apart.remove(hit[0])
+                outcome[k] = "replaced"
+            apart.add(a, b, r)
+            outcome[r] = "kept"
+        return list(zip(rows.source_id, rows.segment_id, outcome, strict=True))
+
+    return fold_runs(rows.withColumn("length", F.col("end_ms") - F.col("start_ms")), 0, fold, OUTCOME, order=("rescued", "-length", "-score", "start_ms", "segment_id"))
