@@ -42,3 +42,16 @@ def sample_weight(label: Column, partial: Column) -> Column:
 
 def duration_bucket(seconds: Column) -> Column:
     return F.when(seconds < 1.2, "<1.2").when(seconds < 3, "<3").when(seconds < 6, "<6").when(seconds <= 10, "<=10").otherwise(">10")
+
+
+def interpolated(low: str, high: str, quarter: str) -> Column:
+    """Between two neighbours of which neither is below 0, `quarter` quarters (0 to 3) of the way, as a fused low * (1 - d) + high * d rounds
+    it.  Only three quarters of low aren't a float: what their sum with high loses is added again."""
+    x, y = F.col(low), F.col(high)
+    three = 2 * x + x
+    lost = x - (three - 2 * x)
+    whole = y + three
+    part = whole - y
+    lost = lost + ((y - (whole - part)) + (three - part))
+    d = F.col(quarter)
+    return F.when(d == 0, x).when(d == 1, (whole + lost) / 4).when(d == 2, 0.5 * x + 0.5 * y).otherwise(0.25 * x + 0.75 * y)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cadenza.functions.scores import interpolated
 from cadenza.operators import intervals as iv
 from cadenza.plans.catalogue import register
 from cadenza.plans.sql import BUY, CLICK, ERR, SEG, SHARED, VIEW, merged, pairs
@@ -256,8 +257,13 @@ def lowest_pass_ratio(spark, d):
     f"""SELECT clip_id, round(avg(CASE WHEN level <= floor_level THEN 1.0 ELSE 0.0 END), 6) AS quiet FROM {fx.FRAMES_SQL} JOIN (SELECT clip_id, least(0.05, quantile_cont(level, 0.75) / 4) AS floor_level FROM {fx.FRAMES_SQL} GROUP BY clip_id) USING (clip_id) GROUP BY clip_id""",
 )
 def quiet_gap_ratio(spark, d):
+    """The quartile as the SQL's engine rounds it, as levels are compared with a quarter of it."""
     f = fx.frames(spark, d)
-    q = f.groupBy("clip_id").agg(F.least(F.lit(0.05), F.percentile("level", 0.75) / 4).alias("floor_level"))
+    heard = f.where("level is not null").withColumn("r", F.row_number().over(Window.partitionBy("clip_id").orderBy("level")))
+    heard = heard.withColumn("at", 3 * (F.count("*").over(Window.partitionBy("clip_id")) - 1))  # of the quartile from 0, in quarters
+    ranked = lambda up: F.max(F.when(F.col("r") == F.floor((F.col("at") + up) / 4) + 1, F.col("level")))
+    ends = heard.groupBy("clip_id").agg(ranked(0).alias("low"), ranked(3).alias("high"), F.pmod(F.first("at"), F.lit(4)).alias("quarter"))
+    q = ends.select("clip_id", F.least(F.lit(0.05), interpolated("low", "high", "quarter") / 4).alias("floor_level"))
     return f.join(q, "clip_id").groupBy("clip_id").agg(F.round(F.avg(F.when(F.col("level") <= F.col("floor_level"), 1.0).otherwise(0.0)), 6).alias("quiet"))
 
 
