@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,19 +88,29 @@ def infer_language(text: Column, reported: Column) -> Column:
     return F.when(t.rlike(KANA), "ja").otherwise(F.coalesce(plain, F.when(t.rlike("[\\u4e00-\\u9fff]"), "zh"), r))
 
 
+BLANK = " \t\n\x0b\x0c\r"
+_NO_BLANK = dict.fromkeys(map(ord, BLANK))
+
+
+def _cuts_of(text: str | None, fragments) -> list[int] | None:
+    if not text or fragments is None or any(f is None for f in fragments):
+        return None
+    sizes = [len(f.translate(_NO_BLANK)) for f in fragments]
+    if 0 in sizes or "".join(fragments).translate(_NO_BLANK) != text.translate(_NO_BLANK):
+        return None
+    places = [i for i, c in enumerate(text) if c not in BLANK]
+    return [0, *[places[n] for n in list(accumulate(sizes))[:-1]], len(text)]
+
+
 def text_cuts(text: Column, fragments: Column) -> Column:
     """Where the fragments begin in the text, and its length: null if an empty one is among them
-    or, blanks aside, they aren't the text."""
-    blank = "[ \\t\\n\\x0B\\f\\r]"
-    squeeze = lambda c: F.regexp_replace(c, blank, "")
-    sizes = F.transform(fragments, lambda x: F.char_length(squeeze(x)))
-    places = F.filter(F.sequence(F.lit(0), F.char_length(text) - 1), lambda i: ~F.substr(text, i + 1, F.lit(1)).rlike(blank))
-    zero = F.array().cast("array<int>")
-    sums = F.aggregate(sizes, zero, lambda acc, x: F.concat(acc, F.array(x + F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)))))
-    inner = F.transform(F.slice(sums, 1, F.greatest(F.size(sums) - 1, F.lit(0))), lambda n: F.get(places, n))
-    cuts = F.concat(F.array(F.lit(0)), inner, F.array(F.char_length(text)))
-    right = ~F.exists(sizes, lambda n: n == 0) & (squeeze(F.array_join(fragments, "")) == squeeze(text)) & (F.char_length(text) > 0)
-    return F.when(right, cuts)
+    or, blanks aside, they aren't the text.  One pass over both."""
+
+    def cuts(texts: pd.Series, parts: pd.Series) -> pd.Series:
+        return pd.Series([_cuts_of(t, f) for t, f in zip(texts, parts, strict=True)], dtype=object)
+
+    cuts.__annotations__ = {"texts": pd.Series, "parts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(cuts, "array<int>")(text, fragments)
 
 
 def provenance(audited: Column, shown: Column, score: Column, reference: Column) -> tuple[Column, Column]:

@@ -75,6 +75,8 @@ def said(text):
 def test_spoken_lines(spark, sf_dir):
     from pyspark.sql import functions as F
 
+    from pyspark.sql import functions as F
+
     from cadenza.functions import text as tf
     from cadenza.plans.catalogue import queries
 
@@ -88,3 +90,20 @@ def test_spoken_lines(spark, sf_dir):
     for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
         assert rows["document", r.doc_id, 0] == said(r.text)
     assert any(rows.values())
+
+
+def test_cuts_of_a_long_text(spark):
+    """Twenty thousand fragments of one text: a pass over it, not one for each fragment."""
+    from pyspark.sql import functions as F
+
+    from cadenza.functions import text as tf
+
+    parts = [f"s{i} ü." for i in range(20_000)]
+    text = "\n".join(parts)
+    df = spark.createDataFrame([(text, parts), (text, parts * 2), (text, None), (None, parts)], "t string, f array<string>")
+    got = [r.got for r in df.select(tf.text_cuts(F.col("t"), F.col("f")).alias("got")).collect()]
+    want, at = [0], 0
+    for p in parts[:-1]:
+        at += len(p) + 1
+        want.append(at)
+    assert got == [[*want, len(text)], None, None, None]
