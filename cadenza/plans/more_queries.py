@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import vectors as vf
 from cadenza.operators import intervals as iv
 from cadenza.operators import learning
+from cadenza.operators.storage import materialised
 from cadenza.plans.catalogue import register
 from cadenza.plans.interval_queries import COVERED, gaps_sql, run_sql
 from cadenza.plans.policy_queries import SCORED, scored
@@ -231,9 +232,10 @@ def discover_sources(spark, d):
   q AS (SELECT role, median(m) AS mid FROM s GROUP BY role) SELECT role, vec_id FROM s JOIN q USING (role) WHERE m >= mid - 0.05""")
 def reference_core(spark, d):
     """References near their peers: by the median similarity of each, against the role's median."""
-    r = vectors(spark, d).where("vec_id % 5 = 0").select("role", "vec_id", F.col("primary").alias("p"))
-    o = r.select("role", F.col("vec_id").alias("other"), F.col("p").alias("q"))
-    s = r.join(o, "role").where("vec_id <> other").groupBy("role", "vec_id").agg(F.percentile(vf.dot("p", "q"), 0.5).alias("m"))
+    from cadenza.operators.neighbours import median_similarities
+
+    r = vectors(spark, d).where("vec_id % 5 = 0").select("role", "vec_id", F.col("primary").alias("v"))
+    s = materialised(median_similarities(r, "role"), "medians")
     mid = s.groupBy("role").agg(F.percentile("m", 0.5).alias("mid"))
     return s.join(F.broadcast(mid), "role").where("m >= mid - 0.05").select("role", "vec_id")
 
