@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators import intervals as iv
-from cadenza.operators.evaluation import grouped_sums
 from cadenza.operators.storage import materialised
 
 START, END = iv.START, iv.END
@@ -36,6 +35,7 @@ _NORMAL = 0.6744897501960817 * math.sqrt(2)
 _SUMS = ("integral", "positive", "observed", "identity", "blocked", "negative")
 #: Cells' bounds are in half milliseconds, so that centres are whole numbers.
 _UNIT = 2000.0
+BUCKET = "_bucket"
 
 
 def _known(observations: DataFrame) -> DataFrame:
@@ -78,31 +78,38 @@ def micro_barriers(known: DataFrame) -> DataFrame:
     return rest.unionByName(judged.select(*known.columns, bars.alias("bars")))
 
 
-def _densities(cells: DataFrame, known: DataFrame) -> DataFrame:
-    """Cells with each family's weighted sums at both ends, and which marks meet them.  Pairs are added up by
-    cell and family first, so that few sums run over them."""
-    double = known.withColumns({START: 2 * F.col(START), END: 2 * F.col(END)})
+def _densities(cells: DataFrame, known: DataFrame, bars: DataFrame, bucket_ms: int = iv.BUCKET_MS) -> DataFrame:
+    """Cells with each family's weighted sums at both ends, which marks meet them, and whether they are barred.
+    No observation or bar begins or ends within a cell, so those that meet it are those at its start: cells lie in the time
+    bucket of their start alone, and what follows needs no other exchange than that by source and bucket.  Pairs are added
+    up by cell and family first, so that few sums run over them."""
+    double = lambda df, *more: df.select("source_id", (2 * F.col(START)).alias(f"b_{START}"), (2 * F.col(END)).alias(f"b_{END}"), *more)
+    bar = (F.lit("barred").alias("b_kind"), F.lit(None).cast("double").alias("b_value"), F.lit(False).alias("b_bars"))
+    found = double(known, F.col("kind").alias("b_kind"), F.col("value").alias("b_value"), F.col("bars").alias("b_bars")).unionByName(double(bars, *bar))
     s, e = F.col(f"b_{START}"), F.col(f"b_{END}")
+    found = found.withColumn(BUCKET, F.explode(F.sequence(F.floor(s / bucket_ms), F.floor((e - 1) / bucket_ms))))
+    meets = [F.col(f"c.{k}") == F.col(f"o.{k}") for k in ("source_id", BUCKET)] + [F.col(f"o.b_{START}") <= F.col(f"c.{START}"), F.col(f"c.{START}") < F.col(f"o.b_{END}")]
     centre, half, width = (s + e) / 2, (e - s) / 2, (e - s) / _UNIT
     value = F.when(F.col("b_kind") == "source", F.col("b_value") / width).otherwise(F.col("b_value"))
     weight = lambda x: F.greatest(F.lit(_EPS), 1 - F.abs(x - centre) / half)
     places = {"l": F.col(START), "r": F.col(END), "m": (F.col(START) + F.col(END)) / 2}
-    pairs = iv.overlap_join(cells, double.select("source_id", START, END, "kind", "value", "bars"))
-    pairs = pairs.select("source_id", START, END, F.col("b_kind").alias("kind"), F.col("b_value").alias("raw"), F.col("b_bars").alias("bar"), value.alias("value"), width.alias("width"), *[weight(x).alias(f"w_{p}") for p, x in places.items()])
-    keys = ["source_id", START, END]
+    placed = cells.withColumn(BUCKET, F.floor(F.col(START) / bucket_ms))
+    pairs = placed.alias("c").join(found.alias("o"), meets, "left").select("c.*", f"o.b_{START}", f"o.b_{END}", "o.b_kind", "o.b_value", "o.b_bars")
+    keys = ["source_id", BUCKET, START, END, "resolution"]
+    pairs = pairs.select(*keys, F.col("b_kind").alias("kind"), F.col("b_value").alias("raw"), F.col("b_bars").alias("bar"), value.alias("value"), width.alias("width"), *[weight(x).alias(f"w_{p}") for p, x in places.items()])
     sums = [f(F.col(f"w_{p}")).alias(f"{p}_{n}") for p in places for n, f in (("sum", lambda w: F.sum(F.col("value") * w)), ("mass", F.sum), ("width", lambda w: F.sum(F.col("width") * w)))]
-    by_kind = pairs.groupBy(*keys, "kind").agg(*sums, F.max("raw").alias("top"), F.max("bar").alias("bar"))
+    middle = F.percentile(F.when(F.col("kind") == "micro", F.col("width")), F.lit(0.5)).alias("micro_width")
+    by_kind = pairs.groupBy(*keys, "kind").agg(*sums, F.max("raw").alias("top"), F.max("bar").alias("bar"), middle)
     pick = lambda k, c, name: F.max(F.when(F.col("kind") == k, F.col(c))).alias(name)
     aggs = []
     for p in places:
         for k in VALUED if p != "m" else ("micro",):
             aggs += [pick(k, f"{p}_sum", f"{p}_{k}"), pick(k, f"{p}_mass", f"{p}_{k}_mass"), pick(k, f"{p}_width", f"{p}_{k}_width")]
-    flags = {f"has_{k}": F.col("kind") == k for k in (*VALUED, *MARKS)} | {"has_positive": (F.col("kind") != "fine") & (F.col("top") > 0), "has_bar": F.col("bar"), "observed": F.lit(True)}
-    aggs += [F.max(rule).alias(name) for name, rule in flags.items()]
-    aggs.append(F.max(F.when((F.col("kind") == "coarse") & (F.col("top") > 0), F.col("top"))).alias("top_coarse"))
-    micro = pairs.where("kind = 'micro'").groupBy(*keys).agg(F.percentile("width", F.lit(0.5)).alias("micro_width"))
-    out = cells.join(by_kind.groupBy(*keys).agg(*aggs), keys, "left").join(micro, keys, "left")
-    return out.withColumns({name: F.coalesce(name, F.lit(False)) for name in flags})
+    seen = F.col("kind") != "barred"
+    flags = {f"has_{k}": F.col("kind") == k for k in (*VALUED, *MARKS)} | {"has_positive": (F.col("kind") != "fine") & (F.col("top") > 0), "has_bar": F.col("bar"), "observed": seen, "barred": ~seen}
+    aggs += [F.coalesce(F.max(rule), F.lit(False)).alias(name) for name, rule in flags.items()]
+    aggs += [F.max(F.when((F.col("kind") == "coarse") & (F.col("top") > 0), F.col("top"))).alias("top_coarse"), F.max("micro_width").alias("micro_width")]
+    return by_kind.groupBy(*keys).agg(*aggs)
 
 
 def _with_density(df: DataFrame, p: str, out: str) -> DataFrame:
@@ -143,6 +150,13 @@ def _piece(prefix: str, a: Column, b: Column) -> dict[str, Column]:
     return out | {k: F.when(c(f"is_{k}"), seconds).otherwise(F.lit(0.0)) for k in ("observed", "identity", "blocked")}
 
 
+def _of_cell(prefix: str = "") -> dict[str, Column]:
+    """The amounts of a whole cell whose columns have the prefix."""
+    c = lambda n: F.col(f"{prefix}{n}")
+    seconds = (c(END) - c(START)) / _UNIT
+    return _amounts(c("left"), c("right"), seconds) | {k: F.when(c(f"is_{k}"), seconds).otherwise(F.lit(0.0)) for k in ("observed", "identity", "blocked")}
+
+
 def build_field(observations: DataFrame, blocked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cells, scales).  Cells: source_id, start_ms, end_ms in half milliseconds, left, right (values at the
     ends), is_observed, is_identity, is_blocked, and sum_<what> up to each cell's end.
@@ -155,18 +169,21 @@ def build_field(observations: DataFrame, blocked: DataFrame) -> tuple[DataFrame,
     s, e = F.col(START), F.col(END)
     points = ends(known, 2 * s, s + e, 2 * e).unionByName(ends(bars.join(scales.select("source_id"), "source_id"), 2 * s, 2 * e)).distinct()
     cells = points.withColumn(END, F.lead(START).over(Window.partitionBy("source_id").orderBy(START))).where(F.col(END).isNotNull())
-    df = materialised(_densities(materialised(cells, "cells"), known).join(scales, "source_id"), "densities")
-    twice = bars.withColumns({START: 2 * s, END: 2 * e})
-    df = iv.per_row(df, twice, ["source_id"], lambda hit: [F.max(F.coalesce(hit, F.lit(False))).alias("barred")])
+    df = _densities(cells.join(scales.select("source_id", "resolution"), "source_id"), known, bars)
     micro = F.col("has_micro")
     barrier = F.col("barred") | F.col("has_boundary") | F.when(micro, F.col("has_bar")).otherwise(F.col("has_coarse_boundary"))
     identity = F.when(micro, (F.col("m_micro") / F.col("m_micro_mass") > 0) | F.col("top_coarse").isNotNull() | F.col("has_island_identity")).otherwise(F.col("has_positive"))
     df = _with_density(_with_density(df, "l", "left"), "r", "right")
     value = lambda c: F.when(barrier, 0.0).otherwise(F.col(c)).alias(c)
-    held = df.select("source_id", START, END, value("left"), value("right"), F.col("observed").alias("is_observed"), identity.alias("is_identity"), barrier.alias("is_blocked"))
-    amounts = _amounts(F.col("left"), F.col("right"), (e - s) / _UNIT) | {k: F.when(F.col(f"is_{k}"), (e - s) / _UNIT).otherwise(F.lit(0.0)) for k in ("observed", "identity", "blocked")}
-    summed = grouped_sums(held.withColumns(amounts), "source_id", START, list(_SUMS))
-    return materialised(summed.drop(*[f"total_{k}" for k in _SUMS]), "field"), scales
+    held = df.select("source_id", BUCKET, START, END, value("left"), value("right"), F.col("observed").alias("is_observed"), identity.alias("is_identity"), barrier.alias("is_blocked"))
+    # Running sums within buckets, and over one total for each bucket.
+    inside = Window.partitionBy("source_id", BUCKET).orderBy(START).rowsBetween(Window.unboundedPreceding, 0)
+    held = materialised(held.withColumns(_of_cell()).select(*held.columns, *[F.sum(k).over(inside).alias(f"sum_{k}") for k in _SUMS]), "cells")
+    totals = held.groupBy("source_id", BUCKET).agg(*[F.max_by(f"sum_{k}", START).alias(f"_t_{k}") for k in _SUMS])
+    before = Window.partitionBy("source_id").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)  # of one row a bucket
+    bases = totals.select("source_id", BUCKET, *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0.0)).alias(f"_b_{k}") for k in _SUMS])
+    summed = held.join(bases, ["source_id", BUCKET]).withColumns({f"sum_{k}": F.col(f"sum_{k}") + F.col(f"_b_{k}") for k in _SUMS})
+    return materialised(summed.drop(BUCKET, *[f"_b_{k}" for k in _SUMS]), "field"), scales
 
 
 def assess_spans(spans: DataFrame, cells: DataFrame, scales: DataFrame, observations: DataFrame) -> DataFrame:
@@ -176,20 +193,22 @@ def assess_spans(spans: DataFrame, cells: DataFrame, scales: DataFrame, observat
 
     Supported: observed as a whole, with identity at both ends, nothing blocked and a positive integral; where
     negative local evidence crosses an edge, only if the field isn't negative at either end."""
-    c = cells.select("source_id", START, END, "left", "right", "is_observed", "is_identity", "is_blocked", *_SUMS, *[f"sum_{k}" for k in _SUMS])
+    c = cells.select("source_id", START, END, "left", "right", "is_observed", "is_identity", "is_blocked", *[f"sum_{k}" for k in _SUMS])
     range_ = c.groupBy("source_id").agg(F.min(START).alias("lo"), F.max(END).alias("hi"))  # one row a source
     asked = materialised(spans.select("source_id", "segment_id", START, END).where(F.col(END) > F.col(START)), "spans")
     rows = asked.join(range_, "source_id").select("source_id", "segment_id", F.greatest(2 * F.col(START), F.col("lo")).alias("a"), F.least(2 * F.col(END), F.col("hi")).alias("b")).where("b > a")
 
-    def cell_at(at: Column, p: str) -> DataFrame:
-        point = rows.select("source_id", "segment_id", "a", "b", at.alias(START), (at + 1).alias(END))
-        met = iv.overlap_join(point, c)
-        return met.select("segment_id", "source_id", "a", "b", *[F.col(f"b_{n}").alias(f"{p}{n}") for n in c.columns if n != "source_id"])
-
-    both = cell_at(F.col("a"), "x_").join(cell_at(F.col("b") - 1, "y_").drop("a", "b"), ["source_id", "segment_id"])
+    # Both ends in one lookup, in which a cell is exchanged once.
+    at = F.explode(F.array(F.struct(F.lit("x").alias("end"), F.col("a").alias("at")), F.struct(F.lit("y").alias("end"), (F.col("b") - 1).alias("at")))).alias("p")
+    points = rows.select("source_id", "segment_id", "a", "b", at).select("source_id", "segment_id", "a", "b", "p.end", F.col("p.at").alias(START), (F.col("p.at") + 1).alias(END))
+    met = iv.overlap_join(points, c.join(rows.select("source_id").distinct(), "source_id", "left_semi"))
+    cell = F.struct(*[F.col(f"b_{n}").alias(n) for n in c.columns if n != "source_id"])
+    both = met.groupBy("source_id", "segment_id", "a", "b").agg(*[F.first(F.when(F.col("end") == p, cell), ignorenulls=True).alias(p) for p in "xy"]).where("x is not null and y is not null")
+    both = both.select("segment_id", "a", "b", *[F.col(f"{p}.{n}").alias(f"{p}_{n}") for p in "xy" for n in c.columns if n != "source_id"])
     one = F.col(f"x_{START}") == F.col(f"y_{START}")
     whole, first, last = _piece("x_", F.col("a"), F.col("b")), _piece("x_", F.col("a"), F.col(f"x_{END}")), _piece("y_", F.col(f"y_{START}"), F.col("b"))
-    sums = {k: F.when(one, whole[k]).otherwise(first[k] + last[k] + (F.col(f"y_sum_{k}") - F.col(f"y_{k}")) - F.col(f"x_sum_{k}")) for k in _SUMS}
+    of_last = _of_cell("y_")
+    sums = {k: F.when(one, whole[k]).otherwise(first[k] + last[k] + (F.col(f"y_sum_{k}") - of_last[k]) - F.col(f"x_sum_{k}")) for k in _SUMS}
     slope = lambda p, at: F.col(f"{p}left") + (at - F.col(f"{p}{START}")) * (F.col(f"{p}right") - F.col(f"{p}left")) / (F.col(f"{p}{END}") - F.col(f"{p}{START}"))
     found = both.select("segment_id", *[v.alias(k) for k, v in sums.items()], (F.col("x_is_identity") & F.col("y_is_identity")).alias("ends"), slope("x_", F.col("a")).alias("at_start"), slope("y_", F.col("b")).alias("at_end"))
 
